@@ -18,9 +18,9 @@ WORDS = 5
 #: A shingle is common when tasks that hold it at least SEEN times count COMMON documents together; of such, the
 #: COMMONS most frequent are sent to every task. It decides the order of prefixes and by which way a list is searched,
 #: never which pairs are found.
-SEEN, COMMON, COMMONS = 4, 48, 100_000
+SEEN, COMMON, COMMONS = 2, 24, 400_000
 #: Lists of more classes are searched by classes of equal length and place instead of pairwise.
-LONG = 256
+LONG = 64
 #: Sets searched against each other in one block, and rounds of min-hash groups for sets of common shingles.
 BLOCK, ROUNDS = 256, 3
 MU = 0.01

@@ -1,10 +1,565 @@
-"""The registered queries of the library's own operators and their SQL."""
+"""The registered queries of the library's own operators, each beside the DuckDB SQL that checks it where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from callweave.functions import text as T
+from callweave.operators import calls, chunk, clean, extract, search, signals
+from callweave.sources import web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def values(spark: SparkSession, sql: str) -> DataFrame:
+    """An inline table that both engines read alike."""
+    return spark.sql(f"SELECT * FROM {sql}")
+
+
+ASKED = "(VALUES (1, 'licensed under the apache license'), (2, 'released under the mit license'), (3, 'als das ein der'), (4, 'the gnu general public license of the the')) AS q(query_id, query)"
+_BM25 = f"""
+    tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
+    dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dl FROM documents),
+    n AS (SELECT count(*) AS n FROM documents), av AS (SELECT avg(dl) AS avgdl FROM dl),
+    df AS (SELECT token, count(DISTINCT doc_id) AS df FROM tok GROUP BY token),
+    raw AS (SELECT token, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, n),
+    idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+    asked AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS token FROM {ASKED}),
+    tf AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token IN (SELECT token FROM asked) GROUP BY ALL),
+    bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM asked JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (doc_id), av GROUP BY ALL)"""
+
+
+@query(f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 6) AS score FROM bm),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score, max(score) OVER (PARTITION BY query_id) >= 0.5 AS answerable FROM r WHERE rank <= 8""")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    raw = search.bm25(values(spark, ASKED), read(spark, d, "documents"), "doc_id", "text")
+    top = search.top_k(raw.select("query_id", "doc_id", F.round(search.saturate(F.col("raw")), 6).alias("score")), "doc_id")
+    return top.select("query_id", "rank", "doc_id", "score", (F.max("score").over(Window.partitionBy("query_id")) >= 0.5).alias("answerable"))
+
+
+@query(f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf")
+def bm25_idf_stats(spark: SparkSession, d: str) -> DataFrame:
+    return search.idf(read(spark, d, "documents"), "doc_id", "text").select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+_LINES = r"""l AS (SELECT doc_id, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')))) AS line FROM documents),
+    bp AS (SELECT line, count(*) AS pages FROM l WHERE line <> '' AND NOT regexp_matches(line, '^#{1,4}\s+\S') AND len(regexp_extract_all(line, '[^\s]+')) <= 25
+      GROUP BY line HAVING count(*) >= greatest(2, floor((SELECT count(*) FROM documents) * 0.01)))"""
+
+
+@query(f"WITH {_LINES} SELECT line, pages FROM bp")
+def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
+    return clean.boilerplate(read(spark, d, "documents"), "doc_id", "text", 0.01)
+
+
+@query(rf"""WITH {_LINES}, b AS (SELECT list(line) AS bad FROM bp),
+    k AS (SELECT doc_id, string_split(text, chr(10)) AS ls, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(b.bad, regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS kept FROM documents, b)
+    SELECT doc_id, md5(array_to_string(kept, chr(10))) AS body_md5, CAST(len(ls) - len(kept) AS INTEGER) AS removed FROM k""")
+def boilerplate_strip(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    out = clean.strip_boilerplate(docs, "doc_id", "text", clean.boilerplate(docs, "doc_id", "text", 0.01))
+    return out.select("doc_id", F.md5("body").alias("body_md5"), "removed")
+
+
+_WARN = r"""v AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^\s]+')) AS n, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS ls, text FROM documents),
+    w AS (SELECT doc_id, source, n, n < 40 AS thin, regexp_matches(text, '(?i)lorem ipsum|test page|coming soon') AS placeholder, len(ls) > 0 AND len(list_distinct(ls)) / len(ls) < 0.4 AS repetitive FROM v)"""
+
+
+@query(f"""WITH {_WARN} SELECT doc_id, array_to_string(list_filter([CASE WHEN thin THEN 'thin content (' || n || ' words)' END, CASE WHEN placeholder THEN 'placeholder text detected' END,
+    CASE WHEN repetitive THEN 'highly repetitive content, extraction may have failed' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM w WHERE thin OR placeholder OR repetitive""")
+def validate_flags(spark: SparkSession, d: str) -> DataFrame:
+    w = clean.warnings(F.col("text"), F.lit("t"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(w, "; ").alias("warnings")).filter("warnings <> ''")
+
+
+@query(f"""WITH {_WARN}, f AS (SELECT CASE WHEN source = 'src0' THEN 0 WHEN thin THEN 1 WHEN repetitive THEN 2 ELSE 3 END AS step FROM w),
+    r AS (SELECT step, reason, (SELECT count(*) FROM f WHERE f.step = r.step) AS dropped FROM (VALUES (0, 'irrelevant'), (1, 'thin'), (2, 'failed')) r(step, reason))
+    SELECT step, reason, dropped, CAST((SELECT count(*) FROM f) - sum(dropped) OVER (ORDER BY step) AS BIGINT) AS remaining FROM r""")
+def cleaning_funnel(spark: SparkSession, d: str) -> DataFrame:
+    w = clean.warnings(F.col("text"), F.lit("t"))
+    has = lambda s: F.exists(w, lambda x: x.contains(s))
+    return clean.funnel(read(spark, d, "documents"), [("irrelevant", F.col("source") == "src0"), ("thin", has("thin content")), ("failed", has("extraction may have failed"))])
+
+
+#: Patterns that fire on the synthetic texts, beside the library's own.
+FIRING = {"email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}", "us_phone": r"\+1 \(\d{3}\) \d{3}-\d{4}", "ipv4": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "card": r"\d{16}"}
+_FOUND = "[" + ", ".join(f"{{'label': '{k}', 'm': list_sort(list_distinct(regexp_extract_all(text, '{p}')))}}" for k, p in FIRING.items()) + "]"
+_REDACT = "text"
+for _k, _p in FIRING.items():
+    _REDACT = f"regexp_replace({_REDACT}, '{_p}', '[{_k.upper()}_REDACTED]', 'g')"
+
+
+@query(f"""SELECT doc_id, x.label AS label, array_to_string(x.m, ';') AS matches FROM (SELECT doc_id, unnest(list_filter({_FOUND}, lambda x: len(x.m) > 0)) AS x FROM documents)""")
+def pii_detect(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.explode(T.pii_found(F.col("text"), FIRING)).alias("x")).select("doc_id", "x.label", F.array_join("x.matches", ";").alias("matches"))
+
+
+@query(f"SELECT doc_id, md5(r) AS text_md5, regexp_matches(r, '\\[[A-Z_0-9]+_REDACTED\\]') AS pii FROM (SELECT doc_id, {_REDACT} AS r FROM documents)")
+def pii_redact(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.redact(F.col("text"), FIRING).alias("r")).select("doc_id", F.md5("r").alias("text_md5"), F.col("r").rlike(r"\[[A-Z_0-9]+_REDACTED\]").alias("pii"))
+
+
+@query(f"SELECT string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT x.label AS label FROM (SELECT unnest(list_filter({_FOUND}, lambda x: len(x.m) > 0)) AS x FROM documents))")
+def pii_types_seen(spark: SparkSession, d: str) -> DataFrame:
+    each = read(spark, d, "documents").select(F.explode(T.pii_found(F.col("text"), FIRING)).alias("x"))
+    return each.agg(F.array_join(F.array_sort(F.collect_set("x.label")), ",").alias("labels"))
+
+
+_TEXTS = "(VALUES (1, 'Php 1,000 and ₱ 250 or P 12,345'), (2, 'Face amount of the policy holder, face amount'), (3, 'due 5 March 2024 or March 5, 2024 or 31/12/2020'), (4, 'a   b'), (5, 'mail me@example.com or 0917 123 4567, TIN 123-456-789')) AS t(id, text)"
+
+
+@query("""SELECT * FROM (VALUES (1, 'PHP 1,000 and PHP 250 or PHP 12,345', 0, ''), (2, 'Sum assured of the policyholder, sum assured', 0, ''),
+    (3, 'due 2024-03-05 or 2024-03-05 or 2020-31-12', 3, ''), (4, 'a b', 0, ''), (5, 'mail me@example.com or 0917 123 4567, TIN 123-456-789', 0, 'email,ph_mobile,tin')) AS t(id, text, dates, labels)""")
+def normalise_text(spark: SparkSession, d: str) -> DataFrame:
+    t = values(spark, _TEXTS).select("id", T.normalise(F.col("text")).alias("n"))
+    text, n = T.iso_dates(F.col("n"))
+    return t.select("id", text.alias("text"), n.cast("int").alias("dates"), F.array_join(F.transform(T.pii_found(F.col("n")), lambda x: x["label"]), ",").alias("labels"))
+
+
+@query("""SELECT * FROM (VALUES ('Plans | Pru Life UK', 'Plans'), ('ALL OUR PRODUCTS', 'All Our Products'), ('FAQ', 'FAQ'), ('a  b', 'a b')) AS t(title, heading)""")
+def normalise_heading(spark: SparkSession, d: str) -> DataFrame:
+    return values(spark, "(VALUES ('Plans | Pru Life UK'), ('ALL OUR PRODUCTS'), ('FAQ'), ('a  b')) AS t(title)").select("title", T.heading(F.col("title")).alias("heading"))
+
+
+FILLERS = ["the", "that", "with", "of"]
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)(?:the|that|with|of)', ' ', 'g'), '\s+', ' ', 'g'), '^[ ,.?!]+|[ ,.?!]+$', '', 'g') AS s
+    FROM (SELECT conv_id, turn, regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') AS text FROM conversations WHERE role = 'user'))
+    SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(s, '[^\s]+')) >= 2 THEN s ELSE text END AS query FROM t""".replace("(?i)(?:the|that|with|of)", r"(?i)\b(?:the|that|with|of)\b"))
+def filler_strip(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").filter("role = 'user'").withColumn("text", F.regexp_replace("text", "[^a-zA-Z]+", " "))
+    return c.select("conv_id", "turn", T.strip_fillers(F.col("text"), FILLERS).alias("query"))
+
+
+_SHINGLES = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+    sh AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN ['_empty_'] WHEN len(w) < 4 THEN w ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END AS s FROM w)"""
+
+
+@query(f"WITH {_SHINGLES} SELECT doc_id, CAST(len(s) AS INTEGER) AS shingles, CAST(len(list_distinct(s)) AS INTEGER) AS distinct_shingles FROM sh")
+def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = F.when(F.size(T.word_tokens(F.col("text"))) == 0, F.array(F.lit("_empty_"))).otherwise(T.shingles(F.col("text")))
+    return read(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("shingles"), F.size(F.array_distinct("s")).alias("distinct_shingles"))
+
+
+_SIMHASH = f"""{_SHINGLES}, hs AS (SELECT doc_id, ('0x' || substr(md5(unnest(s)), 1, 16))::UBIGINT AS h FROM sh),
+    bits AS (SELECT doc_id, b, sum(CAST((h >> b) & 1 AS INTEGER) * 2 - 1) > 0 AS one FROM hs, range(64) t(b) GROUP BY ALL),
+    fp AS (SELECT doc_id, CAST(sum(CASE WHEN one THEN CASE WHEN b = 63 THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << b END ELSE 0 END) AS BIGINT) AS fingerprint FROM bits GROUP BY doc_id)"""
+
+
+@query(f"WITH {_SIMHASH} SELECT doc_id, fingerprint FROM fp")
+def simhash_md5(spark: SparkSession, d: str) -> DataFrame:
+    return clean.simhash(read(spark, d, "documents"), "doc_id", "text")
+
+
+_PAIRS = f"""{_SIMHASH}, one AS (SELECT fingerprint, min(doc_id) AS k FROM fp GROUP BY fingerprint),
+    pairs AS (SELECT a.k AS x, b.k AS y, CAST(bit_count(xor(a.fingerprint, b.fingerprint)) AS INTEGER) AS distance FROM one a JOIN one b ON a.k < b.k AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 4)"""
+
+
+@query(f"WITH {_PAIRS} SELECT x, y, distance FROM pairs")
+def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return clean.near_pairs(clean.simhash(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query()
+def dedupe_survivors(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    rows = docs.select("doc_id", T.word_count(F.col("text")).alias("words")).join(clean.simhash(docs, "doc_id", "text"), "doc_id")
+    return clean.greedy_survivors(rows, "doc_id", "words", None)
+
+
+SECTIONS = [("en", "english"), ("fr", "french"), ("es", "spanish")]
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+/*([^?#]*)', 1)"
+_CATEGORY = f"CASE WHEN starts_with({_PATH}, 'en') THEN 'english' WHEN starts_with({_PATH}, 'fr') THEN 'french' WHEN starts_with({_PATH}, 'es') THEN 'spanish' WHEN starts_with({_PATH}, 'de') THEN 'noise' END"
+
+
+@query(f"SELECT page_id, {_CATEGORY} AS category FROM pages")
+def url_categorise(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", web.categorise(F.col("url"), SECTIONS, "de").alias("category"))
+
+
+@query(f"WITH c AS (SELECT url, {_CATEGORY} AS category FROM (SELECT DISTINCT url FROM pages)) SELECT * FROM c WHERE category <> 'noise' UNION ALL SELECT * FROM (SELECT * FROM c WHERE category = 'noise' ORDER BY url LIMIT 5)")
+def url_select(spark: SparkSession, d: str) -> DataFrame:
+    return web.select_urls(read(spark, d, "pages").select("url").distinct(), "url", SECTIONS, "de", 5)
+
+
+@query(f"SELECT page_id, substr(regexp_replace({_PATH}, '[^a-zA-Z0-9]+', '-', 'g'), 1, 70) || '__' || substr(sha256(url), 1, 16) || '.html' AS cache_file FROM pages")
+def cache_name(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", web.cache_name(F.col("url")).alias("cache_file"))
+
+
+@query("SELECT status, count(*) AS pages FROM (SELECT CASE WHEN length(html) < 2000 THEN 'too_small' ELSE 'ok' END AS status FROM pages) GROUP BY status")
+def fetch_status(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").groupBy(web.fetch_status(F.lit(200), F.col("html")).alias("status")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+_OUT = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<iframe\b.*?</iframe\s*>|<form\b.*?</form\s*>|<button\b.*?</button\s*>', ' ', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace({_OUT}, '(?i)<br\s*/?>|</(p|li|h[1-4]|td|th|div)>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_e}', '{_c}')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({_PLAIN}) AS body_md5, CAST(len(regexp_extract_all({_PLAIN}, '[^\\s]+')) AS INTEGER) AS words FROM pages")
+def plain_extraction(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages").select("page_id", extract.strip_html(F.col("html")).alias("b"))
+    return p.select("page_id", F.md5("b").alias("body_md5"), T.word_count(F.col("b")).alias("words"))
+
+
+@query()
+def best_of_extractors(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract_pages(read(spark, d, "pages"), "page_id", "html")
+
+
+def _headed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose lines of one word become headings, of level 1 or 2 by length, so that sections exist."""
+    line = lambda x: F.when(x.rlike(r"^[^\s]+$"), F.concat(F.when(F.length(x) % 2 == 0, "# ").otherwise("## "), x)).otherwise(x)
+    return read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("body"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+    h AS (SELECT *, CASE WHEN regexp_matches(x, '^[^\s]+$') THEN CASE WHEN length(x) % 2 = 0 THEN 1 ELSE 2 END END AS lv FROM l),
+    s AS (SELECT *, count(lv) OVER (PARTITION BY doc_id ORDER BY pos) AS section, last_value(CASE WHEN lv = 1 THEN x END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN lv = 2 THEN x END IGNORE NULLS) OVER w AS h2,
+      last_value(CASE WHEN lv = 1 THEN pos END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN lv = 2 THEN pos END IGNORE NULLS) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    g AS (SELECT doc_id, section, any_value(h1) AS h1, any_value(CASE WHEN p2 > coalesce(p1, -1) THEN h2 END) AS h2, regexp_replace(string_agg(CASE WHEN lv IS NULL THEN x END, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS content FROM s GROUP BY ALL)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS INTEGER) AS section, concat_ws(' > ', h1, h2) AS path, md5(content) AS content_md5 FROM g WHERE coalesce(content, '') <> ''""")
+def heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    s = chunk.sections(_headed(spark, d), "doc_id", "body")
+    return s.select("doc_id", "section", F.array_join("heading_path", " > ").alias("path"), F.md5("content").alias("content_md5"))
+
+
+@query()
+def chunk_records(spark: SparkSession, d: str) -> DataFrame:
+    c = chunk.chunks(_headed(spark, d), "doc_id", "title", "body")
+    return c.select("doc_id", "chunk_index", "chunk_id", "heading", "word_count", "pii", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT source, min(n) AS least, list_sort(list(n))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median, max(n) AS most FROM (SELECT source, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS INTEGER) AS n FROM documents) GROUP BY source")
+def chunk_size_stats(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "documents").select("source", T.word_count(F.col("text")).alias("n"))
+    return n.groupBy("source").agg(F.min("n").alias("least"), search.upper_median(F.col("n")).alias("upper_median"), F.max("n").alias("most"))
+
+
+_VEC = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
+    sc AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS score FROM qv, embeddings)"""
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    got = search.vector_scores(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.withColumnRenamed("embedding", "vector"), "vec_id")
+    return got.withColumn("score", F.round("vector_score", 5))
+
+
+@query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc) WHERE rank <= 8")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(_vectors(spark, d), "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc WHERE label = 3) WHERE rank <= 8")
+def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(_vectors(spark, d), "vec_id", category=F.col("label") == 3).select("query_id", "vec_id", "score", "rank")
+
+
+_FUSED = f"""{_BM25}, {_VEC.replace('vec_id < 5', 'vec_id BETWEEN 1 AND 4')}, fu AS (SELECT sc.query_id, sc.vec_id, sc.score AS vector_score, coalesce(bm.raw, 0) / (coalesce(bm.raw, 0) + 6) AS bm25_score FROM sc LEFT JOIN bm ON bm.query_id = sc.query_id AND bm.doc_id = sc.vec_id),
+    fs AS (SELECT query_id, vec_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, round(0.6 * vector_score + 0.4 * bm25_score, 4) AS score FROM fu)"""
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    v = search.vector_scores(e.filter("vec_id between 1 and 4").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector")), e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").withColumn("vector_score", F.round("vector_score", 5))
+    raw = search.bm25(values(spark, ASKED), read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
+    f = search.fuse(v, raw, "vec_id")
+    return f.select("query_id", "vec_id", *[F.round(c, 4).alias(c) for c in ("vector_score", "bm25_score", "score")])
+
+
+@query(f"WITH {_FUSED} SELECT CAST(query_id AS INTEGER) AS query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM fs) WHERE rank <= 8")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_k(_fused(spark, d), "vec_id").select("query_id", "vec_id", "score", "rank")
+
+
+@query(f"""WITH {_VEC}, v AS (SELECT query_id, vec_id, score, 0 AS variant FROM sc UNION ALL SELECT query_id, vec_id, round(1 - score, 5), 1 FROM sc),
+    b AS (SELECT query_id, vec_id, max(score) AS score, min_by(variant, -score * 10 + variant) AS variant FROM v GROUP BY ALL)
+    SELECT query_id, vec_id, score, variant, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 8""")
+def merge_variants(spark: SparkSession, d: str) -> DataFrame:
+    s = _vectors(spark, d)
+    return search.merge_variants([s, s.withColumn("score", F.round(1 - F.col("score"), 5))], "vec_id").select("query_id", "vec_id", "score", "variant", "rank")
+
+
+@query(f"""WITH {_VEC} SELECT query_id, vec_id, CASE WHEN score >= 0.5 THEN 'strong semantic match' WHEN score >= 0.3 THEN 'moderate semantic match' ELSE 'weak semantic match' END AS band FROM sc""")
+def explain_bands(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).select("query_id", "vec_id", F.regexp_extract(search.explain(F.col("score"), F.lit(0.1)), r"^[a-z ]+match", 0).alias("band"))
+
+
+
+@query("""WITH t AS (SELECT d.lang, l.quality = 0 AS bad, (d.doc_id % 97) / 97.0 + CASE WHEN l.quality = 1 THEN 0.5 ELSE 0 END AS s FROM documents d JOIN labels l USING (doc_id)),
+    g AS (SELECT lang, min(s) FILTER (WHERE NOT bad) AS lo, max(s) FILTER (WHERE bad) AS hi, quantile_cont(s, 0.5) FILTER (WHERE NOT bad) AS mid, list_sort(list(s) FILTER (WHERE NOT bad)) AS ls FROM t GROUP BY lang)
+    SELECT lang, round_even(lo, 3) AS answerable_min, round_even(ls[CAST(floor(len(ls) / 2) AS INTEGER) + 1], 3) AS answerable_median, round_even(mid, 3) AS answerable_mid, round_even(hi, 3) AS unanswerable_max,
+    lo > hi AS separable, round_even((lo + hi) / 2, 3) AS suggested_threshold, round_even(greatest(0.05, lo - 0.03), 3) AS gate FROM g""")
+def calibrate_threshold(spark: SparkSession, d: str) -> DataFrame:
+    j = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id")
+    s = j.select("lang", (F.col("quality") == 0).alias("must_refuse"), (F.col("doc_id") % 97 / F.lit(97.0) + F.when(F.col("quality") == 1, 0.5).otherwise(0.0)).alias("top_score"))
+    return search.calibrate(s, ["lang"])
+
+
+@query("""WITH t AS (SELECT d.doc_id, l.toxic = 1 AS refuse, CASE WHEN d.lang = 'en' THEN NULL ELSE d.lang END AS expected, (d.doc_id % 97) / 97.0 AS s, [CASE WHEN d.doc_id % 3 = 0 THEN 'fr' ELSE 'de' END, 'es'] AS cats FROM documents d JOIN labels l USING (doc_id)),
+    v AS (SELECT CASE WHEN refuse THEN CASE WHEN s < 0.5 THEN 'correct' ELSE 'incorrect' END WHEN expected IS NULL THEN CASE WHEN s >= 0.5 THEN 'partially correct' ELSE 'incorrect' END
+      WHEN cats[1] = expected THEN 'correct' WHEN cats[2] = expected THEN 'partially correct' ELSE 'incorrect' END AS verdict FROM t) SELECT verdict, count(*) AS n FROM v GROUP BY verdict""")
+def retrieval_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    j = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id")
+    cats = F.array(F.when(F.col("doc_id") % 3 == 0, "fr").otherwise("de"), F.lit("es"))
+    v = search.verdict(F.col("toxic") == 1, F.when(F.col("lang") != "en", F.col("lang")), F.col("doc_id") % 97 / F.lit(97.0), cats)
+    return j.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ANSWERS = "(VALUES (1, 'See [kb_a_001_c02] and [faq_hours]. [kb_a_001_c02]', 'kb_a_001_c02,kb_b_002_c00'), (2, 'No source here.', 'kb_a_001_c02'), (3, 'Both [kb_z_009_c11] [kb_b_002_c00]', 'kb_b_002_c00')) AS t(id, text, got)"
+
+
+@query("SELECT * FROM (VALUES (1, 'See and.', 'kb_a_001_c02', 'faq_hours'), (2, 'No source here.', '', ''), (3, 'Both', 'kb_b_002_c00', 'kb_z_009_c11')) AS t(id, spoken, valid, invalid)")
+def citation_validate(spark: SparkSession, d: str) -> DataFrame:
+    valid, invalid = search.validate_citations(T.citations(F.col("text")), F.split("got", ","))
+    return values(spark, _ANSWERS).select("id", T.strip_citations(F.col("text")).alias("spoken"), F.array_join(valid, ",").alias("valid"), F.array_join(invalid, ",").alias("invalid"))
+
+
+@query(f"""WITH {_VEC}, r AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc QUALIFY rank <= 8),
+    u AS (SELECT *, vec_id % 2 = 0 AS cited, max(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS a FROM r)
+    SELECT query_id, label, vec_id, CAST(rank AS INTEGER) AS rank FROM u WHERE a = 0 OR cited QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) = 1""")
+def answer_sources(spark: SparkSession, d: str) -> DataFrame:
+    top = search.top_k(_vectors(spark, d), "vec_id").withColumn("cited", F.col("vec_id") % 2 == 0)
+    return search.answer_sources(top, "cited", "vec_id", "label").select("query_id", "label", "vec_id", "rank")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").filter("role in ('user', 'assistant')")
+    return c.select("conv_id", "turn", F.when(F.col("role") == "assistant", "agent").otherwise("caller").alias("speaker"), "text")
+
+
+def _word(*w: str) -> str:
+    return r"(^|[^\p{L}\p{N}_])(" + "|".join(w) + r")([^\p{L}\p{N}_]|$)"
+
+
+#: Rules that fire on the synthetic texts.
+FIRING_RISKY, FIRING_CUES = [("risky_statement", 0.95, _word("that"))], [("buying_signal", 0.8, _word("with", "und")), ("callback_needed", 0.5, _word("from", "der"))]
+FIRING_GAP = [("first", _word("the"), _word("this"), "say this"), ("second", _word("is", "ist"), _word("was"), "say was")]
+_TURNS = "t AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'agent' ELSE 'caller' END AS speaker, text FROM conversations WHERE role IN ('user', 'assistant'))"
+_CUE = " UNION ALL ".join(f"SELECT conv_id, turn, '{t}' AS type, {c}::DOUBLE AS confidence, regexp_extract(text, '(?i){p}', 0) AS evidence FROM t WHERE speaker {op} 'agent' AND regexp_matches(text, '(?i){p}')" for op, rules in (("=", FIRING_RISKY), ("<>", FIRING_CUES)) for t, c, p in rules)
+
+
+@query(f"WITH {_TURNS} {_CUE}")
+def cue_signals(spark: SparkSession, d: str) -> DataFrame:
+    return signals.cue_signals(_turns(spark, d), "conv_id", "turn", FIRING_RISKY, FIRING_CUES).select("conv_id", "turn", "type", "confidence", "evidence")
+
+
+_GAP = " UNION ALL ".join(
+    f"SELECT conv_id, turn, '{i}' AS disclosure FROM (SELECT conv_id, turn, min(CASE WHEN regexp_matches(text, '(?i){a}') THEN turn END) OVER w AS f, max(CASE WHEN speaker = 'agent' AND regexp_matches(text, '(?i){b}') THEN 1 ELSE 0 END) OVER w AS m, max(CASE WHEN speaker = 'agent' THEN turn END) OVER w AS l FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE m = 0 AND l > f"
+    for i, a, b, _ in FIRING_GAP
+)
+
+
+@query(f"WITH {_TURNS} {_GAP}")
+def disclosure_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return signals.disclosure_gaps(_turns(spark, d), "conv_id", "turn", FIRING_GAP).select("conv_id", "turn", "disclosure")
+
+
+_LIVE = """(VALUES (1, 'agent', 'Our funds give guaranteed returns'), (2, 'caller', 'My wife would like that'), (3, 'agent', 'You should buy this, there is no risk'), (4, 'caller', 'I can''t afford much, call me later')) AS t(turn, speaker, text)"""
+
+
+@query("""SELECT * FROM (VALUES (1, 'risky_statement', 'guaranteed returns', 95), (2, 'missed_cross_sell', 'My wife', 50), (3, 'risky_statement', 'no risk', 95), (3, 'compliance_gap', 'not_a_deposit', 100),
+    (4, 'compliance_gap', 'not_a_deposit', 100), (4, 'payment_difficulty', 'can''t afford', 70), (4, 'callback_needed', 'call me later', 40)) AS t(turn, type, evidence, priority)""")
+def rules_fixture(spark: SparkSession, d: str) -> DataFrame:
+    t = values(spark, _LIVE).withColumn("call", F.lit("c"))
+    both = signals.cue_signals(t, "call", "turn").unionByName(signals.disclosure_gaps(t, "call", "turn"))
+    return signals.with_dims(both).select("turn", "type", "evidence", "priority")
+
+
+@query("""SELECT * FROM (VALUES ('Give a specific projected return', 'recommends quoting a projection'), ('Offer a discount now', 'recommends an unauthorised discount'), ('Skip the disclosure', 'recommends withholding information'), ('Ask about family', '')) AS t(text, reason)""")
+def nudge_safety(spark: SparkSession, d: str) -> DataFrame:
+    return values(spark, "(VALUES ('Give a specific projected return'), ('Offer a discount now'), ('Skip the disclosure'), ('Ask about family')) AS t(text)").select("text", signals.unsafe_reason(F.col("text")).alias("reason"))
+
+
+def _offered(spark: SparkSession, d: str) -> DataFrame:
+    """Events as signals: the user is the call, the type the signal's, the value the confidence, time in minutes."""
+    kinds = F.create_map(*[F.lit(x) for kv in (("signup", "buying_signal"), ("error", "compliance_gap"), ("click", "missed_cross_sell"), ("view", "topic_shift"), ("purchase", "callback_needed")) for x in kv])
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600
+    return read(spark, d, "events").select(F.col("user_id").alias("call"), at.alias("at"), kinds[F.col("event_type")].alias("type"), F.least(F.col("value") / 20, F.lit(1.0)).alias("confidence"), F.get_json_object("props", "$.k").alias("evidence"), F.lit("").alias("nudge"), F.lit(None).cast("string").alias("disclosure"))
+
+
+@query()
+def nudge_engine(spark: SparkSession, d: str) -> DataFrame:
+    return signals.nudges(_offered(spark, d), "call", "at")
+
+
+@query()
+def suppression_stats(spark: SparkSession, d: str) -> DataFrame:
+    return signals.suppression(nudge_engine(spark, d), ["type"])
+
+
+_MIN = "epoch_us(ts) / 1e6 / 600"
+
+
+@query(f"""WITH n AS (SELECT user_id AS call, event_id AS nudge_id, {_MIN} AS a, event_type = 'error' AS critical, CASE event_type WHEN 'error' THEN 'compliance_gap' ELSE 'buying_signal' END AS type, CASE event_type WHEN 'error' THEN 100 ELSE CAST(event_id % 7 AS INTEGER) END AS priority FROM events),
+    k AS (SELECT DISTINCT user_id AS call, floor({_MIN} / 200) * 200 AS tick FROM events)
+    SELECT k.call, k.tick, nudge_id, CAST(row_number() OVER (PARTITION BY k.call, tick, critical ORDER BY priority DESC, a, nudge_id) AS INTEGER) AS place FROM k JOIN n ON n.call = k.call AND a <= tick AND tick - a <= 90 QUALIFY critical OR place <= 3""")
+def active_nudges(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600
+    e = read(spark, d, "events").select(F.col("user_id").alias("call"), F.col("event_id").alias("nudge_id"), at.alias("at"), "event_type")
+    n = e.select("call", "nudge_id", "at", F.when(F.col("event_type") == "error", "compliance_gap").otherwise("buying_signal").alias("type"), F.when(F.col("event_type") == "error", 100).otherwise((F.col("nudge_id") % 7).cast("int")).alias("priority"))
+    ticks = e.select("call", (F.floor(F.col("at") / 200) * 200.0).alias("tick")).distinct()
+    return signals.active(n, ticks).select("call", "tick", "nudge_id", "place")
+
+
+@query(rf"WITH {_TURNS} SELECT conv_id, turn, md5(string_agg(speaker || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS 5 PRECEDING)) AS window_md5 FROM t")
+def judge_windows(spark: SparkSession, d: str) -> DataFrame:
+    return calls.last_turns(_turns(spark, d), "conv_id", "turn").select("conv_id", "turn", F.md5("window").alias("window_md5"))
+
+
+@query(f"""WITH RECURSIVE {_TURNS}, o AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t),
+    f AS (SELECT conv_id, i, turn, CASE WHEN n >= 160 THEN 0 ELSE n END AS acc, n >= 160 AS due FROM o WHERE i = 1
+      UNION ALL SELECT o.conv_id, o.i, o.turn, CASE WHEN f.acc + o.n >= 160 THEN 0 ELSE f.acc + o.n END, f.acc + o.n >= 160 FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)
+    SELECT conv_id, turn FROM f WHERE due""")
+def judge_triggers(spark: SparkSession, d: str) -> DataFrame:
+    return calls.judge_triggers(_turns(spark, d), "conv_id", "turn")
+
+
+@query(rf"""WITH {_TURNS}, b AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY conv_id ORDER BY turn) <> speaker THEN 1 ELSE 0 END AS c FROM t),
+    g AS (SELECT *, CAST(sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS bubble FROM b)
+    SELECT conv_id, bubble, speaker, md5(string_agg(text, ' ' ORDER BY turn)) AS text_md5, count(*) AS turns FROM g GROUP BY ALL""")
+def bubble_merge(spark: SparkSession, d: str) -> DataFrame:
+    return calls.bubbles(_turns(spark, d), "conv_id", "turn").select("conv_id", "bubble", "speaker", F.md5("text").alias("text_md5"), "turns")
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, coalesce(last_value(CASE WHEN speaker = 'agent' AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'hello') AS last_said FROM t")
+def last_agent_utterance(spark: SparkSession, d: str) -> DataFrame:
+    return calls.last_said(_turns(spark, d), "conv_id", "turn", default="hello").select("conv_id", "turn", "last_said")
+
+
+@query("""SELECT event_type, count(value) AS count, round_even(quantile_cont(value, 0.5), 1) AS p50_ms, round_even(quantile_cont(value, 0.95), 1) AS p95_ms, round_even(min(value), 1) AS min_ms, round_even(max(value), 1) AS max_ms,
+    round_even(avg(value), 1) AS mean_ms, CAST(row_number() OVER (ORDER BY min(event_id), event_type) AS INTEGER) AS place FROM events GROUP BY event_type""")
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return calls.latency_summary(read(spark, d, "events"), "event_type", "value", "event_id")
+
+
+@query("""SELECT event_type, CAST(row_number() OVER (ORDER BY avg(value), event_type) AS INTEGER) AS place, round_even(lead(avg(value)) OVER (ORDER BY avg(value), event_type) / avg(value), 2) AS speedup FROM events GROUP BY event_type""")
+def latency_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return calls.ranked_latency(read(spark, d, "events"), "event_type", "value").select("event_type", "place", "speedup")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, n DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 21600000000 AS end_us, count(*) AS events FROM s GROUP BY user_id, k""")
+def session_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = calls.sessions(read(spark, d, "events"), "user_id", "ts", "6 hours")
+    return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
+
+
+@query()
+def vad_segments(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    f = e.select(F.col("user_id").cast("string").alias("call"), F.lit("caller").alias("speaker"), (F.row_number().over(w) - 1).alias("frame"), (F.col("value") * 20).alias("rms"))
+    return calls.speech_segments(f)
+
+
+@query("""SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL AS first,
+    round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS start_s FROM events""")
+def track_offsets(spark: SparkSession, d: str) -> DataFrame:
+    t = calls.track_offsets(read(spark, d, "events"), "user_id", "event_id", "value")
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1
+    return t.select("user_id", "event_id", first.alias("first"), F.round("start_s", 4).alias("start_s"))
+
+
+_SLOTS = "o_custkey, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN o_orderpriority LIKE '5%' THEN 1 ELSE 0 END) AS d, count(*) AS n FROM orders GROUP BY o_custkey"
+
+
+@query(f"""WITH s AS (SELECT {_SLOTS}), p AS (SELECT o_custkey, CAST(1 + CASE WHEN a > 0 THEN 3 ELSE 0 END + CASE WHEN b > 0 THEN 2 ELSE 0 END + CASE WHEN c > 0 THEN 2 ELSE 0 END + CASE WHEN d > 0 THEN 1 ELSE 0 END + CASE WHEN n > 12 THEN 2 ELSE 0 END AS INTEGER) AS score FROM s)
+    SELECT o_custkey, score, CASE WHEN score / 11 >= 0.75 THEN 'hot' WHEN score / 11 >= 0.45 THEN 'warm' ELSE 'cold' END AS band FROM p""")
+def lead_score(spark: SparkSession, d: str) -> DataFrame:
+    read(spark, d, "orders").createOrReplaceTempView("orders")
+    s = spark.sql(f"SELECT {_SLOTS}")
+    yes = lambda c: F.when(c, "x").otherwise("")
+    slots = F.create_map(F.lit("name"), F.lit("x"), F.lit("dependents"), yes(F.col("a") > 0), F.lit("existing_cover"), yes(F.col("b") > 0), F.lit("interest"), yes(F.col("c") > 0), F.lit("age_band"), yes(F.col("d") > 0), F.lit("callback"), yes(F.col("n") > 12))
+    score, band = calls.lead_score(slots)
+    return s.select("o_custkey", score.alias("score"), band.alias("band"))
+
+
+@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE length(text) > 300) AS long_turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def call_summary(spark: SparkSession, d: str) -> DataFrame:
+    g = read(spark, d, "conversations").groupBy("conv_id")
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
+    return g.agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.length("text") > 300).alias("long_turns"), roles.alias("roles"))
+
+
+@query("SELECT user_id, event_type, count(*) FILTER (WHERE value < 5) AS attempts, count(*) FILTER (WHERE value < 5) >= 3 AS skipped FROM events GROUP BY ALL")
+def slot_skip(spark: SparkSession, d: str) -> DataFrame:
+    return calls.attempts_skipped(read(spark, d, "events"), "user_id", "event_type", F.col("value") < 5)
+
+
+@query()
+def fsm_final_state(spark: SparkSession, d: str) -> DataFrame:
+    intents = F.create_map(*[F.lit(x) for kv in (("signup", "agree"), ("error", "objection"), ("click", "answer"), ("view", "question"), ("purchase", "answer")) for x in kv])
+    t = read(spark, d, "events").select(F.col("user_id").cast("string").alias("call"), F.col("event_id").alias("at"), intents[F.col("event_type")].alias("intent"), F.get_json_object("props", "$.k").alias("value"), (F.col("value") > 10).alias("fits"), (F.col("value") > 95).alias("escalate"))
+    return calls.conversations(t, tuple(calls.LEAD_WEIGHTS))
+
+
+@query()
+def wer(spark: SparkSession, d: str) -> DataFrame:
+    t = _turns(spark, d).withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("next is not null")
+    return t.select("conv_id", "turn", F.round(calls.word_error_rate(T.word_tokens(F.col("text")), T.word_tokens(F.col("next"))), 6).alias("wer"))
+
+
+@query("""WITH f AS (SELECT user_id, list_distinct(list(event_type)) AS fired FROM events GROUP BY user_id)
+    SELECT user_id, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(fired, x)), ',') AS missing, CAST(len(fired) AS INTEGER) AS fired FROM f""")
+def missing_signals(spark: SparkSession, d: str) -> DataFrame:
+    f = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
+    expected = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")])
+    return f.select("user_id", F.array_join(calls.missing_signals(expected, F.col("f")), ",").alias("missing"), F.size("f").alias("fired"))
+
+
+@query("SELECT * FROM (VALUES ('greeting', 'EMPTY'), ('closing', 'English marker: thank you for your time'), ('skip', 'English marker: I''ll')) AS t(name, finding)")
+def language_leak(spark: SparkSession, d: str) -> DataFrame:
+    lines = values(spark, "(VALUES ('greeting', ''), ('closing', 'Salamat, thank you for your time'), ('ack', 'Sige po'), ('skip', 'Well I''ll go')) AS t(name, line)")
+    return calls.language_leaks(lines, "name", "line")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", calls.model_output(F.col("props"), "k int").getField("k").alias("k"))
+
+
+@query("""SELECT '| event_type | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || event_type || ' | ' || n || ' |', chr(10) ORDER BY event_type) AS markdown FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""")
+def markdown_report(spark: SparkSession, d: str) -> DataFrame:
+    return calls.rows_to_markdown(read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), ["event_type", "n"], "event_type")
+
+
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS day_us, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy("event_type", F.window("t", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.unix_micros("w.start").alias("day_us"), "events", "total")
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_revenue(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def customers_without_large_orders(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").join(read(spark, d, "orders").filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

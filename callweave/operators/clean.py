@@ -90,21 +90,21 @@ def greedy_survivors(records: DataFrame, key: str, words: str, pairs: DataFrame,
     ranked = records.withColumn("__o", order)
     first = Window.partitionBy("fingerprint").orderBy("__o")
     ranked = stage(ranked.withColumn("__first", F.first("__o").over(first)))
-    reps = ranked.filter("__o = __first").select(F.col(key).alias("id"), F.col("__o").alias("o"), "fingerprint")
-    both = stage(near_pairs(reps.withColumnRenamed("id", key), key, distance)) if pairs is None else pairs
-    named = both.join(reps.select(F.col("id").alias("x"), F.col("o").alias("ox")), "x").join(reps.select(F.col("id").alias("y"), F.col("o").alias("oy")), "y")
+    reps = ranked.filter("__o = __first").select(F.col(key).alias("__id"), F.col("__o").alias("o"), "fingerprint")
+    both = stage(near_pairs(reps.withColumnRenamed("__id", key), key, distance)) if pairs is None else pairs
+    named = both.join(reps.select(F.col("__id").alias("x"), F.col("o").alias("ox")), "x").join(reps.select(F.col("__id").alias("y"), F.col("o").alias("oy")), "y")
     edges = stage(named.select(F.when(F.col("ox") < F.col("oy"), F.col("x")).otherwise(F.col("y")).alias("early"), F.when(F.col("ox") < F.col("oy"), F.col("y")).otherwise(F.col("x")).alias("late")))
-    state = stage(reps.join(edges.select(F.col("late").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("kept")))
+    state = stage(reps.join(edges.select(F.col("late").alias("__id")).distinct(), "__id", "left_anti").select("__id", F.lit(True).alias("kept")))
     while True:
-        left = edges.join(state.select(F.col("id").alias("late")), "late", "left_anti").join(state.select(F.col("id").alias("early"), "kept"), "early", "left")
-        new = left.groupBy("late").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("known")).filter("hit or known").select(F.col("late").alias("id"), (~F.col("hit")).alias("kept"))
+        left = edges.join(state.select(F.col("__id").alias("late")), "late", "left_anti").join(state.select(F.col("__id").alias("early"), "kept"), "early", "left")
+        new = left.groupBy("late").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_and(F.col("kept").isNotNull()).alias("known")).filter("hit or known").select(F.col("late").alias("__id"), (~F.col("hit")).alias("kept"))
         new = stage(new)
         if not new.limit(1).count():
             break
         state = stage(state.unionByName(new))
-    kept_edges = edges.join(state.filter("kept").select(F.col("id").alias("early")), "early").join(reps.select(F.col("id").alias("early"), "o"), "early")
-    origin = kept_edges.groupBy("late").agg(F.min_by("early", "o").alias("of")).select(F.col("late").alias("id"), "of")
-    fate = state.join(origin, "id", "left").select("id", "kept", F.when(~F.col("kept"), F.col("of")).alias("of"))
-    rows = ranked.select(key, F.col("__first.k").alias("id")).join(fate, "id")
-    own = F.col(key) == F.col("id")
+    kept_edges = edges.join(state.filter("kept").select(F.col("__id").alias("early")), "early").join(reps.select(F.col("__id").alias("early"), "o"), "early")
+    origin = kept_edges.groupBy("late").agg(F.min_by("early", "o").alias("of")).select(F.col("late").alias("__id"), "of")
+    fate = state.join(origin, "__id", "left").select("__id", "kept", F.when(~F.col("kept"), F.col("of")).alias("of"))
+    rows = ranked.select(key, F.col("__first.k").alias("__id")).join(fate, "__id")
+    own = F.col(key) == F.col("__id")
     return rows.select(key, (own & F.col("kept")).alias("kept"), F.when(own, F.col("of")).otherwise(F.coalesce("of", "id")).alias("duplicate_of"))

@@ -107,4 +107,4 @@ def greedy_survivors(records: DataFrame, key: str, words: str, pairs: DataFrame,
     fate = state.join(origin, "__id", "left").select("__id", "kept", F.when(~F.col("kept"), F.col("of")).alias("of"))
     rows = ranked.select(key, F.col("__first.k").alias("__id")).join(fate, "__id")
     own = F.col(key) == F.col("__id")
-    return rows.select(key, (own & F.col("kept")).alias("kept"), F.when(own, F.col("of")).otherwise(F.coalesce("of", "id")).alias("duplicate_of"))
+    return rows.select(key, (own & F.col("kept")).alias("kept"), F.when(own, F.col("of")).otherwise(F.coalesce("of", "__id")).alias("duplicate_of"))

@@ -142,6 +142,7 @@ def retry_after(t: Column) -> Column:
 
 
 def shingles(t: Column, k: int = 4) -> Column:
-    """k-token shingles; the tokens themselves if fewer."""
-    w = word_tokens(t)
-    return F.when(F.size(w) < k, w).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    """k-token shingles; the tokens themselves if fewer. The tokens are bound to a name, or each shingle would split the
+    whole text again."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
+    return F.transform(F.array(word_tokens(t)), lambda w: F.when(F.size(w) < k, w).otherwise(runs(w)))[0]

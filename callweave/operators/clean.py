@@ -58,14 +58,14 @@ def hash64(s: Column) -> Column:
 
 
 def simhash(docs: DataFrame, key: str, text: str, k: int = 4, hashed=hash64) -> DataFrame:
-    """key, fingerprint: the signs of 64 sums of bits over a text's shingles, one partial aggregation with 64 sums."""
+    """key, fingerprint: the bits set in more than half of the hashes of a text's shingles. Rows keep to themselves:
+    nothing is exploded or shuffled. A row with null text has no fingerprint and is left out."""
     parts = F.when(F.size(T.word_tokens(F.col(text))) == 0, F.array(F.lit("_empty_"))).otherwise(T.shingles(F.col(text), k))
-    h = docs.select(key, F.explode(parts).alias("s")).select(key, hashed(F.col("s")).alias("h"))
-    sums = h.groupBy(key).agg(*[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{b}") for b in range(64)])
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select(key, value.alias("fingerprint"))
+    bit = lambda x, b: F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1)) == 1
+    one = lambda hs, b: F.when(F.size(F.filter(hs, lambda x: bit(x, b))) * 2 > F.size(hs), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    signs = lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(one(hs, b)))
+    bound = F.transform(F.array(F.transform(parts, hashed)), signs)  # hashes are made once, then named
+    return docs.filter(F.col(text).isNotNull()).select(key, bound[0].alias("fingerprint"))
 
 
 def near_pairs(prints: DataFrame, key: str, distance: int = 4) -> DataFrame:

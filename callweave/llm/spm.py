@@ -105,35 +105,48 @@ class Codec:
             out[:, : n - k, k] = np.where(self.keys[at] == key, self.ids[at], -1)
         return out
 
-    def merges(self, w: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    def merges(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end, piece id or -1) of the symbols left when no merge is left; the merge of lowest rank goes
+        first, the leftmost of equals. Only the prices beside a merge are made anew."""
         t = self.lattice(w)
         m, n = w.shape
-        rows, top = np.arange(m), t.shape[2]
+        top = t.shape[2]
         rank = np.where(t >= 0, self.rank[t], FAR)
         end = np.tile(np.arange(1, n + 2), (m, 1))  # of the symbol that starts at a place; n + 1 past the last
+        prev = np.tile(np.arange(-1, n), (m, 1))  # the symbol before a place
         alive = np.ones((m, n), bool)
-        start = np.arange(n)[None, :]
+        p = np.full((m, n), FAR)  # of merging a symbol with the next
+        if top > 1:
+            p[:, : n - 1] = rank[:, : n - 1, 1]
+        left = np.arange(m)
 
-        def price(r: np.ndarray) -> np.ndarray:
-            e = end[r][:, :n]
-            both = np.take_along_axis(end[r], np.minimum(e, n), 1)
-            size = both - start
-            ok = alive[r] & (e < n) & (size <= top)
-            got = np.take_along_axis(rank[r], np.clip(size - 1, 0, top - 1)[:, :, None], 2)[:, :, 0]
-            return np.where(ok, got, FAR)
+        def price(a: np.ndarray, e: np.ndarray) -> np.ndarray:
+            size = e - a
+            got = rank[left, np.maximum(a, 0), np.minimum(size, top) - 1]
+            return np.where((a >= 0) & (e <= n) & (size <= top), got, FAR)
 
-        left = rows
         while len(left):
-            p = price(left)
             at = p.argmin(1)
             go = p[np.arange(len(left)), at] < FAR
-            left, at = left[go], at[go]
+            if not go.all():
+                left, at, p = left[go], at[go], p[go]
+            row = np.arange(len(left))
             second = end[left, at]
-            end[left, at] = end[left, second]
+            third = end[left, second]
+            end[left, at] = third
+            prev[left, third] = at
             alive[left, second] = False
-        return [[(s, e, int(t[r, s, e - s - 1]) if e - s <= top else -1) for s, e in zip(np.flatnonzero(alive[r]).tolist(), [*np.flatnonzero(alive[r])[1:].tolist(), n], strict=True)] for r in rows]
-
-    def viterbi(self, w: np.ndarray) -> list[list[tuple[int, int, int]]]:
+            p[row, second] = FAR
+            p[row, at] = price(at, end[left, third])
+            before = prev[left, at]
+            cost, has = price(before, third), before >= 0
+            p[row[has], before[has]] = cost[has]
+        row, start = np.nonzero(alive)
+        stop = end[row, start]
+        return row, start, stop, np.where(stop - start <= top, t[row, start, np.minimum(stop - start, top) - 1], -1)
+
+    def viterbi(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end, piece id or -1) of the pieces of the best path of each word, in order."""
         t = self.lattice(w)
         m, n = w.shape
         gain = np.where(t >= 0, self.score[t], -np.inf)
@@ -147,15 +160,15 @@ class Codec:
             reach = best[:, e - size] + gain[:, e - size, size - 1]
             back[:, e] = size[reach.argmax(1)]
             best[:, e] = reach.max(1)
-        out = []
-        for r in range(m):
-            e, path = n, []
-            while e:
-                s = e - int(back[r, e])
-                path.append((s, e, int(t[r, s, e - s - 1])))
-                e = s
-            out.append(path[::-1])
-        return out
+        rows, stop, found = np.arange(m), np.full(m, n), []
+        while len(rows):
+            start = stop - back[rows, stop]
+            found.append((rows, start, stop))
+            rows, stop = rows[start > 0], start[start > 0]
+        row, start, stop = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((start, row))
+        row, start, stop = row[order], start[order], stop[order]
+        return row, start, stop, t[row, start, stop - start - 1]
 
     def words(self, units: Iterable[str]) -> dict[str, bytes]:
         """Ids of each unit as little-endian unsigned 32-bit integers."""
@@ -171,16 +184,21 @@ class Codec:
             for i in range(0, len(group), step):
                 some = group[i : i + step]
                 w = np.frombuffer("".join(some).encode("utf-32-le"), "<u4").reshape(len(some), n)
-                for u, path in zip(some, run(w), strict=True):
+                row, start, stop, got = run(w)
+                edge = np.searchsorted(row, np.arange(len(some) + 1))
+                raw, at = got.astype("<u4").tobytes(), (4 * edge).tolist()
+                for k, u in enumerate(some):
+                    out[u] = raw[at[k] : at[k + 1]]
+                for k in np.unique(row[got < 0]).tolist():  # words with characters that no piece has
                     ids: list[int] = []
-                    for s, e, i_ in path:
-                        if i_ >= 0:
-                            ids.append(i_)
+                    for j in range(edge[k], edge[k + 1]):
+                        if got[j] >= 0:
+                            ids.append(int(got[j]))
                         elif min(self.v.byte) >= 0:
-                            ids += [self.v.byte[b] for b in u[s:e].encode()]
+                            ids += [self.v.byte[b] for b in some[k][start[j] : stop[j]].encode()]
                         elif not ids or ids[-1] != self.v.unknown or self.v.kind == BPE:
                             ids.append(self.v.unknown)
-                    out[u] = np.array(ids, "<u4").tobytes()
+                    out[some[k]] = np.array(ids, "<u4").tobytes()
         return out
 
     def units(self, text: str) -> list[str]:

@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     part = attach(hot, sizes, "g", "__n", total).filter("__n > 1").withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("key", "round"), F.ceil(F.col("__n") / BLOCK))))
     found = found.unionByName(search(part.select("block", F.lit(0).alias("side"), "key", "n", "s")))
     links = stage(found, "links")
-    labels = stage(components(links), "labels")
+    labels = components(links)
     if lists.limit(1).count():
         named = lists.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         kinds = named.groupBy("s", "label", "n", "pos").agg(F.count(F.lit(1)).alias("__k"))
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = fit.join(side("a"), ["s", "labela", "na", "posa"]).join(side("b"), ["s", "labelb", "nb", "posb"]).select("a", "b").distinct()
         more = stage(_verify(pairs, sets), "links")
         if more.limit(1).count():
-            labels = stage(components(links.unionByName(more)), "labels")
+            labels = components(links.unionByName(more))
     named = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = stage(named, "classes")
     groups = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))

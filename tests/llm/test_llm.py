@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from callweave.llm import ann, brown, dedup, jaccard, license, packing, quality, shard, spm, tokens
+from callweave.llm import ann, brown, dedup, graph, jaccard, license, packing, quality, shard, spm, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, s int, row int, group int, label int, size int"
 SPACE, WORD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +78,24 @@ def test_jaccard(spark, rows, monkeypatch, common, long):
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == near(rows)
 
 
+@pytest.mark.parametrize("held", [3, 1_000_000])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    r = random.Random(8)
+    path = [(k, k + 1) for k in range(1000, 1060)]
+    edges = path + [(2000, k) for k in range(2001, 2080)] + [(3080 - k, 3090) for k in range(60)] + [(r.randrange(150), r.randrange(150)) for _ in range(110)]
+    edges = [(-x, -y) if k % 2 else (x, y) for k, (x, y) in enumerate(edges)] + path[::2] + [(7, 7), (9999, 9999)]
+    r.shuffle(edges)
+    of = {x: x for e in edges for x in e}
+    for _ in of:
+        for x, y in edges:
+            of[x] = of[y] = min(of[x], of[y])
+    linked = {x for x, y in edges if x != y} | {y for x, y in edges if x != y}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert sorted((x.node, x.label) for x in got) == sorted((x, of[x]) for x in linked)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_t_occurrence():
     r = np.random.default_rng(1)
     sets = [np.sort(r.permutation(40)[:34]).astype(np.uint64) for _ in range(60)]

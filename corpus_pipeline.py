@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import dedup, jaccard, packing, quality
@@ -18,22 +18,30 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs.select(*COLUMNS), quality.fit(docs, labels), "__score").filter(F.col("__score") >= quality.CUT).select(*COLUMNS)
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows named by ids. A null id is one name; of rows with one id, the one with the smallest text stays."""
-    name = lambda df: df.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    named = name(docs.select(*COLUMNS)).join(name(ids).select("__id"), "__id", "left_semi")
-    first = Window.partitionBy("__id").orderBy("text")
-    return named.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of its own for every row, whatever its doc_id; staged, so that it stays."""
+    return stage(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id of each group (rows of __row, group); a null doc_id is the largest."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
+    kept = groups.join(docs.select("__row", "doc_id"), "__row").groupBy("group").agg(first).select(F.col("first.__row").alias("__row"))
+    return docs.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _kept(docs, dedup.exact_dedup(docs).filter("kept").select("doc_id"))
+    """One document of each group of equal texts. Rows are told apart by number, as a doc_id may be null or repeated."""
+    docs = _numbered(docs)
+    got = dedup.exact_dedup(docs.select(F.col("__row").alias("doc_id"), "text"))
+    return _first_of(docs, got.select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("group")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links join; documents without words stay."""
-    return _kept(docs, jaccard.near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id"))
+    docs = _numbered(docs)
+    got = jaccard.near_duplicates(docs.select(F.col("__row").alias("doc_id"), "text"))
+    return _first_of(docs, got.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

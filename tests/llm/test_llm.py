@@ -287,3 +287,16 @@ def test_pipeline_stages(spark, rows, tmp_path):
     kept = [(x.doc_id, x.text) for x in at.collect()]
     comps = {i: c for i, _, c in near(kept)}
     assert all(i == c for i, c in comps.items()) and len(kept) > 10
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, rows, tmp_path):
+    few = docs(spark, [(3, "a X"), (5, "a X"), (5, "z Y"), (None, "q one"), (None, "q two"), (None, "q  two"), (None, "z Y")])
+    assert sorted((str(x.doc_id), SPACE.sub(" ", x.text)) for x in corpus_pipeline.drop_copies(spark, few, "").collect()) == [("3", "a X"), ("5", "z Y"), ("None", "q one"), ("None", "q two")]
+    at = corpus_pipeline.drop_copies(spark, docs(spark, rows), "")
+    plain = lambda t: SPACE.sub(" ", t or "")
+    first = [(x.doc_id, x.text) for x in at.collect()]
+    assert sorted(plain(t) for _, t in first) == sorted({plain(t) for _, t in rows}) and (None, "lost one") in first
+    left = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, at, "").collect()]
+    groups = {(c, n > 0 or i) for i, n, c in near([(k, t) for k, (_, t) in enumerate(first)])}
+    assert len(left) == len(groups) and len(near(left)) == len({(c, i) for i, _, c in near([(k, t) for k, (_, t) in enumerate(left)])})
+    assert (None, "lost one") in left

@@ -82,7 +82,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     clean = lambda df: df.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = clean(queries)
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    pool = vectors.select(F.col("vec_id").cast("long"), F.when(usable(F.col("embedding")), F.transform("embedding", lambda x: x.cast("double"))).alias("embedding")).filter("vec_id is not null and embedding is not null")
+    pool = clean(vectors).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     sc = queries.sparkSession.sparkContext
     found = None

@@ -300,3 +300,17 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, rows, tmp_path):
     groups = {(c, n > 0 or i) for i, n, c in near([(k, t) for k, (_, t) in enumerate(first)])}
     assert len(left) == len(groups) and len(near(left)) == len({(c, i) for i, _, c in near([(k, t) for k, (_, t) in enumerate(left)])})
     assert (None, "lost one") in left
+
+
+def test_ann_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((60, 8))
+    v = [(i, x[i].tolist()) for i in range(60) for _ in range(30 if i == 7 else 2)] + [(8, (x[8] + 50).tolist())]
+    x[7] = x[0] + 1e-3
+    v = [(i, x[7].tolist() if i == 7 else e) for i, e in v]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(g.vec_id, g.score) for g in ann.knn(df.filter("vec_id = 0"), df, 10).orderBy("rank").collect()]
+    x[8] = min(x[8].tolist(), (x[8] + 50).tolist())
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    want = [int(i) for i in np.argsort(d) if i][:10]
+    assert len({i for i, _ in got}) == 10 and len({i for i, _ in got} & set(want)) >= 9 and all(s == pytest.approx(d[i]) for i, s in got)

@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (columns doc_id, text); see the module for the link.
 
     Equal sets are one class. Classes share rare prefix shingles with few others; those pairs are counted, the ones that
-    share too few to link are dropped, and the classes that remaining pairs connect are searched block by block, each
+    share too few to link, with what they share in long lists, are dropped, and the classes that remaining pairs connect are searched block by block, each
     set moving once. Classes most of whose shingles are common (members of large groups) are searched in min-hash
     groups of BLOCK sets; then what still shares a common prefix shingle across components, and is long enough behind
     it to link, is verified pair by pair. Null and empty texts have no shingles and no links; rows with one doc_id are
@@ -272,8 +272,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = stage(rare_pairs(sig), "pairs")
     rest = lambda n: F.ceil(3 * F.col(n) / 4) - 1  # noqa: E731  shingles behind the prefix
     counted = mixed.filter("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max(F.least("ha", "hb")).alias("h"))
-    strong = counted.filter(F.col("c") >= F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.greatest(rest("na"), rest("nb")) - F.col("h"))
-    near = components(strong.select("a", "b"))
+    counted = stage(counted.withColumn("need", F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.greatest(rest("na"), rest("nb")) - F.col("h")), "counted")
+    strong = counted.filter("c >= need").select("a", "b")
+    held = mixed.filter("kind = 1").groupBy("b").agg(F.collect_set("a").alias("l"))
+    l = lambda c: held.select(F.col("b").alias(c), F.col("l").alias(f"l{c}"))  # noqa: E731, E741
+    weak = counted.filter("c < need").join(l("a"), "a").join(l("b"), "b")  # what both have in long lists counts as well
+    near = components(strong.unionByName(weak.filter(F.col("c") + F.size(F.array_intersect("la", "lb")) >= F.col("need")).select("a", "b")))
     often = sig.filter("often is not null").select("key", "n", "rare", "often", "mins").dropDuplicates(["key"])
     long = mixed.filter("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     lists = stage(often.select("key", "n", F.size("rare").alias("skip"), F.posexplode("often").alias("pos", "s")).select("s", "key", "n", (F.col("skip") + F.col("pos")).cast("long").alias("pos")).unionByName(long).distinct(), "lists")

@@ -302,6 +302,21 @@ def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, rows, tmp_path):
     assert (None, "lost one") in left
 
 
+def test_jaccard_counts_shared_shingles_of_long_lists(spark, monkeypatch):
+    def sets(texts):
+        for i, t in enumerate(texts.to_pylist()):
+            yield i, np.array(sorted(map(int, (t or "").split())), np.uint64)
+
+    monkeypatch.setattr(jaccard, "_sets", sets)
+    monkeypatch.setattr(jaccard, "LONG", 3)
+    line = lambda *parts: " ".join(str(x) for p in parts for x in p)
+    both = [*range(1000, 1011), 2000, *range(5000, 5074)]  # 11 in short lists, one in a long list, 74 behind the prefix
+    a, b = line(both, range(100, 114)), line(both, range(200, 214))
+    other = [line([2000], range(9000 + 100 * k, 9099 + 100 * k)) for k in range(5)]
+    got = jaccard.near_duplicates(docs(spark, list(enumerate([a, b, *other])))).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(0, 0), (1, 0)] + [(k, k) for k in range(2, 7)]
+
+
 def test_ann_repeated_ids(spark):
     r = np.random.default_rng(6)
     x = r.standard_normal((60, 8))

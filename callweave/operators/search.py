@@ -65,12 +65,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, key: str, limit: int = 10_000) -> DataFrame:
-    """query_id, key, vector_score of every pair: the exhaustive scan that serving a handful of queries means. The query
-    side, of `limit` rows at most, is broadcast; more are refused, since an index is the tool then."""
-    if queries.limit(limit + 1).count() > limit:
-        raise ValueError("too many queries for an exhaustive scan")
+    """query_id, key, vector_score of every pair: an exhaustive scan. Queries are broadcast in blocks of about `limit`,
+    as many as are needed; the vectors are read once a block."""
     q = queries.select("query_id", unit_vector(F.col("vector")).alias("__q"))
-    return vectors.select(key, unit_vector(F.col("vector")).alias("__v"), *[c for c in vectors.columns if c not in (key, "vector")]).join(F.broadcast(q)).withColumn("vector_score", dot(F.col("__q"), F.col("__v"))).drop("__q", "__v")
+    v = vectors.select(key, unit_vector(F.col("vector")).alias("__v"), *[c for c in vectors.columns if c not in (key, "vector")])
+    blocks, out = max(1, -(-queries.count() // limit)), None
+    for i in range(blocks):
+        part = v.join(F.broadcast(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))).withColumn("vector_score", dot(F.col("__q"), F.col("__v"))).drop("__q", "__v")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, key: str, w_vector: float = 0.6, w_lexical: float = 0.4) -> DataFrame:

@@ -77,7 +77,8 @@ def flatten(fragment: str) -> str:
 
 
 def payload(page: str, least: int = 200, titles: tuple[str, ...] = ("title", "heading", "name"), bodies: tuple[str, ...] = ("content", "body", "description", "text")) -> str:
-    """Titles and bodies inside JSON scripts of `least` characters or more; bodies alike in 120 characters once."""
+    """Titles and bodies inside JSON scripts of `least` characters or more; those alike in the
+    first 120 characters of title and body, whatever their case, once."""
     out, seen = [], set()
 
     def walk(node: object) -> None:
@@ -85,8 +86,9 @@ def payload(page: str, least: int = 200, titles: tuple[str, ...] = ("title", "he
             title = next((node[k] for k in titles if isinstance(node.get(k), str) and node[k].strip()), "")
             body = next((node[k] for k in bodies if isinstance(node.get(k), str) and node[k].strip()), "")
             text = flatten(body)
-            if text and text[:120] not in seen:
-                seen.add(text[:120])
+            alike = (title + text)[:120].lower()
+            if text and alike not in seen:
+                seen.add(alike)
                 out.append((f"## {flatten(title)}\n" if title else "") + text)
             for v in node.values():
                 walk(v)

@@ -59,11 +59,15 @@ def sentence(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a whole text, in order. Sentences end at a line's end, or at . ! ? ; :
-    before white space."""
+#: Ends of sentences: a line's end, or . ! ? ; : before white space; and of paragraphs' sentences, which may run across
+#: lines, ; and : but not across a blank line.
+LINES, PARAGRAPHS = r"[\r\n]+|(?<=[.!?;:])[ \t]+", r"(?>\r\n|\r|\n)[ \t]*(?>\r\n|\r|\n)\s*|(?<=[.!?])\s+"
+
+
+def sentence_ids(text: Column, ends: str = LINES) -> Column:
+    """Identifiers of the known sentences of a whole text, in order."""
     known = F.create_map(*[x for i, s in enumerate(SENTENCES) for x in (F.lit(s), F.lit(i))])
-    parts = F.filter(F.split(text, r"[\r\n]+|(?<=[.!?;:])[ \t]+"), lambda s: s.rlike(f"(?i){ANCHORS}"))
+    parts = F.filter(F.split(text, ends), lambda s: s.rlike(f"(?i){ANCHORS}"))
     found = F.filter(F.transform(parts, lambda s: F.try_element_at(known, sentence(s))), lambda i: i.isNotNull())
     return F.when(text.rlike(f"(?i){ANCHORS}"), found).otherwise(F.array().cast("array<int>"))
 
@@ -77,14 +81,16 @@ def licenses(ids: Column) -> Column:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, sentence_ids, licenses (arrays, empty if none), n_licenses. Rules are matched to the
-    sentences of the lines as they stand, then of the text with wrapped lines joined; sentence_ids are the former, or the
-    latter if more. A row-wise plan with no shuffle; null and empty texts have none, repeated rows stay, other columns
-    are left out."""
+    sentences of the lines as they stand, of the text with wrapped lines joined, and of its paragraphs; sentence_ids are
+    the most of these, the earlier on a tie. The SQL knows the first two only. A row-wise plan with no shuffle; null and
+    empty texts have none, repeated rows stay, other columns are left out."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.select("doc_id", sentence_ids(text).alias("a"), sentence_ids(F.regexp_replace(text, r"[\r\n]+", " ")).alias("b"))
-    out = both.select(
-        "doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("sentence_ids"),
-        F.when(F.size("a") + F.size("b") > 0, F.array_sort(F.array_union(licenses(F.col("a")), licenses(F.col("b"))))).otherwise(F.array().cast("array<string>")).alias("licenses"),
+    each = docs.select("doc_id", sentence_ids(text).alias("a"), sentence_ids(F.regexp_replace(text, r"[\r\n]+", " ")).alias("b"), sentence_ids(text, PARAGRAPHS).alias("c"))
+    names = F.array_union(F.array_union(licenses(F.col("a")), licenses(F.col("b"))), licenses(F.col("c")))
+    most = F.when((F.size("c") > F.size("a")) & (F.size("c") > F.size("b")), F.col("c")).when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a"))
+    out = each.select(
+        "doc_id", most.alias("sentence_ids"),
+        F.when(F.size("a") + F.size("b") + F.size("c") > 0, F.array_sort(names)).otherwise(F.array().cast("array<string>")).alias("licenses"),
     )
     return out.withColumn("n_licenses", F.size("licenses"))
 

@@ -329,3 +329,61 @@ def test_ann_repeated_ids(spark):
     d = np.sqrt(((x - x[0]) ** 2).sum(1))
     want = [int(i) for i in np.argsort(d) if i][:10]
     assert len({i for i, _ in got}) == 10 and len({i for i, _ in got} & set(want)) >= 9 and all(s == pytest.approx(d[i]) for i, s in got)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A B
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND."""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+BSD = """Copyright (c) 2020, A B
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_whole_notices(spark):
+    cases = {MIT: ["MIT"], MIT.replace("\n", "\r\n"): ["MIT"], GPL: ["GPL-3.0"], BSD: ["BSD-2-Clause", "BSD-3-Clause"], APACHE: ["Apache-2.0"]}
+    got = license.scan_licenses(docs(spark, list(enumerate(cases)))).collect()
+    assert {x.doc_id: list(x.licenses) for x in got} == dict(enumerate(cases.values()))

@@ -117,17 +117,29 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[fl
     return tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w))
 
 
+def sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
+    """Distinct non-blank labelled texts of each class. Labels meet ids, sizes and hashes of texts only; the texts of the
+    rows that this picks, 2 x SAMPLE_DOCS x SAMPLE_BYTES at most, are read afterwards, by a broadcast of their ids."""
+    lab = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__y"))
+    rows = docs.select("doc_id", "text").filter((crc_mod(F.col("doc_id"), 5) != 0) & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("__h", F.xxhash64("text"))
+    thin = rows.select("doc_id", "__h").join(lab, "doc_id")
+    first = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("__h")]
+    picked = [r for y in (0, 1) for r in thin.filter(F.col("__y") == y).dropDuplicates(["doc_id", "__h"]).orderBy(*first).limit(SAMPLE_DOCS).collect()]
+    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["__h"], r["__y"]) for r in picked], "doc_id long, __h long, __y int")
+    found = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), ["doc_id", "__h"])
+    texts = found.groupBy("doc_id", "__h").agg(F.min("text").alias("text"), F.min("__y").alias("__y")).collect()  # a row each of chosen at most
+    got: dict[int, list[bytes]] = {0: [], 1: []}
+    at = {(r["doc_id"], r["__h"]): k for k, r in enumerate(picked)}
+    for r in sorted(texts, key=lambda r: at[r["doc_id"], r["__h"]]):
+        got[r["__y"]].append(r["text"].encode())
+    return {y: [t for t in dict.fromkeys(s) if t.strip()] for y, s in got.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries and calibration from labelled rows with crc32(doc_id) mod 5 != 0: per class the SAMPLE_DOCS with the
     smallest hashes among texts of SAMPLE_BYTES at most; two thirds build dictionaries, one third calibrates. A label
-    given twice counts once; texts without label, or with another than 0 and 1, take no part."""
-    lab = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__y"))
-    rows = docs.select("doc_id", "text").filter((crc_mod(F.col("doc_id"), 5) != 0) & (F.octet_length("text") <= SAMPLE_BYTES)).join(lab, "doc_id")
-    got: dict[int, list[bytes]] = {}
-    for y in (0, 1):
-        near = rows.filter(F.col("__y") == y).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
-        texts = [r[0] for r in near.select("text").collect()]  # SAMPLE_DOCS x SAMPLE_BYTES at most
-        got[y] = [t.encode() for t in dict.fromkeys(texts) if t.strip()]
+    given twice counts once, the better one; texts without label, or with another than 0 and 1, take no part."""
+    got = sample(docs, labels)
     built = {y: [d for i, d in enumerate(s) if i % 3] for y, s in got.items()}
     m = Model(dictionaries(built[1], 1), dictionaries(built[0], 2), (0.0,) * 4, (1.0,) * 4, ())
     probe = Scorer(m)
@@ -137,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a double column: the calibrated score of each whole text; null and empty texts get the score of no
-    difference. Other columns pass through unread; name must be free."""
+    difference. Other columns pass through unread; one that has the score's name is replaced."""
+    docs = docs.select(*[c for c in docs.columns if c != name])
     kind = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 

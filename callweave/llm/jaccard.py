@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import attach, mix, shingles, slices, stage, words
@@ -15,15 +18,19 @@ from callweave.llm.graph import components
 U64 = np.uint64
 #: Shingles of WORDS words; sets link when 100 * intersection >= 75 * union, that is when 7 * intersection >= 3 * (sum of sizes).
 WORDS = 5
-#: A shingle is common when tasks that hold it at least SEEN times count COMMON documents together; of such, the
-#: COMMONS most frequent are sent to every task. It decides the order of prefixes and by which way a list is searched,
-#: never which pairs are found.
-SEEN, COMMON, COMMONS = 2, 24, 400_000
-#: Lists of more classes are searched by classes of equal length and place instead of pairwise.
-LONG = 64
-#: Sets searched against each other in one block, and rounds of min-hash groups for sets of common shingles.
-BLOCK, ROUNDS = 256, 3
+#: Shingles and sets that a task sorts together.
+CHUNK_SHINGLES, CHUNK_SETS = 3_000_000, 60_000
+#: Shingles that tasks count COMMON times or more in sets that others share are last in the order of prefixes, the
+#: COMMONS most frequent at most. It decides the order of prefixes, never which pairs are found.
+COMMON, COMMONS = 24, 400_000
+#: Pairs across components that a list may give for each of its sets; a list with more is searched in blocks.
+WIDE = 32
+#: Sets searched against each other in one block, and rounds of min-hash groups.
+BLOCK, ROUNDS = 64, 3
 MU = 0.01
+#: An identifier of a shingle is its bucket and ID_BITS bits of its hash; the place that stands for several sets.
+ID_BITS, SEVERAL = 40, 0xFFFF
+REQUEST, PASS = 0, 1
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -39,290 +46,415 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield i + k, part
 
 
-def _key(s: np.ndarray) -> np.uint64:
-    """Of a set, whatever its order."""
-    total = int(mix(s ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=U64)) + len(s) * 0x9E3779B97F4A7C15
-    return mix(np.array([total & (1 << 64) - 1], U64))[0]
+def _key(s: np.ndarray) -> bytes:
+    """128 bits of a set, whatever its order."""
+    a, b = (int(mix(s ^ U64(x)).sum(dtype=U64)) for x in (0xA5A5A5A55A5A5A5A, 0x3C6EF372FE94F82B))
+    return mix(np.array([(a + len(s)) & (1 << 64) - 1, b], U64)).tobytes()
+
+
+def _need(n: np.ndarray | int) -> np.ndarray | int:
+    """Shingles that a set of n must share with another to link with it."""
+    return -(-3 * n // 4)
+
+
+class _Chunk:
+    """Sets of the rows that a task reads, each once, until they are sent on."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.sets: list[np.ndarray] = []
+        self.docs: list[int | None] = []
+        self.of: list[int] = []
+        self.total = 0
+
+    def add(self, doc_id: int | None, s: np.ndarray) -> None:
+        at = -1
+        if len(s):
+            k = _key(s)
+            at = self.place.get(k, -1)
+            if at < 0:
+                at = self.place[k] = len(self.sets)
+                self.sets.append(s)
+                self.total += len(s)
+        self.docs.append(doc_id)
+        self.of.append(at)
+
+    def full(self) -> bool:
+        return self.total >= CHUNK_SHINGLES or len(self.sets) >= CHUNK_SETS or len(self.docs) >= 8 * CHUNK_SETS
+
+
+_MAP = pa.schema([("dest", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("places", pa.binary()), ("more", pa.binary())])
+_MAP_DDL = "dest long, kind int, chunk long, ids binary, places binary, more binary"
+
+
+def _requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """Which shingles of a chunk are in its other sets as well, and requests, by bucket, to find the rest elsewhere. A
+    shingle of several sets of the chunk asks once, for the others' sake, so that none weighs more than its chunks."""
+
+    def sent(c: _Chunk, chunk: int) -> Iterator[pa.RecordBatch]:
+        n = np.array([len(s) for s in c.sets], np.int64)
+        null = np.array([d is None for d in c.docs], np.uint8)
+        roster = [np.array([d or 0 for d in c.docs], np.int64), null, np.array(c.of, np.int32), n]
+        head = np.array([len(c.docs), len(c.sets)], np.int64).tobytes() + b"".join(x.tobytes() for x in roster) + b"".join(c.place)
+        rows = [(chunk, PASS, chunk, b"", b"", head)]
+        if c.sets:
+            h, at = np.concatenate(c.sets), np.repeat(np.arange(len(n)), n).astype(np.uint16)
+            bucket = ((h >> U64(ID_BITS + 4)) % U64(buckets)).astype(np.int64)
+            ids = bucket << ID_BITS | (h & U64((1 << ID_BITS) - 1)).astype(np.int64)
+            order = np.argsort(ids, kind="stable")
+            ids, at = ids[order], at[order]
+            new = np.concatenate([[True], ids[1:] != ids[:-1]])
+            alone = new & np.append(new[1:], True)
+            if not alone.all():
+                rows.append((chunk, PASS, chunk, ids[~alone].tobytes(), at[~alone].tobytes(), b""))
+            ids, at = ids[new], np.where(alone, at, SEVERAL)[new].astype(np.uint16)
+            edge = np.searchsorted(ids, np.arange(buckets + 1) << ID_BITS)
+            low, high = ids.astype(np.uint32), (ids >> 32 & 0xFF).astype(np.uint8)
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                x, y = edge[b], edge[b + 1]
+                rows.append((b, REQUEST, chunk, low[x:y].tobytes() + high[x:y].tobytes(), at[x:y].tobytes(), b""))
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 256], strict=True), _MAP.types, strict=True)], schema=_MAP)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, chunk = _Chunk(), TaskContext.get().partitionId() << 24
+        for b in batches:
+            ids = b.column(0).cast(pa.int64()).to_pylist()
+            for i, s in _sets(b.column(1)):
+                c.add(ids[i], s)
+                if c.full():
+                    yield from sent(c, chunk)
+                    c, chunk = _Chunk(), chunk + 1
+        if c.docs:
+            yield from sent(c, chunk)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _MAP_DDL)
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the common shingles over all rows, COMMONS at most."""
+
+def _answered(requests: DataFrame) -> DataFrame:
+    """Answers, by chunk: the shingles asked for that other chunks have as well; what is not a request passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[n >= SEEN].view(np.int64)), pa.array(n[n >= SEEN])], names=["s", "n"])
+        ids, places, chunks = [], [], []
+        for b in batches:
+            ask = b.column(1).to_numpy() == REQUEST
+            yield b.filter(pa.array(~ask))
+            for r in b.filter(pa.array(ask)).to_pylist():
+                n = len(r["places"]) // 2
+                low, high = np.frombuffer(r["ids"], np.uint32, n), np.frombuffer(r["ids"], np.uint8, n, 4 * n)
+                ids.append(r["dest"] << ID_BITS | high.astype(np.int64) << 32 | low)
+                places.append(np.frombuffer(r["places"], np.uint16))
+                chunks.append(np.full(n, r["chunk"]))
+        if not ids:
+            return
+        ids, places, chunks = (np.concatenate(x) for x in (ids, places, chunks))
+        order = np.argsort(ids, kind="stable")
+        ids, places, chunks = ids[order], places[order], chunks[order]
+        new = np.concatenate([[True], ids[1:] != ids[:-1]])
+        keep = ~(new & np.append(new[1:], True)) & (places != SEVERAL)
+        ids, places, chunks = ids[keep], places[keep], chunks[keep]
+        order = np.argsort(chunks, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(chunks[order]) > 0])) if len(order) else np.zeros(0, int)
+        rows = []
+        for part in np.split(order, edge[1:]) if len(order) else []:
+            rows.append((0, PASS, int(chunks[part[0]]), ids[part].tobytes(), places[part].tobytes(), b""))
+        for i in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 256], strict=True), _MAP.types, strict=True)], schema=_MAP)
+
+    return requests.repartition("dest").mapInArrow(run, _MAP_DDL)
+
+
+ROWS = "doc_id long, n long, key binary, s binary, mins array<long>"
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """A row per row of docs: doc_id, n, the size of its set, and key, which equal sets share (null for n = 0). Beside
+    them, with s and no doc_id, a row per chunk and set that may link: the sorted identifiers of the shingles that other
+    sets (or the same in another chunk) have as well, with ROUNDS min-hashes. A set with fewer of these than it must
+    share with one other links with none: most sets end here, before any pair is thought of."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("s", pa.binary()), ("mins", pa.list_(pa.int64()))])
+
+    def chunk(parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        (head,) = [x for _, _, x in parts if x]
+        rows, k = np.frombuffer(head, np.int64, 2).tolist()
+        at = 16
+        got = []
+        for size, dtype in ((rows, np.int64), (rows, np.uint8), (rows, np.int32), (k, np.int64)):
+            got.append(np.frombuffer(head, dtype, size, at))
+            at += got[-1].nbytes
+        doc, null, of, n = got
+        keys = [head[at + 16 * i : at + 16 * i + 16] for i in range(k)]
+        for i in range(0, rows, 10_000):
+            some = of[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 10_000], mask=null[i : i + 10_000] > 0), pa.array([int(n[j]) if j >= 0 else 0 for j in some], pa.int64()), pa.array([keys[j] if j >= 0 else None for j in some], pa.binary()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), kind.types[4])], schema=kind)
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x, _, _ in parts])
+        place = np.concatenate([np.frombuffer(x, np.uint16) for _, x, _ in parts])
+        order = np.lexsort((ids, place))
+        ids, edge = ids[order], np.searchsorted(place[order], np.arange(k + 1))
+        out = []
+        for i in np.flatnonzero((np.diff(edge) >= _need(n)) & (n > 0)).tolist():
+            s = ids[edge[i] : edge[i + 1]]
+            out.append((None, int(n[i]), keys[i], s.tobytes(), [int(mix(s.view(U64) + U64(r)).min().view(np.int64)) for r in range(ROUNDS)]))
+            if len(out) == 256 or i == k - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
 
-        parts, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
         for b in batches:
-            for _, s in _sets(b.column(0)):
-                parts.append(s)
-                size += len(s)
-                if size > 6_000_000:
-                    yield counted(parts)
-                    parts, size = [], 0
+            for c, ids, places, more in zip(*[b.column(j).to_pylist() for j in (2, 3, 4, 5)], strict=True):
+                if c != now and parts:
+                    yield from chunk(parts)
+                    parts = []
+                now = c
+                parts.append((ids, places, more))
         if parts:
-            yield counted(parts)
-
-    sums = stage(docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON), "common")
-    least, have = None, 0
-    for n, k in sorted(sums.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect(), reverse=True):
-        if have + k > COMMONS:
-            break
-        least, have = n, have + k
-    return np.sort(sums.filter(F.col("n") >= least).toArrow()["s"].to_numpy().view(U64)) if least is not None else np.zeros(0, U64)
+            yield from chunk(parts)
 
+    return _answered(_requests(docs, buckets)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, ROWS)
 
-SIGNATURES = "doc_id long, n long, key long, rare array<long>, often array<long>, mins array<long>"
 
-
-def signatures(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """A row per row of docs: size of the set; its key; its prefix, the n - ceil(3n/4) + 1 first shingles in an order
-    with common ones last, of which linked sets share one at least, split in rare and common; ROUNDS min-hashes of its
-    common shingles if its prefix has any. Prefixes come with a task's first row of a key only."""
-    sc = docs.sparkSession.sparkContext
-    bc = sc.broadcast(common)
-    longs = pa.list_(pa.int64())
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("rare", longs), ("often", longs), ("mins", longs)])
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """Sorted identifiers of shingles that tasks count COMMON times or more among sets: those over the lowest power of
+    two that COMMONS of them at most reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, seen = bc.value, set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                n, keys, rare, often, mins = [], [], [], [], []
-                for _, s in _sets(b.column(1)):
-                    k = int(_key(s).view(np.int64)) if len(s) else 0
-                    n.append(len(s))
-                    keys.append(k)
-                    r = o = m = None
-                    if len(s) and k not in seen:
-                        if len(seen) < 500_000:
-                            seen.add(k)
-                        p = len(s) - -(-3 * len(s) // 4) + 1
-                        place = np.minimum(np.searchsorted(hot, s), max(len(hot) - 1, 0))
-                        is_hot = hot[place] == s if len(hot) else np.zeros(len(s), bool)
-                        r = s[~is_hot][:p].view(np.int64)
-                        if len(r) < p:
-                            h = s[is_hot]
-                            o = h[: p - len(r)].view(np.int64)
-                            m = np.array([mix(h + U64(i)).min() for i in range(ROUNDS)]).view(np.int64)
-                    rare.append(r)
-                    often.append(o)
-                    mins.append(m)
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *[pa.array(x, longs) for x in (rare, often, mins)]], schema=kind)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
-
-
-def rare_pairs(sig: DataFrame) -> DataFrame:
-    """a, b, na, nb, ha, hb, c: pairs of classes that share c rare prefix shingles, and (kind 1) members of lists too
-    long for pairs: a the shingle, b the class, na its size, nb the shingle's place."""
-    entries = sig.filter("rare is not null").select("key", "n", F.coalesce(F.size("often"), F.lit(0)).alias("h"), F.posexplode("rare").alias("pos", "s"))
-    kind = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("ha", pa.int32()), ("hb", pa.int32()), ("c", pa.int64())])
+        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+            u, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u[n > 1]), pa.array(n[n > 1])], names=["s", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        s, key, n, h, pos = (t[c].to_numpy() for c in ("s", "key", "n", "h", "pos"))
-        order = np.lexsort((key, s))
-        s, key, n, h, pos = s[order], key[order], n[order], h[order], pos[order]
-        keep = np.concatenate([[True], (s[1:] != s[:-1]) | (key[1:] != key[:-1])])[: len(s)]
-        s, key, n, h, pos = s[keep], key[keep], n[keep], h[keep], pos[keep]
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
-        size = np.diff(np.append(begin, len(s)))
-        parts = []
-        for g in np.unique(size[(size > 1) & (size <= LONG)]):  # all lists of one length together
-            at = begin[size == g]
-            i, j = np.triu_indices(g, 1)
-            for some in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
-                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                ok = 4 * lo >= 3 * hi
-                parts.append(np.stack([x[ok], y[ok]]))
+        parts, size = [], 0
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                parts.append(np.frombuffer(s, np.int64))
+                size += len(parts[-1])
+                if size > 4_000_000:
+                    yield counted(parts)
+                    parts, size = [], 0
         if parts:
-            x, y = np.concatenate(parts, 1)
-            names, back = np.unique(key, return_inverse=True)
-            u, first, c = np.unique(back[x] * np.int64(len(names)) + back[y], return_index=True, return_counts=True)
-            x, y = x[first], y[first]
-            for k in range(0, len(u), 100_000):
-                a, b = x[k : k + 100_000], y[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), *[pa.array(v) for v in (key[a], key[b], n[a], n[b], h[a].astype(np.int32), h[b].astype(np.int32), c[k : k + 100_000])]], schema=kind)
-        long = np.repeat(size > LONG, size)
-        if long.any():
-            zero = np.zeros(long.sum(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(zero + 1), *[pa.array(v) for v in (s[long], key[long], n[long], pos[long].astype(np.int64), zero, zero, zero.astype(np.int64))]], schema=kind)
-
-    parts = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(parts, "s").mapInArrow(run, "kind int, a long, b long, na long, nb long, ha int, hb int, c long")
-
-
-def t_occurrence(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int, int]]:
-    """(i, j, overlap) of all linked pairs i < j of sets, or between the sides, if there are two. Each set in turn is a
-    query with T = ceil(3n/4): of its inverted lists the L longest are set aside, the short ones are merged, and sets
-    found T - L times or more are probed for in the long ones by binary search (DivideSkip)."""
-    size = np.array([len(s) for s in sets])
-    if len(sets) < 2:
+            yield counted(parts)
+
+    sums = stage(sets.select("s").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON), "common")
+    have, least = 0, None
+    for power, k in sorted(sums.groupBy(F.floor(F.log2("n")).alias("p")).count().collect(), reverse=True):
+        have += k
+        if have <= COMMONS:
+            least = 2**power
+    return np.sort(sums.filter(F.col("n") >= least).toArrow()["s"].to_numpy()) if least is not None else np.zeros(0, np.int64)
+
+
+def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, groups: list[int] | None = None, forest: bool = False) -> list[tuple[int, int, int]]:
+    """(i, j, overlap) of the linked pairs i < j of sorted sets; sizes, of which sets hold the shared members, are their
+    own if none are given. Sets of one group are not compared; with forest, nor are sets that found links connect.
+
+    Each set is a query with T, what it must share. Inverted lists with the same sets count as one list of their number
+    (weight). Of the query's lists the longest are set aside, while their weight stays under T and DivideSkip's share
+    T / (MU log2(longest) + 1); a heap merges the short ones, and sets whose weights reach T less the weight set aside
+    are probed for in the long ones by binary search."""
+    k = len(sets)
+    if k < 2:
         return []
-    token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
+    size = np.array(sizes if sizes is not None else [len(s) for s in sets])
+    names, root = {}, np.arange(k)
+    for i, g in enumerate(groups or []):
+        root[i] = names.setdefault(g, i)
+    token, owner = np.concatenate(sets), np.repeat(np.arange(k), [len(s) for s in sets])
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    end = np.append(begin[1:], len(token))
-    names, out = token[begin], []
-    two = len(np.unique(sides)) > 1
-    for i, s in enumerate(sets):
-        if not len(s):
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+    length = np.diff(np.append(begin, len(token)))
+    begin, length = begin[length > 1], length[length > 1]
+    if not len(begin):
+        return []
+    total = np.concatenate([[U64(0)], np.cumsum(mix(owner.astype(U64) + U64(1)), dtype=U64)])
+    mark = total[begin + length] - total[begin]
+    _, first, weight = np.unique(mark, return_index=True, return_counts=True)
+    lists = [owner[begin[x] : begin[x] + length[x]] for x in first]
+    of: list[list[int]] = [[] for _ in range(k)]
+    for x, own in enumerate(lists):
+        for i in own.tolist():
+            of[i].append(x)
+    out = []
+    for i in range(k - 1):
+        allowed = (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])) & (root != root[i])
+        allowed[: i + 1] = False
+        if not allowed.any() or not of[i]:
             continue
-        at = np.searchsorted(names, s)
-        lists = at[np.argsort(end[at] - begin[at], kind="stable")]
-        longest = int(end[lists[-1]] - begin[lists[-1]])
-        need = -(-3 * len(s) // 4)
-        aside = min(need - 1, int(need / (MU * np.log2(longest + 1) + 1))) if longest > 8 else 0
-        short = lists[: len(lists) - aside]
-        lens = end[short] - begin[short]
-        places = np.repeat(begin[short] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        count = np.bincount(owner[places], minlength=len(sets))
-        maybe = count >= need - aside
-        maybe[: i + 1] = False
-        maybe &= (4 * np.minimum(size, len(s)) >= 3 * np.maximum(size, len(s))) & (not two or sides != sides[i])
-        found = np.flatnonzero(maybe)
-        if len(found) and aside:
-            total = count[found]
-            for k in lists[len(lists) - aside :]:
-                own = owner[begin[k] : end[k]]
-                hit = np.minimum(np.searchsorted(own, found), len(own) - 1)
-                total = total + (own[hit] == found)
-        else:
-            total = count[found]
-        ok = 7 * total >= 3 * (size[found] + len(s))
-        out += [(i, int(j), int(o)) for j, o in zip(found[ok], total[ok], strict=True)]
+        t = int(_need(size[i]))
+        mine = []
+        for x in of[i]:
+            own = lists[x][allowed[lists[x]]]
+            if len(own):
+                mine.append((len(own), int(weight[x]), own.tolist()))
+        if sum(w for _, w, _ in mine) < t:
+            continue
+        mine.sort(key=lambda m: -m[0])
+        most = min(t - 1, t / (MU * np.log2(mine[0][0] + 1) + 1))
+        aside, far = 0, 0
+        while far < len(mine) and mine[far][0] > 4 and aside + mine[far][1] <= most:
+            aside += mine[far][1]
+            far += 1
+        short = mine[far:]
+        heap = [(own[0], x, 0) for x, (_, _, own) in enumerate(short)]
+        heapq.heapify(heap)
+        found: list[tuple[int, int]] = []
+        while heap:
+            j, count = heap[0][0], 0
+            while heap and heap[0][0] == j:
+                _, x, at = heap[0]
+                count += short[x][1]
+                own = short[x][2]
+                if at + 1 < len(own):
+                    heapq.heapreplace(heap, (own[at + 1], x, at + 1))
+                else:
+                    heapq.heappop(heap)
+            if count >= t - aside:
+                found.append((j, count))
+        for j, count in found:
+            if forest and root[j] == root[i]:
+                continue
+            for _, w, own in mine[:far]:
+                at = bisect_left(own, j)
+                if at < len(own) and own[at] == j:
+                    count += w
+            if 7 * count >= 3 * int(size[i] + size[j]):
+                out.append((i, j, count))
+                if forest:
+                    root[root == root[j]] = root[i]
     return out
 
 
 def search(rows: DataFrame) -> DataFrame:
-    """a, b: links inside blocks of sets, rows of (block, side, key, n, s): enough of them to join what is linked."""
+    """a, b: links inside blocks of rows (block, sid, n, s, label) that join what is linked there; a label's sets count
+    as joined already. A task holds one block at a time."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def one(t: pa.Table) -> pa.Table:
-        a, b = [], []
-        t = t.sort_by([("block", "ascending"), ("n", "ascending"), ("key", "ascending")])
-        block, key, side = t["block"].to_numpy(), t["key"].to_numpy(), t["side"].to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            root = list(range(hi - lo))
-
-            def top(x: int, root: list[int] = root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j, _ in t_occurrence([np.frombuffer(x.as_py(), U64) for x in t["s"][lo:hi]], side[lo:hi]):
-                p, q = top(i), top(j)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-            for i in range(hi - lo):
-                if top(i) != i:
-                    a.append(int(key[lo + top(i)]))
-                    b.append(int(key[lo + i]))
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=kind)
-
-    bins = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * 4
-    return rows.withColumn("bin", F.pmod(F.xxhash64("block"), F.lit(bins))).groupBy("bin").applyInArrow(one, "a long, b long")
-
-
-def blocks(rows: DataFrame, group: str, total: int) -> DataFrame:
-    """rows with (block, side): a group of up to BLOCK rows is a block; a larger one is dealt by hash into parts, and
-    every part meets itself and each other part."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__n") / BLOCK).cast("int")
-    got = attach(rows, sizes, group, "__n", total).withColumn("__p", parts).withColumn("side", F.pmod(F.xxhash64("key", F.lit(7)), F.col("__p")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("__p") - 1))
-    got = got.select("*", other.alias("__o"))
-    return got.withColumn("block", F.xxhash64(group, F.least("side", "__o"), F.greatest("side", "__o"))).drop("__n", "__p", "__o")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, links = None, [], []
+
+        def found() -> None:
+            got = t_occurrence([np.frombuffer(r[2], np.int64) for r in held], [r[1] for r in held], [r[3] for r in held], True)
+            links.extend((held[i][0], held[j][0]) for i, j, _ in got)
+
+        for b in batches:
+            for block, *r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if block != now:
+                    found()
+                    now, held = block, []
+                held.append(r)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=kind)
+                links.clear()
+        found()
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=kind)
+
+    columns = ["block", "sid", "n", "s", "label"]
+    return rows.select(*columns).repartition("block").sortWithinPartitions("block", "n", "sid").mapInArrow(run, "a long, b long")
+
+
+def _parts(thin: DataFrame, group: str, total: int, size: int) -> DataFrame:
+    """thin with __p, into how many parts of about `size` rows its group is dealt, for groups of two rows or more."""
+    sizes = thin.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    return attach(thin, sizes, group, "__n", total).filter("__n > 1").withColumn("__p", F.ceil(F.col("__n") / size).cast("int")).drop("__n")
+
+
+def _hash_part(parts: Column, *salt: Column | str) -> Column:
+    return F.pmod(F.xxhash64("sid", *salt), parts).cast("int")
+
+
+def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """sid, label, n, m, entries (late, s, pos): the first m - need + 1 shared shingles of each set, common ones (late)
+    last, of which linked sets share one at least."""
+    bc = sets.sparkSession.sparkContext.broadcast(common)
+    kind = pa.schema([("sid", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("late", pa.bool_()), ("s", pa.int64()), ("pos", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = bc.value
+        for b in batches:
+            sid, label, n = (c.to_numpy() for c in b.columns[:3])
+            sets = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            m = np.array([len(s) for s in sets], np.int64)
+            parts, lates = [], []
+            for s, k in zip(sets, (m - _need(n) + 1).tolist(), strict=True):
+                late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
+                order = np.argsort(late, kind="stable")[:k]
+                parts.append(s[order])
+                lates.append(late[order])
+            k = np.array([len(x) for x in parts], np.int64)
+            pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            if len(pos):
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(x, k)) for x in (sid, label, n, m)], pa.array(np.concatenate(lates)), pa.array(np.concatenate(parts)), pa.array(pos)], schema=kind)
+
+    return sets.select("sid", "label", "n", "s").mapInArrow(run, "sid long, label long, n long, m long, late boolean, s long, pos long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = ([np.frombuffer(v.as_py(), U64) for v in b.column(c)] for c in (2, 3))
-            ok = [7 * len(np.intersect1d(p, q, assume_unique=True)) >= 3 * (len(p) + len(q)) for p, q in zip(x, y, strict=True)]
+            x, y = ([np.frombuffer(v, np.int64) for v in b.column(c).to_pylist()] for c in (2, 4))
+            n = b.column(3).to_numpy() + b.column(5).to_numpy()
+            ok = [7 * len(np.intersect1d(p, q, assume_unique=True)) >= 3 * k for p, q, k in zip(x, y, n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    s = lambda c: sets.select(F.col("key").alias(c), F.col("s").alias(f"s{c}"))
-    return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    s = lambda c: sets.select(F.col("sid").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long")
+
+
+def links(sets: DataFrame, total: int) -> DataFrame:
+    """node, label: of the sets (sid, n, s, mins) that link with another, the smallest sid of what links join.
+
+    First sets that share a min-hash are searched in blocks, which joins nearly all that links join. Then every list of
+    a prefix shingle is looked at whose sets are still of different labels; lists of the same sets once. Their pairs
+    across labels, of sizes and with so much behind the shingle that they can link, are verified each; a list with more
+    than WIDE such pairs a set is searched in blocks instead, every part of it against each other part. No pair that
+    links is left out: it has a first common prefix shingle."""
+    thin = sets.select("sid", F.posexplode("mins").alias("round", "m")).select("sid", F.xxhash64("round", "m").alias("g"))
+    blocks = _parts(thin, "g", total, BLOCK).withColumn("block", F.xxhash64("g", _hash_part(F.col("__p"), "g")))
+    first = stage(search(blocks.select("block", "sid").join(sets, "sid").withColumn("label", F.col("sid"))), "links")
+    labels = components(first)
+    named = stage(sets.select("sid", "n", "s").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "sets")
+    entries = stage(prefixes(named, common_shingles(named)), "prefixes")
+    per = entries.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("sig"), F.min("late").alias("late"))
+    per = per.groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.bit_xor("sig").alias("sig"), F.min("late").alias("late"), (F.min("label") < F.max("label")).alias("several"))
+    once = per.filter("several").groupBy("sig", "k", "same").agg(F.min(F.struct("late", "s")).alias("x"))
+    lists = stage(once.select(F.col("x.s").alias("s"), ((F.col("k") * F.col("k") - F.col("same")) / 2 > WIDE * F.col("k")).alias("wide")), "lists")
+    mixed = entries.drop("late").join(lists, "s")
+    side = lambda c: mixed.filter("not wide").select("s", *[F.col(x).alias(f"{x}{c}") for x in ("sid", "label", "n", "m", "pos")])
+    least = lambda x: F.least(f"{x}a", f"{x}b")
+    fit = (F.col("labela") < F.col("labelb")) & (4 * least("n") >= 3 * F.greatest("na", "nb")) & (7 * F.least(F.col("ma") - F.col("posa"), F.col("mb") - F.col("posb")) >= 3 * (F.col("na") + F.col("nb")))
+    pairs = side("a").join(side("b"), "s").filter(fit).select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct()
+    more = _verify(pairs, named.select("sid", "n", "s"))
+    if lists.filter("wide").limit(1).count():
+        dealt = _parts(mixed.filter("wide").select("s", "sid"), "s", total, BLOCK // 2).withColumn("__i", _hash_part(F.col("__p"), F.lit(7)))
+        dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__p") - 1)))
+        dealt = dealt.select("sid", F.xxhash64("s", F.least("__i", "__o"), F.greatest("__i", "__o")).alias("block")).distinct()
+        more = more.unionByName(search(dealt.join(named, "sid")))
+    more = stage(more, "links")
+    return components(first.unionByName(more)) if more.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (columns doc_id, text); see the module for the link.
 
-    Equal sets are one class. Classes share rare prefix shingles with few others; those pairs are counted, the ones that
-    share too few to link, with what they share in long lists, are dropped, and the classes that remaining pairs connect are searched block by block, each
-    set moving once. Classes most of whose shingles are common (members of large groups) are searched in min-hash
-    groups of BLOCK sets; then what still shares a common prefix shingle across components, and is long enough behind
-    it to link, is verified pair by pair. Null and empty texts have no shingles and no links; rows with one doc_id are
-    rows of their own that count in its name."""
-    sig = stage(signatures(docs, common_shingles(docs)), "signatures")
-    classes = stage(sig.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size")), "classes")
+    Rows with equal sets are one class. Sets that share too little with all others together end first (signatures);
+    the rest are joined by T-occurrence search (links). Null and empty texts have no shingles and no links; rows with one
+    doc_id are rows of their own that count in its name. Equal sets are recognised by 128 bits, shingles by 64 within a
+    text and by their bucket and 40 bits between texts."""
+    rows = stage(signatures(docs), "signatures")
+    sig = rows.filter("s is null").select("doc_id", "n", "key")
     total = sig.count()
-    mixed = stage(rare_pairs(sig), "pairs")
-    rest = lambda n: F.ceil(3 * F.col(n) / 4) - 1  # noqa: E731  shingles behind the prefix
-    counted = mixed.filter("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max(F.least("ha", "hb")).alias("h"))
-    counted = stage(counted.withColumn("need", F.ceil(3 * (F.col("na") + F.col("nb")) / 7) - F.greatest(rest("na"), rest("nb")) - F.col("h")), "counted")
-    strong = counted.filter("c >= need").select("a", "b")
-    held = mixed.filter("kind = 1").groupBy("b").agg(F.collect_set("a").alias("l"))
-    l = lambda c: held.select(F.col("b").alias(c), F.col("l").alias(f"l{c}"))  # noqa: E731, E741
-    weak = counted.filter("c < need").join(l("a"), "a").join(l("b"), "b")  # what both have in long lists counts as well
-    near = components(strong.unionByName(weak.filter(F.col("c") + F.size(F.array_intersect("la", "lb")) >= F.col("need")).select("a", "b")))
-    often = sig.filter("often is not null").select("key", "n", "rare", "often", "mins").dropDuplicates(["key"])
-    long = mixed.filter("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-    lists = stage(often.select("key", "n", F.size("rare").alias("skip"), F.posexplode("often").alias("pos", "s")).select("s", "key", "n", (F.col("skip") + F.col("pos")).cast("long").alias("pos")).unionByName(long).distinct(), "lists")
-    wanted = near.select(F.col("node").alias("key")).unionByName(lists.select("key")).distinct()
-    active = classes.join(wanted, "key").select("doc_id", "key")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()  # a repeated row's set is sent on once
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                key, got = b.column(0).to_numpy(), []
-                for i, s in _sets(b.column(1)):
-                    if len(s) and int(key[i]) not in done and _key(s).view(np.int64) == key[i]:
-                        done.add(int(key[i]))
-                        got.append((int(key[i]), len(s), s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True) if got else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "n", "s"])
-
-    name = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    texts = docs.select(name.alias("d"), "text").join(active.select(name.alias("d"), "key"), "d")
-    sets = stage(texts.select("key", "text").mapInArrow(hashed, "key long, n long, s binary"), "sets")
-    tight = sets.join(near.select(F.col("node").alias("key"), "label"), "key").withColumnRenamed("label", "g")
-    rounds = often.filter("mins is not null").select("key", F.posexplode("mins").alias("round", "m")).withColumn("g", F.xxhash64("round", "m"))
-    found = search(blocks(tight, "g", total).select("block", "side", "key", "n", "s"))
-    hot = sets.join(rounds.select("key", "round", "g"), "key")
-    sizes = hot.groupBy("g").agg(F.count(F.lit(1)).alias("__n"))
-    part = attach(hot, sizes, "g", "__n", total).filter("__n > 1").withColumn("block", F.xxhash64("g", F.pmod(F.xxhash64("key", "round"), F.ceil(F.col("__n") / BLOCK))))
-    found = found.unionByName(search(part.select("block", F.lit(0).alias("side"), "key", "n", "s")))
-    links = stage(found, "links")
-    labels = components(links)
-    if lists.limit(1).count():
-        named = lists.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        kinds = named.groupBy("s", "label", "n", "pos").agg(F.count(F.lit(1)).alias("__k"))
-        several = kinds.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("s")
-        kinds = stage(kinds.join(several, "s").drop("__k"), "kinds")
-        x, y = (kinds.select("s", *[F.col(c).alias(f"{c}{k}") for c in ("label", "n", "pos")]) for k in "ab")
-        fit = x.join(y, "s").filter((F.col("labela") < F.col("labelb")) & (7 * F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= 3 * (F.col("na") + F.col("nb"))))
-        side = lambda k: named.select("s", *[F.col(c).alias(f"{c}{k}") for c in ("label", "n", "pos")], F.col("key").alias(k))
-        pairs = fit.join(side("a"), ["s", "labela", "na", "posa"]).join(side("b"), ["s", "labelb", "nb", "posb"]).select("a", "b").distinct()
-        more = stage(_verify(pairs, sets), "links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-    named = classes.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = stage(named, "classes")
-    groups = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    where = stage(attach(named.select("key", "size", "label"), groups, "label", "members", total).select("key", "size", "component_id"), "where")
-    out = attach(sig.select("doc_id", "n", "key").withColumn("key", F.when(F.col("n") > 0, F.col("key"))), where, "key", "size", total)
+    found = rows.filter("s is not null").select("key", "n", "s", "mins")
+    sets = stage(found.groupBy("key").agg(F.max_by(F.struct("n", "s", "mins"), F.octet_length("s")).alias("x")).select("key", "x.*").withColumn("sid", F.monotonically_increasing_id()), "sets")
+    labels = links(sets.select("sid", "n", "s", "mins"), total)
+    named = sets.select("key", "sid").join(labels.withColumnRenamed("node", "sid"), "sid").select("key", "label")
+    classes = sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    joined = stage(classes.join(named, "key"), "classes")
+    smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    where = attach(joined.select("key", "label"), smallest, "label", "members", total).select("key", "component_id")
+    where = stage(classes.join(where, "key", "left").select("key", "size", F.coalesce("component_id", "least").alias("component_id")), "where")
+    out = attach(sig.filter("n > 0"), where, "key", "size", total).drop("size").unionByName(sig.filter("n = 0").withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -69,10 +69,12 @@ def near(rows):
     return sorted((str(rows[k][0]), len(sets[k]), str(small[top(k)])) for k in sets)
 
 
-@pytest.mark.parametrize("common,long", [(24, 64), (4, 4), (10_000, 3)])
-def test_jaccard(spark, rows, monkeypatch, common, long):
+@pytest.mark.parametrize("common,wide,rounds,chunk", [(24, 32, 3, 60_000), (4, 0, 0, 10), (10_000, 0.5, 1, 25), (8, 1000, 0, 60_000)])
+def test_jaccard(spark, rows, monkeypatch, common, wide, rounds, chunk):
     monkeypatch.setattr(jaccard, "COMMON", common)
-    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     got = jaccard.near_duplicates(docs(spark, rows)).collect()
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == near(rows)
@@ -100,7 +102,17 @@ def test_t_occurrence():
     r = np.random.default_rng(1)
     sets = [np.sort(r.permutation(40)[:34]).astype(np.uint64) for _ in range(60)]
     want = {(i, j) for j in range(60) for i in range(j) if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
-    assert {(i, j) for i, j, _ in jaccard.t_occurrence(sets, np.zeros(60, int))} == want and want
+    sets = [s.astype(np.int64) for s in sets]
+    got = jaccard.t_occurrence(sets)
+    assert {(i, j) for i, j, _ in got} == want and want
+    assert all(o == len(np.intersect1d(sets[i], sets[j])) for i, j, o in got)
+    tree = jaccard.t_occurrence(sets, forest=True)
+    root = list(range(60))
+    for links in (tree, got):
+        before = len(set(root))
+        for i, j, _ in links:
+            root = [root[i] if x == root[j] else x for x in root]
+    assert len(tree) == 60 - before and len(set(root)) == before  # a forest that joins all that links join
 
 
 def test_dedup(spark, rows):
@@ -308,7 +320,8 @@ def test_jaccard_counts_shared_shingles_of_long_lists(spark, monkeypatch):
             yield i, np.array(sorted(map(int, (t or "").split())), np.uint64)
 
     monkeypatch.setattr(jaccard, "_sets", sets)
-    monkeypatch.setattr(jaccard, "LONG", 3)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "WIDE", 1)
     line = lambda *parts: " ".join(str(x) for p in parts for x in p)
     both = [*range(1000, 1011), 2000, *range(5000, 5074)]  # 11 in short lists, one in a long list, 74 behind the prefix
     a, b = line(both, range(100, 114)), line(both, range(200, 214))

@@ -330,6 +330,25 @@ def test_jaccard_counts_shared_shingles_of_long_lists(spark, monkeypatch):
     assert sorted((x.doc_id, x.component_id) for x in got) == [(0, 0), (1, 0)] + [(k, k) for k in range(2, 7)]
 
 
+def test_ann_verifies_a_third_at_most():
+    r = np.random.default_rng(9)
+    x = r.standard_normal((6000, 64)) + 0.6 * r.standard_normal((40, 64))[r.integers(0, 40, 6000)]
+    index, hits = ann.Index(np.arange(6000), x), 0
+    for q in range(0, 6000, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(index.search(q, x[q], 10)[0].tolist()) & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 300 and index.verified <= 30 * 6000 / 3
+
+
+def test_ann_ties_and_lengths(spark):
+    rows = [(i, [1.0, float(i % 3), 0.0]) for i in range(60)] + [(100 + i, [float(i + 1)] * 5) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.knn(df.filter("vec_id in (0, 100)"), df, 10).orderBy("query_id", "rank").collect()
+    assert [(g.vec_id, g.score) for g in got if g.query_id == 0] == [(i, 0.0) for i in range(3, 33, 3)]
+    assert [(g.rank, g.vec_id) for g in got if g.query_id == 100] == [(1, 101), (2, 102), (3, 103)]
+
+
 def test_ann_repeated_ids(spark):
     r = np.random.default_rng(6)
     x = r.standard_normal((60, 8))

@@ -42,8 +42,9 @@ class Vocabulary:
     prefix: bool = True
 
     @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        """From a model file whose normaliser is the identity without white-space removal."""
+    def load(cls, path: str, kind: int | None = None) -> Vocabulary:
+        """From a model file whose normaliser is the identity without white-space removal; with `kind`, its pieces and
+        scores as those of a model of that kind."""
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -58,14 +59,14 @@ class Vocabulary:
         pieces = tuple(sp.id_to_piece(i) for i in range(n))
         byte = {p: i for i, p in enumerate(pieces) if sp.is_byte(i)}
         plain = tuple(not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n))
-        return cls(pieces, tuple(sp.get_score(i) for i in range(n)), plain, tuple(byte.get(f"<0x{b:02X}>", -1) for b in range(256)), sp.unk_id(), BPE if proto.trainer_spec.model_type == BPE else UNIGRAM, proto.normalizer_spec.add_dummy_prefix)
+        return cls(pieces, tuple(sp.get_score(i) for i in range(n)), plain, tuple(byte.get(f"<0x{b:02X}>", -1) for b in range(256)), sp.unk_id(), kind or (BPE if proto.trainer_spec.model_type == BPE else UNIGRAM), proto.normalizer_spec.add_dummy_prefix)
 
 
 class Codec:
     """Words of one length advance together. The hashes of all their substrings are probed in the sorted hashes of the
     pieces once, which gives a lattice of piece ids; ids come from it by Viterbi for unigram models, with vectorised
-    maxima and backpointers, and by vectorised lowest-rank merges for BPE models, whose ids a maximal sum of scores
-    doesn't give."""
+    maxima and backpointers (of equal sums the longer last piece wins), and by vectorised lowest-rank merges for BPE
+    models, whose ids a maximal sum of scores doesn't give."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -156,7 +157,7 @@ class Codec:
         best[:, 0] = 0
         back = np.zeros((m, n + 1), np.int64)
         for e in range(1, n + 1):
-            size = np.arange(1, min(e, t.shape[2]) + 1)
+            size = np.arange(min(e, t.shape[2]), 0, -1)
             reach = best[:, e - size] + gain[:, e - size, size - 1]
             back[:, e] = size[reach.argmax(1)]
             best[:, e] = reach.max(1)
@@ -231,18 +232,19 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(Vocabulary.load(path))
+def codec(path: str, kind: int | None = None) -> Codec:
+    return Codec(Vocabulary.load(path, kind))
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, kind_of: int | None = UNIGRAM) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), decoded (the text those ids give back) of every row; null
-    text is empty and has no ids. Distinct words of a batch are encoded once; nothing is shuffled."""
+    text is empty and has no ids. Distinct words of a batch are encoded once; nothing is shuffled. `kind_of` says how
+    ids come from the pieces: UNIGRAM by Viterbi over their scores, BPE by merges, None as the model file says."""
     path = path or default_path()
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, kind_of)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
@@ -252,14 +254,14 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
-def encoding_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encoding_digest(docs: DataFrame, path: str | None = None, kind_of: int | None = UNIGRAM) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (unsigned), round_trip (the decoded text is the text) of every row: encode_documents'
     results summed up where they are made."""
     path = path or default_path()
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, kind_of)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 texts = whole.column(1).slice(at, 512).to_pylist()

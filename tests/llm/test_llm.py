@@ -201,6 +201,18 @@ def test_sentencepiece(spark, rows):
     c = spm.codec(spm.default_path())
     odd = [t or "" for _, t in rows] + ["a  b", " x ", "▁a▁", "☃\x00é", "    deep"]
     assert [np.frombuffer(i, "<u4").tolist() for i in c.encode(odd)] == sp.encode(odd)
+    merged = {x.doc_id: x.ids for x in spm.encode_documents(docs(spark, rows[:40]), kind_of=None).collect()}
+    assert all(np.frombuffer(merged[i], "<u4").tolist() == sp.encode(t or "") for i, t in rows[:40])
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(open(spm.default_path(), "rb").read())
+    proto.trainer_spec.model_type = spm.UNIGRAM
+    uni = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    some = [(i, t) for i, t in rows if len(t or "") < 3000] + [(900, "a  b"), (901, "☃\x00é ☃"), (902, "unbelievable tokenization of antidisestablishmentarianism")]
+    got = {x.doc_id: (np.frombuffer(x.ids, "<u4").tolist(), x.decoded) for x in spm.encode_documents(docs(spark, some)).collect() if x.doc_id not in (3, None)}
+    assert all(got[i] == (uni.encode(t or ""), t or "") for i, t in some if i in got)
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(60_000))
+    assert spm.codec(spm.default_path(), spm.UNIGRAM).decode(spm.codec(spm.default_path(), spm.UNIGRAM).encode([long])[0]) == long
     got = spm.encoding_digest(docs(spark, rows)).collect()
     assert len(got) == len(rows) and all(x.round_trip for x in got)
     v = spm.Vocabulary(("<unk>", "▁", "a", "b", "▁a", "ab", "ba", "▁ab"), (0.0, -2.0, -3.0, -3.0, -2.5, -2.0, -4.0, -5.0), (False,) + (True,) * 7, (-1,) * 256, 0, spm.UNIGRAM)

@@ -57,11 +57,10 @@ class Capacity:
         return free, self.bins[free].pop()
 
 
-def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The bin of each size; equal sizes in the order given."""
+def best_fit(sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The bin of each size in the order given: the fullest that still has room, else a new one."""
     out, free, n = np.zeros(len(sizes), np.int64), Capacity(length), 0
-    for i in np.argsort(-sizes, kind="stable"):
-        need = int(sizes[i])
+    for i, need in enumerate(sizes.tolist()):
         found = free.take(need)
         if found:
             left, b = found
@@ -72,101 +71,111 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return out
 
 
+def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The bin of each size, the largest first; equal sizes in the order given."""
+    order, out = np.argsort(-sizes, kind="stable"), np.zeros(len(sizes), np.int64)
+    out[order] = best_fit(sizes[order], length)
+    return out
+
+
 class LocalSearch:
-    """Moves and exchanges between underfull bins, each raising the sum of squared fills, that try to empty the
-    emptiest bins. After best-fit decreasing; ends when `patience` bins one after another can't be emptied."""
+    """Empties bins by moves and exchanges, each raising the sum of squared fills. The emptiest bin gives a piece to the
+    bin it fits best; if none takes any, it gives one piece, or two, for one smaller piece of another bin. It goes on
+    with the next emptiest bin when nothing more can be done, and ends when the count of bins meets its lower bound or a
+    pass over all bins changes nothing. `moves`, `swaps`, `pairs` and `emptied` count what was done."""
 
-    def __init__(self, sizes: np.ndarray, bins: np.ndarray, length: int = LENGTH, patience: int = 60):
-        self.size, self.bin, self.length, self.patience = sizes.astype(np.int64), bins.copy(), length, patience
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, length: int = LENGTH):
+        self.size, self.bin, self.length = sizes.astype(np.int64), bins.astype(np.int64).copy(), length
         self.fill = np.bincount(bins, self.size, minlength=bins.max(initial=-1) + 1).astype(np.int64)
-        open_items = np.flatnonzero(self.fill[bins] < length)
-        self.items = open_items  # items of bins that were full at the start never change
-        self.of: dict[int, set[int]] = {}
-        for i in open_items:
-            self.of.setdefault(int(bins[i]), set()).add(int(i))
-
-    def shift(self, items: list[int], to: int) -> None:
-        for i in items:
-            b = int(self.bin[i])
-            self.of[b].discard(i)
-            self.of[to].add(i)
-            self.bin[i] = to
-            self.fill[b] -= self.size[i]
-            self.fill[to] += self.size[i]
+        self.of: list[list[int]] = [[] for _ in self.fill]
+        for i, b in enumerate(bins.tolist()):
+            self.of[b].append(i)
+        self.items = np.arange(len(sizes))  # those of bins that aren't full; refreshed now and then
+        self.tried, self.changed = np.zeros(len(self.fill), bool), False  # in this pass; in this pass at all
+        self.moves = self.swaps = self.pairs = self.emptied = 0
+
+    def shift(self, i: int, to: int) -> None:
+        b, x = int(self.bin[i]), int(self.size[i])
+        self.of[b].remove(i)
+        self.of[to].append(i)
+        self.bin[i] = to
+        self.fill[b] -= x
+        self.fill[to] += x
+        self.tried[[b, to]] = False
+        self.changed = True
+
+    def exchange(self, e: int, x: int, give: tuple[int, ...]) -> bool:
+        """The pieces `give` of bin e, x in all, for the one smaller piece elsewhere that raises the squared fills most."""
+        at = self.bin[self.items]
+        y, fill = self.size[self.items], self.fill[at]
+        ok = np.flatnonzero((y < x) & (fill - y + x <= self.length) & (at != e))
+        if not len(ok):
+            return False
+        d = x - y[ok]
+        rise = d * (fill[ok] - self.fill[e] + d)
+        best = int(ok[np.argmax(rise)])
+        if rise.max() <= 0:
+            return False
+        to, back = int(at[best]), int(self.items[best])
+        self.shift(back, e)
+        for i in give:
+            self.shift(i, to)
+        return True
 
     def step(self, e: int) -> bool:
-        """One change for bin e that takes tokens out of it; False if none raises the squared fill."""
-        own = sorted(self.of[e], key=lambda i: -self.size[i])[:8]
-        bins = np.fromiter((b for b in self.of if b != e and self.of[b]), np.int64)
-        if not len(bins):
-            return False
-        free = self.length - self.fill[bins]
-        for i in own:  # move
-            x = int(self.size[i])
-            ok = np.flatnonzero((free >= x) & (self.fill[bins] >= self.fill[e] - x))
+        """One change that takes tokens out of bin e; False if none raises the squared fills."""
+        own = {int(self.size[i]): i for i in self.of[e]}  # pieces of one size are alike
+        order = sorted(own, reverse=True)
+        for x in order:
+            ok = np.flatnonzero((self.fill <= self.length - x) & (self.fill > self.fill[e] - x))
+            ok = ok[ok != e]
             if len(ok):
-                self.shift([i], int(bins[ok[np.argmin(free[ok])]]))
+                self.shift(own[x], int(ok[np.argmax(self.fill[ok])]))
+                self.moves += 1
                 return True
-        there = self.items[self.bin[self.items] != e]
-        y, at = self.size[there], self.bin[there]
-        room = y + self.length - self.fill[at]
-        groups = [[i] for i in own] + [[own[a], own[b]] for a in range(len(own)) for b in range(a)]
-        best, gain = None, 0
-        for g in groups:  # one for one, two for one
-            x = int(self.size[g].sum())
-            ok = np.flatnonzero((y < x) & (room >= x))
-            if len(ok):
-                d = x - y[ok]
-                rise = 2 * d * (self.fill[at[ok]] - self.fill[e] + d)
-                k = int(np.argmax(rise))
-                if rise[k] > gain:
-                    best, gain = (g, [int(there[ok[k]])]), int(rise[k])
-        if best is None:  # one for two of the same bin
-            order = np.lexsort((y, at))
-            same = at[order][1:] == at[order][:-1]
-            first, second = there[order[:-1][same]], there[order[1:][same]]
-            both, where = self.size[first] + self.size[second], self.bin[first]
-            for i in own:
-                x = int(self.size[i])
-                ok = np.flatnonzero((both < x) & (both + self.length - self.fill[where] >= x))
-                if len(ok):
-                    d = x - both[ok]
-                    rise = 2 * d * (self.fill[where[ok]] - self.fill[e] + d)
-                    k = int(np.argmax(rise))
-                    if rise[k] > gain:
-                        best, gain = ([i], [int(first[ok[k]]), int(second[ok[k]])]), int(rise[k])
-        if best is None:
-            return False
-        to = int(self.bin[best[1][0]])
-        self.shift(best[1], e)
-        self.shift(best[0], to)
-        return True
+        for x in order:
+            if self.exchange(e, x, (own[x],)):
+                self.swaps += 1
+                return True
+        sums: dict[int, tuple[int, int]] = {}
+        for i, x in enumerate(order):
+            twin = next((k for k in self.of[e] if k != own[x] and self.size[k] == x), None)
+            for y, other in [(x, twin)] * (twin is not None) + [(y, own[y]) for y in order[i + 1 :]]:
+                sums.setdefault(x + y, (own[x], other))
+        for x in sorted(sums, reverse=True):
+            if self.exchange(e, x, sums[x]):
+                self.pairs += 1
+                return True
+        return False
 
     def run(self) -> np.ndarray:
-        failed, least = 0, -(-int(self.size.sum()) // self.length)
-        count = int((self.fill > 0).sum())
-        tried: set[int] = set()
-        while failed < self.patience and count > least:
-            left = [b for b in self.of if self.of[b] and b not in tried]
-            if len(left) < 2:
-                break
-            e = min(left, key=lambda b: (self.fill[b], b))
-            tried.add(e)
+        least, count = -(-int(self.size.sum()) // self.length), int((self.fill > 0).sum())
+        while count > least:
+            open_ = np.flatnonzero((self.fill > 0) & (self.fill < self.length) & ~self.tried)
+            if not len(open_):
+                if not self.changed:
+                    break
+                self.tried[:], self.changed = False, False
+                continue
+            self.items = self.items[self.fill[self.bin[self.items]] < self.length]
+            e = int(open_[np.argmin(self.fill[open_])])
             while self.of[e] and self.step(e):
                 pass
-            if self.of[e]:
-                failed += 1
-            else:
-                failed, count = 0, count - 1
-                del self.of[e]
+            self.tried[e] = True
+            if not self.of[e]:
+                count, self.emptied = count - 1, self.emptied + 1
+                self.fill[e] = self.length  # closed: takes nothing any more
         return self.bin
 
 
 def local_search(sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The bin of each size, from 0 without gaps."""
+    """The bin of each size, from 0 without gaps: best fit in the order given, pieces of over half a bin first, then
+    local search."""
     if not len(sizes):
         return np.zeros(0, np.int64)
-    return np.unique(LocalSearch(sizes, best_fit_decreasing(sizes, length), length).run(), return_inverse=True)[1]
+    start, order = np.zeros(len(sizes), np.int64), np.argsort(2 * sizes <= length, kind="stable")
+    start[order] = best_fit(sizes[order], length)
+    return np.unique(LocalSearch(sizes, start, length).run(), return_inverse=True)[1]
 
 
 def token_pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -197,7 +206,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("length", "descending"), ("row", "ascending")])
+        t = t.sort_by("row")
         sizes = t["length"].to_numpy()
         at = local_search(sizes, length)
         order = np.argsort(at, kind="stable")

@@ -179,10 +179,18 @@ def test_fits():
             b = min(fit, key=lambda b: free[b]) if fit else len(free)
             free[b : b + 1] = [(free[b] if fit else 100) - sizes[i]]
         bins = packing.local_search(sizes, 100)
-        assert plain.max() + 1 == len(free) and np.bincount(bins, sizes).max() <= 100 and bins.max() <= plain.max()
+        assert plain.max() + 1 == len(free) and np.bincount(bins, sizes).max() <= 100 and bins.max() <= plain.max() + 1
+        assert set(bins) == set(range(bins.max() + 1))
     sizes = np.array([6, 5, 5, 4, 3, 3, 2, 2])  # a worse start than best fit's is mended
     bins = packing.LocalSearch(sizes, np.array([0, 1, 2, 3, 1, 2, 0, 3]), 10).run()
     assert len(set(bins)) == 3 and np.bincount(bins, sizes).max() == 10
+    sizes = np.minimum(r.exponential(600, 4000).astype(int) + 1, 2047)
+    start = packing.best_fit(sizes)
+    search = packing.LocalSearch(sizes, start)
+    bins, least = search.run(), -(-sizes.sum() // 2048)
+    assert search.emptied > 3 and search.moves and search.swaps and search.pairs  # the search does the work
+    assert np.bincount(bins, sizes).max() <= 2048 and len(set(bins.tolist())) == start.max() + 1 - search.emptied <= 1.004 * least
+    assert packing.local_search(sizes).max() + 1 <= 1.003 * least
 
 
 def test_tokens_equal_the_library():

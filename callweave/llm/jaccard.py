@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import attach, mix, shingles, slices, stage, words
@@ -25,8 +25,9 @@ CHUNK_SHINGLES, CHUNK_SETS = 3_000_000, 60_000
 COMMON, COMMONS = 24, 400_000
 #: Pairs across components that a list may give for each of its sets; a list with more is searched in blocks.
 WIDE = 32
-#: Sets searched against each other in one block, and rounds of min-hash groups.
-BLOCK, ROUNDS = 64, 3
+#: Sets searched against each other in one block, and rounds of min-hash groups: those for all sets, then those for
+#: groups that still hold several components.
+BLOCK, ROUNDS, AGAIN = 64, 3, 4
 MU = 0.01
 #: An identifier of a shingle is its bucket and ID_BITS bits of its hash; the place that stands for several sets.
 ID_BITS, SEVERAL = 40, 0xFFFF
@@ -170,7 +171,7 @@ ROWS = "doc_id long, n long, key binary, s binary, mins array<long>"
 def signatures(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n, the size of its set, and key, which equal sets share (null for n = 0). Beside
     them, with s and no doc_id, a row per chunk and set that may link: the sorted identifiers of the shingles that other
-    sets (or the same in another chunk) have as well, with ROUNDS min-hashes. A set with fewer of these than it must
+    sets (or the same in another chunk) have as well, with ROUNDS + AGAIN min-hashes. A set with fewer of these than it must
     share with one other links with none: most sets end here, before any pair is thought of."""
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("s", pa.binary()), ("mins", pa.list_(pa.int64()))])
@@ -195,7 +196,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         out = []
         for i in np.flatnonzero((np.diff(edge) >= _need(n)) & (n > 0)).tolist():
             s = ids[edge[i] : edge[i + 1]]
-            out.append((None, int(n[i]), keys[i], s.tobytes(), [int(mix(s.view(U64) + U64(r)).min().view(np.int64)) for r in range(ROUNDS)]))
+            out.append((None, int(n[i]), keys[i], s.tobytes(), [int(mix(s.view(U64) + U64(r)).min().view(np.int64)) for r in range(ROUNDS + AGAIN)]))
             if len(out) == 256 or i == k - 1:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
                 out = []
@@ -217,9 +218,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return _answered(_requests(docs, buckets)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, ROWS)
 
 
-def common_shingles(sets: DataFrame) -> np.ndarray:
-    """Sorted identifiers of shingles that tasks count COMMON times or more among sets: those over the lowest power of
-    two that COMMONS of them at most reach."""
+#: Sorted identifiers of common shingles, and the place of each by frequency, from 1.
+Common = tuple[np.ndarray, np.ndarray]
+
+
+def common_shingles(sets: DataFrame) -> Common:
+    """Shingles that tasks count COMMON times or more among sets: those over the lowest power of two that COMMONS of
+    them at most reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -243,12 +248,20 @@ def common_shingles(sets: DataFrame) -> np.ndarray:
         have += k
         if have <= COMMONS:
             least = 2**power
-    return np.sort(sums.filter(F.col("n") >= least).toArrow()["s"].to_numpy()) if least is not None else np.zeros(0, np.int64)
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = sums.filter(F.col("n") >= least).toArrow()
+    ids, n = got["s"].to_numpy(), got["n"].to_numpy()
+    place = np.empty(len(ids), np.int64)
+    place[np.lexsort((ids, n))] = np.arange(1, len(ids) + 1)
+    order = np.argsort(ids)
+    return ids[order], place[order]
 
 
-def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, groups: list[int] | None = None, forest: bool = False) -> list[tuple[int, int, int]]:
+def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, groups: list[int] | None = None, forest: bool = False, apart: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(i, j, overlap) of the linked pairs i < j of sorted sets; sizes, of which sets hold the shared members, are their
-    own if none are given. Sets of one group are not compared; with forest, nor are sets that found links connect.
+    own if none are given. Sets of one group are not compared, nor those that the matrix `apart` marks; with forest, nor
+    are sets that found links connect, and an overlap is only counted up to what links.
 
     Each set is a query with T, what it must share. Inverted lists with the same sets count as one list of their number
     (weight). Of the query's lists the longest are set aside, while their weight stays under T and DivideSkip's share
@@ -281,6 +294,8 @@ def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, groups:
     for i in range(k - 1):
         allowed = (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])) & (root != root[i])
         allowed[: i + 1] = False
+        if apart is not None:
+            allowed &= ~apart[i]
         if not allowed.any() or not of[i]:
             continue
         t = int(_need(size[i]))
@@ -316,28 +331,62 @@ def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, groups:
         for j, count in found:
             if forest and root[j] == root[i]:
                 continue
-            for _, w, own in mine[:far]:
+            need, left = -(-3 * int(size[i] + size[j]) // 7), aside
+            for _, w, own in reversed(mine[:far]):
+                if count + left < need or (forest and count >= need):
+                    break
+                left -= w
                 at = bisect_left(own, j)
                 if at < len(own) and own[at] == j:
                     count += w
-            if 7 * count >= 3 * int(size[i] + size[j]):
+            if count >= need:
                 out.append((i, j, count))
                 if forest:
                     root[root == root[j]] = root[i]
     return out
 
 
-def search(rows: DataFrame) -> DataFrame:
-    """a, b: links inside blocks of rows (block, sid, n, s, label) that join what is linked there; a label's sets count
-    as joined already. A task holds one block at a time."""
+def _prefix(s: np.ndarray, n: int, common: Common) -> tuple[np.ndarray, np.ndarray]:
+    """The first m - need + 1 of m shared shingles, of which linked sets share one at least, and their late: 0, or a
+    common one's place. Common ones are last, the most frequent at the end."""
+    ids, place = common
+    late = np.zeros(len(s), np.int64)
+    if len(ids):
+        at = np.minimum(np.searchsorted(ids, s), len(ids) - 1)
+        late = np.where(ids[at] == s, place[at], 0)
+    order = np.argsort(late, kind="stable")[: len(s) - int(_need(n)) + 1]
+    return s[order], late[order]
+
+
+def _met_before(sets: list[np.ndarray], sizes: list[int], common: Common, list_: int) -> np.ndarray:
+    """Which pairs share a prefix shingle that comes before list_, so that its list, not this one, is theirs."""
+    out = np.zeros((len(sets), len(sets)), bool)
+    own: dict[int, list[int]] = {}
+    for i, (s, n) in enumerate(zip(sets, sizes, strict=True)):
+        for x in _prefix(s, n, common)[0].tolist():
+            if x == list_:
+                break
+            own.setdefault(x, []).append(i)
+    for at in own.values():
+        if len(at) > 1:
+            out[np.ix_(at, at)] = True
+    return out
+
+
+def search(rows: DataFrame, common: Common | None = None) -> DataFrame:
+    """a, b: links inside blocks of rows (block, sid, n, s, label, list) that join what is linked there; a label's sets
+    count as joined already. If list isn't null, the block is of sets in this prefix shingle's list, and pairs that meet
+    in an earlier list are left to that. A task holds one block at a time."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    bc = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, links = None, [], []
 
         def found() -> None:
-            got = t_occurrence([np.frombuffer(r[2], np.int64) for r in held], [r[1] for r in held], [r[3] for r in held], True)
-            links.extend((held[i][0], held[j][0]) for i, j, _ in got)
+            sets, sizes = [np.frombuffer(r[2], np.int64) for r in held], [r[1] for r in held]
+            apart = _met_before(sets, sizes, bc.value, held[0][4]) if held and held[0][4] is not None else None
+            links.extend((held[i][0], held[j][0]) for i, j, _ in t_occurrence(sets, sizes, [r[3] for r in held], True, apart))
 
         for b in batches:
             for block, *r in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -352,25 +401,45 @@ def search(rows: DataFrame) -> DataFrame:
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=kind)
 
-    columns = ["block", "sid", "n", "s", "label"]
+    columns = ["block", "sid", "n", "s", "label", "list"]
     return rows.select(*columns).repartition("block").sortWithinPartitions("block", "n", "sid").mapInArrow(run, "a long, b long")
 
 
-def _parts(thin: DataFrame, group: str, total: int, size: int) -> DataFrame:
-    """thin with __p, into how many parts of about `size` rows its group is dealt, for groups of two rows or more."""
-    sizes = thin.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    return attach(thin, sizes, group, "__n", total).filter("__n > 1").withColumn("__p", F.ceil(F.col("__n") / size).cast("int")).drop("__n")
-
-
-def _hash_part(parts: Column, *salt: Column | str) -> Column:
-    return F.pmod(F.xxhash64("sid", *salt), parts).cast("int")
-
-
-def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """sid, label, n, m, entries (late, s, pos): the first m - need + 1 shared shingles of each set, common ones (late)
-    last, of which linked sets share one at least."""
+def _grouped(sets: DataFrame, rounds: range, total: int, labels: DataFrame | None = None) -> DataFrame:
+    """Links inside the min-hash groups of these rounds, dealt into blocks; of several labels, if there are labels."""
+    picked = F.slice("mins", rounds.start + 1, len(rounds))
+    thin = sets.select("sid", F.posexplode(picked).alias("round", "m")).select("sid", F.xxhash64("round", "m").alias("g"))
+    if labels is not None:
+        thin = thin.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    thin = thin.withColumn("label", F.coalesce("label", "sid") if labels is not None else F.col("sid"))
+    sizes = thin.groupBy("g").agg(F.count(F.lit(1)).alias("__n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").drop("lo", "hi")
+    dealt = attach(thin, sizes, "g", "__n", total).filter("__n > 1")
+    dealt = dealt.select("sid", "label", F.xxhash64("g", F.pmod(F.xxhash64("sid", "g"), F.ceil(F.col("__n") / BLOCK))).alias("block"))
+    return search(dealt.join(sets.select("sid", "n", "s"), "sid").withColumn("list", F.lit(None).cast("long")))
+
+
+def _dealt(mixed: DataFrame, per: DataFrame) -> DataFrame:
+    """sid, list, block: the sets of wide lists in parts of half a BLOCK, every part with each other part. A label that
+    fills parts of its own isn't met with itself. mixed: s, sid, label of wide lists; per: s, label, k of these lists."""
+    half = BLOCK // 2
+    big = F.col("k") > half
+    own = per.withColumn("own", F.when(big, F.ceil(F.col("k") / half)).otherwise(0).cast("int"))
+    w = Window.partitionBy("s").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.filter("own > 0").withColumn("off", F.coalesce(F.sum("own").over(w), F.lit(0)).cast("int")).select("s", "label", "own", "off")
+    sums = own.groupBy("s").agg(F.ceil(F.sum(F.when(~big, F.col("k")).otherwise(0)) / half).cast("int").alias("pool"), F.sum("own").cast("int").alias("rest"))
+    at = mixed.join(sums, "s").join(starts, ["s", "label"], "left")
+    h = lambda n: F.pmod(F.xxhash64("sid", F.lit(7)), n).cast("int")
+    i = F.when(F.col("own") > 0, F.col("pool") + F.col("off") + h(F.col("own"))).otherwise(h(F.greatest("pool", F.lit(1))))
+    every = F.sequence(F.lit(0), F.col("pool") + F.col("rest") - 1)
+    others = F.when(F.col("own") > 0, F.filter(every, lambda o: (o < F.col("pool") + F.col("off")) | (o >= F.col("pool") + F.col("off") + F.col("own")))).otherwise(every)
+    met = at.withColumn("i", i).withColumn("o", F.explode(others))
+    return met.select("sid", F.col("s").alias("list"), F.xxhash64("s", F.least("i", "o"), F.greatest("i", "o")).alias("block"))
+
+
+def prefixes(sets: DataFrame, common: Common) -> DataFrame:
+    """sid, label, n, m, late, s, pos: a row for each prefix shingle of each set."""
     bc = sets.sparkSession.sparkContext.broadcast(common)
-    kind = pa.schema([("sid", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("late", pa.bool_()), ("s", pa.int64()), ("pos", pa.int64())])
+    kind = pa.schema([("sid", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("late", pa.int64()), ("s", pa.int64()), ("pos", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = bc.value
@@ -379,17 +448,15 @@ def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
             sets = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
             m = np.array([len(s) for s in sets], np.int64)
             parts, lates = [], []
-            for s, k in zip(sets, (m - _need(n) + 1).tolist(), strict=True):
-                late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
-                order = np.argsort(late, kind="stable")[:k]
-                parts.append(s[order])
-                lates.append(late[order])
+            for x in map(_prefix, sets, n.tolist(), [hot] * len(sets)):
+                parts.append(x[0])
+                lates.append(x[1])
             k = np.array([len(x) for x in parts], np.int64)
             pos = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             if len(pos):
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(x, k)) for x in (sid, label, n, m)], pa.array(np.concatenate(lates)), pa.array(np.concatenate(parts)), pa.array(pos)], schema=kind)
 
-    return sets.select("sid", "label", "n", "s").mapInArrow(run, "sid long, label long, n long, m long, late boolean, s long, pos long")
+    return sets.select("sid", "label", "n", "s").mapInArrow(run, "sid long, label long, n long, m long, late long, s long, pos long")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -410,47 +477,54 @@ def links(sets: DataFrame, total: int) -> DataFrame:
     First sets that share a min-hash are searched in blocks, which joins nearly all that links join. Then every list of
     a prefix shingle is looked at whose sets are still of different labels; lists of the same sets once. Their pairs
     across labels, of sizes and with so much behind the shingle that they can link, are verified each; a list with more
-    than WIDE such pairs a set is searched in blocks instead, every part of it against each other part. No pair that
-    links is left out: it has a first common prefix shingle."""
-    thin = sets.select("sid", F.posexplode("mins").alias("round", "m")).select("sid", F.xxhash64("round", "m").alias("g"))
-    blocks = _parts(thin, "g", total, BLOCK).withColumn("block", F.xxhash64("g", _hash_part(F.col("__p"), "g")))
-    first = stage(search(blocks.select("block", "sid").join(sets, "sid").withColumn("label", F.col("sid"))), "links")
-    labels = components(first)
+    than WIDE such pairs a set is searched in blocks instead. No pair that links is left out: it has a first common
+    prefix shingle."""
+    first = stage(_grouped(sets, range(ROUNDS), total), "links")
+    labels = stage(components(first), "labels")
+    second = stage(_grouped(sets, range(ROUNDS, ROUNDS + AGAIN), total, labels), "links")
+    found = first.unionByName(second)
+    labels = stage(components(found), "labels")
     named = stage(sets.select("sid", "n", "s").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "sets")
-    entries = stage(prefixes(named, common_shingles(named)), "prefixes")
+    common = common_shingles(named)
+    entries = stage(prefixes(named, common), "prefixes")
     per = entries.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sid")).alias("sig"), F.min("late").alias("late"))
-    per = per.groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.bit_xor("sig").alias("sig"), F.min("late").alias("late"), (F.min("label") < F.max("label")).alias("several"))
-    once = per.filter("several").groupBy("sig", "k", "same").agg(F.min(F.struct("late", "s")).alias("x"))
+    lists = per.groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.bit_xor("sig").alias("sig"), F.min("late").alias("late"), (F.min("label") < F.max("label")).alias("several"))
+    once = lists.filter("several").groupBy("sig", "k", "same").agg(F.min(F.struct("late", "s")).alias("x"))
     lists = stage(once.select(F.col("x.s").alias("s"), ((F.col("k") * F.col("k") - F.col("same")) / 2 > WIDE * F.col("k")).alias("wide")), "lists")
     mixed = entries.drop("late").join(lists, "s")
     side = lambda c: mixed.filter("not wide").select("s", *[F.col(x).alias(f"{x}{c}") for x in ("sid", "label", "n", "m", "pos")])
     least = lambda x: F.least(f"{x}a", f"{x}b")
     fit = (F.col("labela") < F.col("labelb")) & (4 * least("n") >= 3 * F.greatest("na", "nb")) & (7 * F.least(F.col("ma") - F.col("posa"), F.col("mb") - F.col("posb")) >= 3 * (F.col("na") + F.col("nb")))
-    pairs = side("a").join(side("b"), "s").filter(fit).select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct()
-    more = _verify(pairs, named.select("sid", "n", "s"))
-    if lists.filter("wide").limit(1).count():
-        dealt = _parts(mixed.filter("wide").select("s", "sid"), "s", total, BLOCK // 2).withColumn("__i", _hash_part(F.col("__p"), F.lit(7)))
-        dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__p") - 1)))
-        dealt = dealt.select("sid", F.xxhash64("s", F.least("__i", "__o"), F.greatest("__i", "__o")).alias("block")).distinct()
-        more = more.unionByName(search(dealt.join(named, "sid")))
+    pairs = side("a").join(side("b"), "s").filter(fit)
+    more = _verify(pairs.select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct(), named.select("sid", "n", "s"))
+    wide = lists.filter("wide").select("s")
+    if wide.limit(1).count():
+        dealt = _dealt(mixed.filter("wide").select("s", "sid", "label"), per.select("s", "label", "k").join(wide, "s"))
+        more = more.unionByName(search(dealt.join(named, "sid"), common))
     more = stage(more, "links")
-    return components(first.unionByName(more)) if more.limit(1).count() else labels
+    return components(found.unionByName(more)) if more.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (columns doc_id, text); see the module for the link.
 
-    Rows with equal sets are one class. Sets that share too little with all others together end first (signatures);
-    the rest are joined by T-occurrence search (links). Null and empty texts have no shingles and no links; rows with one
-    doc_id are rows of their own that count in its name. Equal sets are recognised by 128 bits, shingles by 64 within a
-    text and by their bucket and 40 bits between texts."""
+    Rows with equal sets are one class. Sets that share too little with all others together end first (signatures).
+    Classes of one size that share the same shingles with others are twins: they link with the same classes, so one of
+    them is searched for all (links); twins that link with no other class link with each other if what they share is
+    enough. Null and empty texts have no shingles and no links; rows with one doc_id are rows of their own that count in
+    its name. Equal sets are recognised by 128 bits, shingles by 64 within a text and by their bucket and 40 bits
+    between texts."""
     rows = stage(signatures(docs), "signatures")
     sig = rows.filter("s is null").select("doc_id", "n", "key")
     total = sig.count()
     found = rows.filter("s is not null").select("key", "n", "s", "mins")
-    sets = stage(found.groupBy("key").agg(F.max_by(F.struct("n", "s", "mins"), F.octet_length("s")).alias("x")).select("key", "x.*").withColumn("sid", F.monotonically_increasing_id()), "sets")
-    labels = links(sets.select("sid", "n", "s", "mins"), total)
-    named = sets.select("key", "sid").join(labels.withColumnRenamed("node", "sid"), "sid").select("key", "label")
+    thin = stage(found.groupBy("key").agg(F.max("n").alias("n"), F.max(F.octet_length("s") / 8).cast("long").alias("m"), F.max(F.concat_ws(":", F.sha2("s", 256), "n")).alias("alike")), "thin")
+    twins = stage(thin.groupBy("alike").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("twins")).withColumn("sid", F.monotonically_increasing_id()), "twins")
+    of = attach(thin, twins.select("alike", "twins", "sid"), "alike", "twins", total)
+    sets = stage(found.join(twins.select("key", "sid"), "key").groupBy("sid").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.max("mins").alias("mins")), "sets")
+    labels = links(sets, total).withColumnRenamed("node", "sid")
+    own = (F.col("twins") > 1) & (7 * F.col("m") >= 6 * F.col("n"))
+    named = of.join(labels, "sid", "left").withColumn("label", F.coalesce("label", F.when(own, F.col("sid")))).filter("label is not null").select("key", "label")
     classes = sig.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     joined = stage(classes.join(named, "key"), "classes")
     smallest = joined.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))

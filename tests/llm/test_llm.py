@@ -74,6 +74,7 @@ def test_jaccard(spark, rows, monkeypatch, common, wide, rounds, chunk):
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "WIDE", wide)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "AGAIN", rounds // 2)
     monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     got = jaccard.near_duplicates(docs(spark, rows)).collect()
@@ -341,6 +342,7 @@ def test_jaccard_counts_shared_shingles_of_long_lists(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_sets", sets)
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "AGAIN", 0)
     monkeypatch.setattr(jaccard, "WIDE", 1)
     line = lambda *parts: " ".join(str(x) for p in parts for x in p)
     both = [*range(1000, 1011), 2000, *range(5000, 5074)]  # 11 in short lists, one in a long list, 74 behind the prefix

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from callweave.functions import text as T
 
@@ -17,21 +26,16 @@ def boilerplate(pages: DataFrame, key: str, body: str, ratio: float = 0.25, max_
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("pages")).join(F.broadcast(floor), F.col("pages") >= F.col("floor")).select("line", "pages")
 
 
-def strip_boilerplate(pages: DataFrame, key: str, body: str, lines: DataFrame, limit: int = 100_000) -> DataFrame:
-    """key, body, removed. The boilerplate set, which the ratio bounds, goes along as one array when it has `limit` lines
-    at most; a larger one is anti-joined line by line."""
-    split = F.split(body, "\n")
-    if lines.limit(limit + 1).count() <= limit:
-        bad = lines.agg(F.collect_list("line").alias("__bad"))
-        keep = F.filter(split, lambda x: ~F.array_contains("__bad", T.strip(x)))
-        return pages.crossJoin(F.broadcast(bad)).select(key, F.array_join(keep, "\n").alias("body"), (F.size(split) - F.size(keep)).alias("removed"))
-    each = pages.select(key, F.posexplode(split).alias("pos", "l")).withColumn("line", T.strip(F.col("l")))
+def strip_boilerplate(pages: DataFrame, key: str, body: str, lines: DataFrame) -> DataFrame:
+    """key, body, removed: bodies without the boilerplate lines. Lines are numbered, those of the set struck out by an
+    anti-join, which Spark broadcasts while the set is small, and the rest put together again."""
+    each = pages.select(key, F.posexplode(F.split(body, "\n")).alias("pos", "l")).withColumn("line", T.strip(F.col("l")))
     kept = each.join(lines.select("line"), "line", "left_anti").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "l"))), lambda x: x["l"]), "\n").alias("body"), F.count(F.lit(1)).alias("__n"))
-    return pages.select(key, F.size(split).alias("__all")).join(kept, key, "left").select(key, F.coalesce("body", F.lit("")).alias("body"), (F.col("__all") - F.coalesce("__n", F.lit(0))).cast("int").alias("removed"))
+    return pages.select(key, F.size(F.split(body, "\n")).alias("__all")).join(kept, key, "left").select(key, F.coalesce("body", F.lit("")).alias("body"), (F.col("__all") - F.coalesce("__n", F.lit(0))).cast("int").alias("removed"))
 
 
 def warnings(content: Column, title: Column, min_words: int = 40) -> Column:
-    """array<string> of what is wrong with a record."""
+    """array<string> of what is wrong with a record. Its words and the patterns behind them are fixed values."""
     lines = F.filter(F.split(content, "\n"), lambda x: T.strip(x) != "")
     n = T.word_count(content)
     return F.array_compact(F.array(
@@ -57,27 +61,73 @@ def hash64(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 16), 16, -10).cast("long")
 
 
-def simhash(docs: DataFrame, key: str, text: str, k: int = 4, hashed=hash64) -> DataFrame:
+def _majority(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The bits set in more than half of each row's hashes: one pass over all bits of some rows."""
+    ends = np.cumsum(sizes)
+    out = np.zeros(len(sizes), np.int64)
+    for rows in np.array_split(np.arange(len(sizes)), max(1, len(hashes) // 500_000)):
+        if len(rows):
+            first = ends[rows[0]] - sizes[rows[0]]
+            bits = np.unpackbits(hashes[first : ends[rows[-1]]].astype(">i8").view(np.uint8)).reshape(-1, 64)
+            total = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bits, 0, dtype=np.int64)])
+            stop = ends[rows] - first
+            ones = 2 * (total[stop] - total[stop - sizes[rows]]) > sizes[rows][:, None]
+            out[rows] = np.packbits(ones, axis=1).view(">i8").ravel()
+    return out
+
+
+def simhash(docs: DataFrame, key: str, text: str, k: int = 4, hashed: Callable[[Column], Column] = hash64) -> DataFrame:
     """key, fingerprint: the bits set in more than half of the hashes of a text's shingles. Rows keep to themselves:
     nothing is exploded or shuffled. A row with null text has no fingerprint and is left out."""
     parts = F.when(F.size(T.word_tokens(F.col(text))) == 0, F.array(F.lit("_empty_"))).otherwise(T.shingles(F.col(text), k))
-    bit = lambda x, b: F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1)) == 1
-    one = lambda hs, b: F.when(F.size(F.filter(hs, lambda x: bit(x, b))) * 2 > F.size(hs), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    signs = lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(one(hs, b)))
-    bound = F.transform(F.array(F.transform(parts, hashed)), signs)  # hashes are made once, then named
-    return docs.filter(F.col(text).isNotNull()).select(key, bound[0].alias("fingerprint"))
+    rows = docs.filter(F.col(text).isNotNull()).select(key, F.transform(parts, hashed).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                h = b.column(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_majority(np.diff(h.offsets.to_numpy()), h.flatten().to_numpy(zero_copy_only=False)))], names=[key, "fingerprint"])
+
+    return rows.mapInArrow(run, StructType([rows.schema[key], StructField("fingerprint", LongType())]))
+
+
+@F.pandas_udf(LongType())
+def blake64(s: pd.Series) -> pd.Series:
+    """First 8 bytes of an 8-byte BLAKE2b digest, big-endian, as a signed long."""
+    return s.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True), na_action="ignore").astype("Int64")
 
 
 def near_pairs(prints: DataFrame, key: str, distance: int = 4) -> DataFrame:
     """x, y, distance (x < y): fingerprints at most `distance` bits apart. Equal ones collapse to their smallest key
-    first; distance + 1 bands of bits then make sure that a pair shares a band, and only those meet."""
+    first. Of distance + 2 blocks of bits such a pair has two blocks in common at least: keys of two blocks each, so few
+    others meet, and a pair is told by its first two common blocks alone."""
     one = prints.groupBy("fingerprint").agg(F.min(key).alias("k"))
-    cuts = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
-    band = lambda i: F.shiftrightunsigned("fingerprint", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    bands = one.select("k", "fingerprint", F.posexplode(F.array(*[band(i) for i in range(distance + 1)])).alias("band", "v"))
+    n = distance + 2
+    cuts = [round(i * 64 / n) for i in range(n + 1)]
+    mask = [((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in range(n)]
+    lit = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    combos = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    keys = F.array(*[F.col("fingerprint").bitwiseAND(lit(mask[i] | mask[j])) for i, j in combos])
+    bands = one.select("k", "fingerprint", F.posexplode(keys).alias("band", "v"))
     a, b = bands.select("band", "v", F.col("k").alias("x"), F.col("fingerprint").alias("fx")), bands.select("band", "v", F.col("k").alias("y"), F.col("fingerprint").alias("fy"))
-    d = F.bit_count(F.col("fx").bitwiseXOR(F.col("fy")))
-    return a.join(b, ["band", "v"]).filter((F.col("x") < F.col("y")) & (d <= distance)).select("x", "y", d.cast("int").alias("distance")).distinct()
+    apart = F.col("fx").bitwiseXOR(F.col("fy"))
+    same = [apart.bitwiseAND(lit(m)) == 0 for m in mask]
+    none = F.lit(True)
+    first = none
+    for c, (i, j) in reversed(list(enumerate(combos))):
+        earlier = [~same[x] for x in range(j) if x != i]
+        first = F.when(F.col("band") == c, reduce(and_, earlier, none)).otherwise(first)
+    d = F.bit_count(apart)
+    return a.join(b, ["band", "v"]).filter((F.col("x") < F.col("y")) & (d <= distance) & first).select("x", "y", d.cast("int").alias("distance"))
+
+
+def near_groups(prints: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """key, representative (the smallest key with the same fingerprint), links: how many other fingerprints are near."""
+    rep = prints.groupBy("fingerprint").agg(F.min(key).alias("representative"))
+    ends = pairs.select(F.col("x").alias("representative")).unionByName(pairs.select(F.col("y").alias("representative")))
+    links = ends.groupBy("representative").agg(F.count(F.lit(1)).alias("links"))
+    return prints.join(rep.join(links, "representative", "left"), "fingerprint").select(key, "representative", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def greedy_survivors(records: DataFrame, key: str, words: str, pairs: DataFrame, distance: int = 4) -> DataFrame:
@@ -88,8 +138,8 @@ def greedy_survivors(records: DataFrame, key: str, words: str, pairs: DataFrame,
 
     order = F.struct((-F.col(words)).alias("w"), F.col(key).alias("k"))
     ranked = records.withColumn("__o", order)
-    first = Window.partitionBy("fingerprint").orderBy("__o")
-    ranked = stage(ranked.withColumn("__first", F.first("__o").over(first)))
+    ranked = stage(ranked)
+    ranked = stage(ranked.join(ranked.groupBy("fingerprint").agg(F.min("__o").alias("__first")), "fingerprint"))  # a copied text's rows may be split
     reps = ranked.filter("__o = __first").select(F.col(key).alias("__id"), F.col("__o").alias("o"), "fingerprint")
     both = stage(near_pairs(reps.withColumnRenamed("__id", key), key, distance)) if pairs is None else pairs
     named = both.join(reps.select(F.col("__id").alias("x"), F.col("o").alias("ox")), "x").join(reps.select(F.col("__id").alias("y"), F.col("o").alias("oy")), "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as H
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -71,38 +71,47 @@ def structured(page: str) -> str:
     return "\n".join(out).strip()
 
 
-def flatten(fragment: str) -> str:
-    x = re.sub(r"(?i)<br\s*/?>|</p>|</li>", "\n", fragment)
-    return re.sub(r"\n\s*\n+", "\n", re.sub(r"[ \t]+", " ", H.unescape(re.sub(r"<[^>]+>", "", x)))).strip()
-
+#: Keys of a page's state that hold its entries, and of an entry's title and body, the first that is set. Fixed values.
+PAYLOAD_CONTENT_KEYS = ("faqs", "articles", "items", "posts", "contents")
+PAYLOAD_TITLE_KEYS = ("title", "question", "name", "heading")
+PAYLOAD_BODY_KEYS = ("description", "answer", "content", "body", "text")
+#: A script that is one JSON object of some length. Fixed value.
+PAYLOAD_SCRIPT = r"<script[^>]*>\s*(\{.{200,}?\})\s*</script>"
 
-def payload(page: str, least: int = 200, titles: tuple[str, ...] = ("title", "heading", "name"), bodies: tuple[str, ...] = ("content", "body", "description", "text")) -> str:
-    """Titles and bodies inside JSON scripts of `least` characters or more; those alike in the
-    first 120 characters of title and body, whatever their case, once."""
-    out, seen = [], set()
 
-    def walk(node: object) -> None:
-        if isinstance(node, dict):
-            title = next((node[k] for k in titles if isinstance(node.get(k), str) and node[k].strip()), "")
-            body = next((node[k] for k in bodies if isinstance(node.get(k), str) and node[k].strip()), "")
-            text = flatten(body)
-            alike = (title + text)[:120].lower()
-            if text and alike not in seen:
-                seen.add(alike)
-                out.append((f"## {flatten(title)}\n" if title else "") + text)
-            for v in node.values():
-                walk(v)
+def flatten(fragment: str) -> str:
+    """HTML inside a JSON field as text: breaks and ends of paragraphs and items are line feeds, other tags blanks."""
+    text = H.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"(?i)<br\s*/?>|</p>|</li>", "\n", fragment)))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+
+
+def entries(state: object) -> Iterator[dict]:
+    """The objects in lists under content keys, in document order; such lists are not searched any deeper."""
+    todo = [state]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):  # a list that is content
+            yield from (x for x in node if isinstance(x, dict))
+        elif isinstance(node, dict):
+            todo += [tuple(v) if k in PAYLOAD_CONTENT_KEYS and isinstance(v, list) else v for k, v in reversed(node.items())]
         elif isinstance(node, list):
-            for v in node:
-                walk(v)
+            todo += reversed(node)
+
 
-    for raw in re.findall(r"<script[^>]*>\s*(\{.*?\})\s*</script>", page or "", re.S | re.I):
-        if len(raw) >= least:
-            try:
-                walk(json.loads(raw))
-            except ValueError:
-                continue
-    return "\n\n".join(out)
+def payload(page: str) -> str:
+    """Titles (as headings) and bodies of the entries inside a page's JSON state; an entry whose title and body begin
+    like an earlier one's (120 characters, whatever their case) is left out."""
+    found: dict[str, list[str]] = {}
+    for script in re.finditer(PAYLOAD_SCRIPT, page or "", re.S):
+        try:
+            state = json.loads(script[1])
+        except ValueError:
+            continue
+        for e in entries(state):
+            title, body = ("".join([str(e[k]) for k in keys if e.get(k)][:1]) for keys in (PAYLOAD_TITLE_KEYS, PAYLOAD_BODY_KEYS))
+            if body := flatten(body):
+                found.setdefault((title + body)[:120].lower(), [f"## {flatten(title)}"] * bool(title) + [body])
+    return "\n".join(line for lines in found.values() for line in lines).strip()
 
 
 def _each(f: Callable[[str], str], html: Column) -> Column:
@@ -124,7 +133,7 @@ def payload_text(html: Column) -> Column:
 def strip_html(page: Column) -> Column:
     """Scripts, styles and tags out, breaks and block ends as lines, common entities decoded, blanks squeezed."""
     t = F.regexp_replace(page, r"(?is)<(script|style|noscript|svg|iframe|form|button)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|li|h[1-4]|td|th|div)>", "\n"), r"<[^>]+>", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|li|h[1-4]|td|th|div)>", "\n"), r"<[^>]+>", " ")
     for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(c))
     return T.strip(F.regexp_replace(F.regexp_replace(t, "[ \\t]+", " "), r"\n\s*\n+", "\n"))

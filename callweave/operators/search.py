@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
+from callweave.operators.reports import upper_median
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -137,14 +138,17 @@ def verdict(must_refuse: Column, expected: Column, top_score: Column, categories
     )
 
 
-def upper_median(v: Column) -> Column:
-    """sorted[n // 2] of a group."""
-    s = F.sort_array(F.collect_list(v))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
-
-
 def calibrate(scores: DataFrame, by: list[str], score: str = "top_score", refuse: str = "must_refuse") -> DataFrame:
     """Score bands that part answerable from unanswerable queries of each group, rounded half-even to 3 places."""
     good, bad = F.when(~F.col(refuse), F.col(score)), F.when(F.col(refuse), F.col(score))
-    g = scores.groupBy(*by).agg(F.min(good).alias("lo"), F.max(bad).alias("hi"), F.percentile(good, 0.5).alias("mid"), upper_median(good).alias("upper"))
+    g = scores.groupBy(*by).agg(F.min(good).alias("lo"), F.max(bad).alias("hi"), F.percentile(good, 0.5).alias("mid"))
+    g = g.join(upper_median(scores.filter(~F.col(refuse)), by, score).withColumnRenamed("upper_median", "upper"), by, "left")
     return g.select(*by, F.bround("lo", 3).alias("answerable_min"), F.bround("upper", 3).alias("answerable_median"), F.bround("mid", 3).alias("answerable_mid"), F.bround("hi", 3).alias("unanswerable_max"), (F.col("lo") > F.col("hi")).alias("separable"), F.bround((F.col("lo") + F.col("hi")) / 2, 3).alias("suggested_threshold"), F.bround(F.greatest(F.lit(0.05), F.col("lo") - 0.03), 3).alias("gate"))
+
+
+def gate_lists(scores: DataFrame, gates: DataFrame, by: list[str], key: str, score: str = "top_score", refuse: str = "must_refuse") -> DataFrame:
+    """key, by, fate of the queries that calibrate()'s gate gets wrong: answerable ones it would refuse, and unanswerable
+    ones it would answer. A row each, so that a list of any length is one."""
+    j = scores.join(gates.select(*by, "gate"), by)
+    fate = F.when(~F.col(refuse) & (F.col(score) < F.col("gate")), "would be refused").when(F.col(refuse) & (F.col(score) >= F.col("gate")), "would be answered")
+    return j.select(*by, key, fate.alias("fate")).filter("fate IS NOT NULL")

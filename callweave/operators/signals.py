@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +26,24 @@ DISCLOSURES = [
     ("licensed_advisor", r"\b(recommend\w*|should (get|buy|take)|best (plan|option) for you|advis\w+)\b", r"\b(licensed (advisor|agent)|financial adviser|subject to (assessment|underwriting))\b", "Advice given without the suitability caveat. Note that a licensed advisor must confirm it."),
     ("recording_notice", r"\b(personal|details|date of birth|address|ID number)\b", r"\b(record(ed|ing)|data privacy|consent|Data Privacy Act)\b", "Personal details discussed without the privacy notice. Give the recording and data-privacy notice now."),
 ]
-#: (type, confidence, pattern) of what an agent must not say, and of what a caller's words suggest. Fixed values.
-RISKY = [("risky_statement", 0.95, p) for p in (r"\bguarantee(d)?\s+(returns?|profit|payout|approval)\b", r"\b(no risk|risk[- ]free|can't lose|cannot lose)\b", r"\b(definitely|certainly)\s+(approved|covered|pay out)\b")]
+#: (type, confidence, pattern, nudge) of what an agent must not say, and of what a caller's words suggest. Fixed values.
+RISKY = [
+    ("risky_statement", 0.97, r"\bguarantee(d)?\s+(returns?|profit|payout|approval)\b", "Guarantee language used. Correct it now: returns and approval are never guaranteed."),
+    ("risky_statement", 0.97, r"\b(no risk|risk[- ]free|can't lose|cannot lose)\b", "Risk-free language used. Retract and state the actual risk."),
+    ("risky_statement", 0.97, r"\b(definitely|certainly)\s+(approved|covered|pay out)\b", "Certainty of approval implied. Restate as subject to underwriting."),
+]
 CUES = [
-    ("missed_cross_sell", 0.8, r"\b(my |our )?(wife|husband|spouse|partner|kids?|children|son|daughter|family)\b"),
-    ("missed_cross_sell", 0.8, r"\b(second|another|other)\s+(car|vehicle|house|property|policy)\b"),
-    ("missed_cross_sell", 0.8, r"\b(hospital|surgery|illness|diagnos(is|ed)|medical bills?|confine(d|ment))\b"),
-    ("missed_cross_sell", 0.8, r"\b(retire|retirement|pension|old age)\b"),
-    ("payment_difficulty", 0.85, r"\b(can'?t afford|too expensive|no money|tight budget|lost my job|unemployed|salary (cut|reduced)|struggling|behind on|late payment|miss(ed|ing) a payment)\b"),
-    ("callback_needed", 0.85, r"\b(call me (back|later)|not a good time|busy right now|driving|in a meeting|can you call|ring me)\b"),
-    ("buying_signal", 0.8, r"\b(how do I (sign|apply|start)|what'?s the next step|send me the (form|details|quote)|I'?m interested|sounds good|let'?s do it|how much would it be for me)\b"),
+    ("missed_cross_sell", 0.75, r"\b(my |our )?(wife|husband|spouse|partner|kids?|children|son|daughter|family)\b", "Family mentioned. Family protection or an education plan may fit."),
+    ("missed_cross_sell", 0.75, r"\b(second|another|other)\s+(car|vehicle|house|property|policy)\b", "Second asset mentioned. A multi-policy discount may apply."),
+    ("missed_cross_sell", 0.75, r"\b(hospital|surgery|illness|diagnos(is|ed)|medical bills?|confine(d|ment))\b", "Health concern raised. A health or critical-illness rider is relevant."),
+    ("missed_cross_sell", 0.75, r"\b(retire|retirement|pension|old age)\b", "Retirement mentioned. A savings or retirement plan is relevant."),
+    ("payment_difficulty", 0.85, r"\b(can'?t afford|too expensive|no money|tight budget|lost my job|unemployed|salary (cut|reduced)|struggling|behind on|late payment|miss(ed|ing) a payment)\b", "Payment difficulty signalled. Offer an approved payment-support option, not a discount."),
+    ("callback_needed", 0.85, r"\b(call me (back|later)|not a good time|busy right now|driving|in a meeting|can you call|ring me)\b", "Caller wants to be reached later. Agree a specific callback time before closing."),
+    ("buying_signal", 0.8, r"\b(how do I (sign|apply|start)|what'?s the next step|send me the (form|details|quote)|I'?m interested|sounds good|let'?s do it|how much would it be for me)\b", "Buying signal. Move to the next concrete step rather than adding information."),
 ]
+GAP_CONFIDENCE = 0.95
+#: What a model is asked to judge. Fixed values.
+JUDGED = ("rising_frustration", "buying_signal", "payment_difficulty", "callback_needed", "topic_shift")
 PROHIBITED = [
     (r"\b(projected|specific|expected|estimated)\s+(return|yield|profit|growth)", "recommends quoting a projection"),
     (r"\bguarantee\w*\b", "recommends guarantee language"),
@@ -60,25 +66,30 @@ def unsafe_reason(text: Column) -> Column:
 
 def disclosure_gaps(turns: DataFrame, call: str, at: str, disclosures: list[tuple[str, str, str, str]] = DISCLOSURES) -> DataFrame:
     """Rows of turns at which a disclosure is due: triggered at or before, an agent turn after the first trigger, and no
-    agent turn so far, even before the trigger, that satisfies it. turns has speaker and text. Running windows a call."""
+    agent turn so far, even before the trigger, that satisfies it. The evidence is what the first trigger matched. turns
+    has speaker and text. Running windows a call."""
     w = Window.partitionBy(call).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     agent = F.col("speaker") == "agent"
     out = None
     for name, trigger, satisfied, nudge in disclosures:
-        first = F.min(F.when(F.col("text").rlike(f"(?i){trigger}"), F.col(at))).over(w)
+        first = F.min(F.when(F.col("text").rlike(f"(?i){trigger}"), F.struct(F.col(at).alias("at"), F.regexp_extract("text", f"(?i){trigger}", 0).alias("evidence")))).over(w)
         met = F.max(F.when(agent & F.col("text").rlike(f"(?i){satisfied}"), 1).otherwise(0)).over(w)
         last = F.max(F.when(agent, F.col(at))).over(w)
-        part = turns.withColumn("__due", (met == 0) & (last > first)).filter("__due").select(call, at, F.lit("compliance_gap").alias("type"), F.lit(0.9).alias("confidence"), F.lit(name).alias("evidence"), F.lit(nudge).alias("nudge"), F.lit(name).alias("disclosure"))
+        due = turns.withColumn("__first", first).withColumn("__due", (met == 0) & (last > F.col("__first.at"))).filter("__due")
+        part = due.select(call, at, F.lit("compliance_gap").alias("type"), F.lit(GAP_CONFIDENCE).alias("confidence"), F.col("__first.evidence").alias("evidence"), F.lit(nudge).alias("nudge"), F.lit(name).alias("disclosure"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def cue_signals(turns: DataFrame, call: str, at: str, risky: list[tuple[str, float, str]] = RISKY, cues: list[tuple[str, float, str]] = CUES) -> DataFrame:
+Rules = list[tuple[str, float, str, str]]
+
+
+def cue_signals(turns: DataFrame, call: str, at: str, risky: Rules = RISKY, cues: Rules = CUES) -> DataFrame:
     """A row for each rule that a turn matches: rules on agents' words for agents, cues for all others. Row-wise."""
     agent = F.col("speaker") == "agent"
-    hits = [F.when(agent & F.col("text").rlike(f"(?i){p}"), F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), F.regexp_extract("text", f"(?i){p}", 0).alias("evidence"))) for t, c, p in risky]
-    hits += [F.when(~agent & F.col("text").rlike(f"(?i){p}"), F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), F.regexp_extract("text", f"(?i){p}", 0).alias("evidence"))) for t, c, p in cues]
-    return turns.select(call, at, F.explode(F.array_compact(F.array(*hits))).alias("s")).select(call, at, "s.*", F.lit("").alias("nudge"), F.lit(None).cast("string").alias("disclosure"))
+    hit = lambda t, c, p, n: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"), F.regexp_extract("text", f"(?i){p}", 0).alias("evidence"), F.lit(n).alias("nudge"))
+    hits = [F.when(who & F.col("text").rlike(f"(?i){r[2]}"), hit(*r)) for who, rules in ((agent, risky), (~agent, cues)) for r in rules]
+    return turns.select(call, at, F.explode(F.array_compact(F.array(*hits))).alias("s")).select(call, at, "s.*", F.lit(None).cast("string").alias("disclosure"))
 
 
 def with_dims(signals: DataFrame) -> DataFrame:
@@ -99,7 +110,7 @@ class Engine:
     seen: set[str] = field(default_factory=set)
     count: int = 0
 
-    def offer(self, rows: Iterator[dict]) -> list[dict]:
+    def offer(self, rows: Iterable[dict]) -> list[dict]:
         out = []
         for r in rows:
             fate, ident, text, reason = "emitted", None, r["nudge"], ""
@@ -134,13 +145,26 @@ def offers(signals: DataFrame, call: str, at: str, model: str = "detector") -> D
 
 
 def nudges(signals: DataFrame, call: str, at: str) -> DataFrame:
-    """The outcome of every signal, call by call, in order of time, priority and key."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["at", "priority", "dedupe_key"], ascending=[True, False, True]).to_dict("records")
-        return pd.DataFrame(Engine().offer(rows), columns=[c.split()[0] for c in NUDGES.split(", ")])
-
-    return offers(signals, call, at).groupBy("call").applyInPandas(fold, NUDGES)
+    """The outcome of every signal, call by call, in order of time, priority and key: Engine's rules as one fold."""
+    key = [F.col("at"), (-F.col("priority")).alias("urgent"), F.col("dedupe_key")]
+    rows = offers(signals, call, at).groupBy("call").agg(F.array_sort(F.collect_list(F.struct(*key, *[c for c in OFFERS if c not in ("call", "at", "dedupe_key")]))).alias("r"))
+    done = "array<struct<at:double,type:string,priority:int,outcome:string,nudge_id:string,text:string,rewrite_reason:string>>"
+    zero = F.struct(F.create_map().cast("map<string,double>").alias("last"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("count"), F.array().cast(done).alias("out"))
+    vetted = F.create_map(*[F.lit(x) for kv in SAFE_TEXT.items() for x in kv])
+
+    def step(st: Column, x: Column) -> Column:
+        before = F.try_element_at(st["last"], x["type"])
+        stopped = F.when(x["confidence"] < x["floor"], "low_confidence").when(F.array_contains(st["seen"], x["dedupe_key"]), "duplicate").when(x["at"] - before < x["cooldown"], "cooldown")
+        unsafe = stopped.isNull() & (x["unsafe"] != "")
+        safe = F.coalesce(F.try_element_at(vetted, x["type"]), F.lit(""))
+        fate = F.coalesce(stopped, F.when(unsafe & (safe == ""), "unsafe_dropped").otherwise("emitted"))
+        out = fate == "emitted"
+        count = st["count"] + out.cast("int")
+        row = F.struct(x["at"].alias("at"), x["type"].alias("type"), x["priority"].cast("int").alias("priority"), fate.alias("outcome"), F.when(out, F.format_string("n%03d", count)).alias("nudge_id"), F.when(unsafe, safe).otherwise(x["nudge"]).alias("text"), F.when(unsafe, x["unsafe"]).otherwise("").alias("rewrite_reason"))
+        last = F.map_concat(F.map_filter(st["last"], lambda k, _: k != x["type"]), F.create_map(x["type"], x["at"]))
+        return F.struct(F.when(out, last).otherwise(st["last"]).alias("last"), F.when(out, F.concat(st["seen"], F.array(x["dedupe_key"]))).otherwise(st["seen"]).alias("seen"), count.alias("count"), F.concat(st["out"], F.array(row)).alias("out"))
+
+    return rows.select("call", F.explode(F.aggregate("r", zero, step, lambda st: st["out"])).alias("o")).select("call", "o.*")
 
 
 def suppression(outcomes: DataFrame, by: list[str]) -> DataFrame:
@@ -161,6 +185,22 @@ def active(emitted: DataFrame, ticks: DataFrame, expiry: float = EXPIRY, shown:
     return j.withColumn("place", F.row_number().over(w)).filter(critical | (F.col("place") <= shown)).select("call", "tick", "nudge_id", "type", "place")
 
 
+def dismissed(shown: DataFrame, dismissals: DataFrame) -> DataFrame:
+    """Rows of active() (call, tick, nudge_id, ..) without the nudges dismissed (call, nudge_id, at) at or before the tick."""
+    gone = dismissals.groupBy("call", "nudge_id").agg(F.min("at").alias("__gone"))
+    return shown.join(gone, ["call", "nudge_id"], "left").filter(F.col("__gone").isNull() | (F.col("__gone") > F.col("tick"))).drop("__gone")
+
+
+def distinct_evidence(signals: DataFrame, call: str) -> DataFrame:
+    """call, signals, distinct: how many signals a call raised, and how many that aren't repeats of type and evidence."""
+    return with_dims(signals).groupBy(call).agg(F.count(F.lit(1)).alias("signals"), F.count_distinct("dedupe_key").alias("distinct"))
+
+
+def with_transcript(nudges_: DataFrame, transcript: DataFrame) -> DataFrame:
+    """Nudges beside the line (call, utt_id, speaker, text, start_s) they arose from; a nudge without a line stays."""
+    return nudges_.join(transcript, ["call", "utt_id"], "left")
+
+
 def snapshot_changes(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
     """key, change: nudges to retire and to add between two snapshots."""
     gone = before.select(key).join(now.select(key), key, "left_anti").select(key, F.lit("retire").alias("change"))

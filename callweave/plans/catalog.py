@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
-from callweave.operators import calls, chunk, clean, extract, search, signals
+from callweave.operators import calls, chunk, clean, extract, index, reports, search, signals
+from callweave.plans.staging import shared_dir, stage
 from callweave.sources import web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +36,7 @@ def values(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {sql}")
 
 
-ASKED = "(VALUES (1, 'licensed under the apache license'), (2, 'released under the mit license'), (3, 'als das ein der'), (4, 'the gnu general public license of the the')) AS q(query_id, query)"
+ASKED = "(SELECT item_id AS query_id, text AS query FROM benchmark) AS q"
 _BM25 = f"""
     tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents),
     dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS dl FROM documents),
@@ -47,11 +49,31 @@ _BM25 = f"""
     bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM asked JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (doc_id), av GROUP BY ALL)"""
 
 
+_OPEN: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """The stored index of documents and their vectors, built by the first query of an application that needs it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _OPEN:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+        index.build(read(spark, d, "documents"), path, "doc_id", F.col("text"), vectors)
+        _OPEN[at] = path
+    return index.load(spark, _OPEN[at])
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark items as questions, with the vector of the same number, if there is one."""
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(v, "query_id", "left")
+
+
 @query(f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 6) AS score FROM bm),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score, max(score) OVER (PARTITION BY query_id) >= 0.5 AS answerable FROM r WHERE rank <= 8""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    raw = search.bm25(values(spark, ASKED), read(spark, d, "documents"), "doc_id", "text")
+    raw = index.lexical(_asked(spark, d), _index(spark, d))
     top = search.top_k(raw.select("query_id", "doc_id", F.round(search.saturate(F.col("raw")), 6).alias("score")), "doc_id")
     return top.select("query_id", "rank", "doc_id", "score", (F.max("score").over(Window.partitionBy("query_id")) >= 0.5).alias("answerable"))
 
@@ -95,9 +117,9 @@ def validate_flags(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT step, reason, (SELECT count(*) FROM f WHERE f.step = r.step) AS dropped FROM (VALUES (0, 'irrelevant'), (1, 'thin'), (2, 'failed')) r(step, reason))
     SELECT step, reason, dropped, CAST((SELECT count(*) FROM f) - sum(dropped) OVER (ORDER BY step) AS BIGINT) AS remaining FROM r""")
 def cleaning_funnel(spark: SparkSession, d: str) -> DataFrame:
-    w = clean.warnings(F.col("text"), F.lit("t"))
-    has = lambda s: F.exists(w, lambda x: x.contains(s))
-    return clean.funnel(read(spark, d, "documents"), [("irrelevant", F.col("source") == "src0"), ("thin", has("thin content")), ("failed", has("extraction may have failed"))])
+    rows = read(spark, d, "documents").select("source", clean.warnings(F.col("text"), F.lit("t")).alias("w"))
+    has = lambda s: F.exists("w", lambda x: x.contains(s))
+    return clean.funnel(rows, [("irrelevant", F.col("source") == "src0"), ("thin", has("thin content")), ("failed", has("extraction may have failed"))])
 
 
 #: Patterns that fire on the synthetic texts, beside the library's own.
@@ -177,10 +199,21 @@ _PAIRS = f"""{_SIMHASH}, one AS (SELECT fingerprint, min(doc_id) AS k FROM fp GR
 
 @query(f"WITH {_PAIRS} SELECT x, y, distance FROM pairs")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return clean.near_pairs(clean.simhash(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return clean.near_pairs(stage(clean.simhash(read(spark, d, "documents"), "doc_id", "text")), "doc_id")
 
 
-@query()
+@query(f"""WITH {_PAIRS}, n AS (SELECT r, count(*) AS links FROM (SELECT x AS r FROM pairs UNION ALL SELECT y FROM pairs) GROUP BY r)
+    SELECT doc_id, k AS representative, coalesce(links, 0) AS links FROM fp JOIN one USING (fingerprint) LEFT JOIN n ON n.r = k""")
+def near_dup_groups(spark: SparkSession, d: str) -> DataFrame:
+    prints = stage(clean.simhash(read(spark, d, "documents"), "doc_id", "text"))
+    return clean.near_groups(prints, "doc_id", clean.near_pairs(prints, "doc_id"))
+
+
+@query(f"""WITH RECURSIVE {_SIMHASH}, o AS (SELECT doc_id, fingerprint, row_number() OVER (ORDER BY len(regexp_extract_all(text, '[^\\s]+')) DESC, doc_id) AS i FROM documents JOIN fp USING (doc_id)),
+    f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::BIGINT AS near, []::STRUCT(k BIGINT, p BIGINT)[] AS kept
+      UNION ALL SELECT o.i, o.doc_id, c.near, CASE WHEN c.near IS NULL THEN list_append(f.kept, {{'k': o.doc_id, 'p': o.fingerprint}}) ELSE f.kept END
+        FROM f JOIN o ON o.i = f.i + 1, LATERAL (SELECT list_filter(f.kept, lambda x: bit_count(xor(x.p, o.fingerprint)) <= 4)[1].k AS near) c)
+    SELECT doc_id, near IS NULL AS kept, near AS duplicate_of FROM f WHERE i > 0""")
 def dedupe_survivors(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     rows = docs.select("doc_id", T.word_count(F.col("text")).alias("words")).join(clean.simhash(docs, "doc_id", "text"), "doc_id")
@@ -202,7 +235,7 @@ def url_select(spark: SparkSession, d: str) -> DataFrame:
     return web.select_urls(read(spark, d, "pages").select("url").distinct(), "url", SECTIONS, "de", 5)
 
 
-@query(f"SELECT page_id, substr(regexp_replace({_PATH}, '[^a-zA-Z0-9]+', '-', 'g'), 1, 70) || '__' || substr(sha256(url), 1, 16) || '.html' AS cache_file FROM pages")
+@query(f"SELECT page_id, coalesce(nullif(substr(replace(trim({_PATH}, '/'), '/', '_'), 1, 70), ''), 'index') || '__' || substr(sha256(url), 1, 16) || '.html' AS cache_file FROM pages")
 def cache_name(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", web.cache_name(F.col("url")).alias("cache_file"))
 
@@ -213,7 +246,7 @@ def fetch_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OUT = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<iframe\b.*?</iframe\s*>|<form\b.*?</form\s*>|<button\b.*?</button\s*>', ' ', 'g')"
-_PLAIN = rf"regexp_replace(regexp_replace({_OUT}, '(?i)<br\s*/?>|</(p|li|h[1-4]|td|th|div)>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace({_OUT}, '(?i)<br\s*/?>|</(p|li|h[1-4]|td|th|div)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
 for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _PLAIN = f"replace({_PLAIN}, '{_e}', '{_c}')"
 _PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -256,16 +289,16 @@ def chunk_records(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, min(n) AS least, list_sort(list(n))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS upper_median, max(n) AS most FROM (SELECT source, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS INTEGER) AS n FROM documents) GROUP BY source")
 def chunk_size_stats(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "documents").select("source", T.word_count(F.col("text")).alias("n"))
-    return n.groupBy("source").agg(F.min("n").alias("least"), search.upper_median(F.col("n")).alias("upper_median"), F.max("n").alias("most"))
+    return reports.chunk_sizes(n, ["source"], "n", F.array()).select("source", "least", "upper_median", "most")
 
 
-_VEC = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
+_VEC = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
     sc AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS score FROM qv, embeddings)"""
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings")
-    got = search.vector_scores(e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.withColumnRenamed("embedding", "vector"), "vec_id")
+    got = search.vector_scores(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.withColumnRenamed("embedding", "vector"), "vec_id")
     return got.withColumn("score", F.round("vector_score", 5))
 
 
@@ -279,55 +312,104 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(_vectors(spark, d), "vec_id", category=F.col("label") == 3).select("query_id", "vec_id", "score", "rank")
 
 
-_FUSED = f"""{_BM25}, {_VEC.replace('vec_id < 5', 'vec_id BETWEEN 1 AND 4')}, fu AS (SELECT sc.query_id, sc.vec_id, sc.score AS vector_score, coalesce(bm.raw, 0) / (coalesce(bm.raw, 0) + 6) AS bm25_score FROM sc LEFT JOIN bm ON bm.query_id = sc.query_id AND bm.doc_id = sc.vec_id),
-    fs AS (SELECT query_id, vec_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, round(0.6 * vector_score + 0.4 * bm25_score, 4) AS score FROM fu)"""
+_FUSED = f"""{_BM25}, {_VEC.replace('vec_id % 20 = 0', 'vec_id IN (SELECT item_id FROM benchmark)')}, fu AS (SELECT sc.query_id, sc.vec_id, sc.score AS vector_score, coalesce(bm.raw, 0) / (coalesce(bm.raw, 0) + 6) AS bm25_score FROM sc LEFT JOIN bm ON bm.query_id = sc.query_id AND bm.doc_id = sc.vec_id),
+    fs AS (SELECT query_id, vec_id AS doc_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, round(0.6 * vector_score + 0.4 * bm25_score, 4) AS score FROM fu)"""
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings")
-    v = search.vector_scores(e.filter("vec_id between 1 and 4").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector")), e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").withColumn("vector_score", F.round("vector_score", 5))
-    raw = search.bm25(values(spark, ASKED), read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id")
-    f = search.fuse(v, raw, "vec_id")
-    return f.select("query_id", "vec_id", *[F.round(c, 4).alias(c) for c in ("vector_score", "bm25_score", "score")])
+_TOP = f"""{_FUSED.replace("AS DOUBLE[])), 5) AS score", "AS DOUBLE[])), 12) AS score")}, top AS (SELECT query_id, doc_id, vector_score, bm25_score, score, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fs) WHERE rank <= 8)"""
+
 
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid search's results for all benchmark items that have a vector."""
+    return index.hybrid(_asked(spark, d).filter("vector IS NOT NULL"), _index(spark, d))
 
-@query(f"WITH {_FUSED} SELECT CAST(query_id AS INTEGER) AS query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM fs) WHERE rank <= 8")
+
+@query(f"WITH {_TOP} SELECT query_id, doc_id, vector_score, bm25_score, score, rank FROM top")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_fused(spark, d), "vec_id").select("query_id", "vec_id", "score", "rank")
+    return _top(spark, d).select("query_id", "doc_id", "vector_score", "bm25_score", "score", "rank")
+
+
+@query(f"""WITH {_TOP} SELECT query_id, rank, round_even(vector_score * 0.6, 4) AS vector_part, round_even(bm25_score * 0.4, 4) AS bm25_part, doc_id % 2 = 0 AS cited FROM top""")
+def search_parts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.score_parts(_top(spark, d), F.col("doc_id") % 2 == 0).select("query_id", "rank", "vector_part", "bm25_part", "cited")
+
+
+@query(f"WITH {_TOP} SELECT query_id, greatest(0.5 * 1.6, max(score), 0.2) AS scale FROM top GROUP BY query_id")
+def score_scale(spark: SparkSession, d: str) -> DataFrame:
+    return reports.display_scale(_top(spark, d), "query_id", "score", 0.5)
+
 
+def _first_words(text: DataFrame | None = None) -> Callable:
+    """A stand-in for an answering model: the last passage's first words with a citation, or the refusal token."""
+    return lambda c: F.when(F.length(c) % 3 == 0, F.lit("NO_ANSWER")).otherwise(F.concat(F.substring(c, 1, 12), F.lit(" [faq_x]")))
 
-@query(f"""WITH {_VEC}, v AS (SELECT query_id, vec_id, score, 0 AS variant FROM sc UNION ALL SELECT query_id, vec_id, round(1 - score, 5), 1 FROM sc),
-    b AS (SELECT query_id, vec_id, max(score) AS score, min_by(variant, -score * 10 + variant) AS variant FROM v GROUP BY ALL)
+
+@query(rf"""WITH {_TOP}, g AS (SELECT query_id, max(score) >= 0.5 AS ok, string_agg(CAST(t.doc_id AS VARCHAR), ',' ORDER BY rank) AS retrieved, string_agg('[' || t.doc_id || '] ' || d.text, chr(10) || chr(10) ORDER BY rank) AS context FROM top t JOIN documents d ON d.doc_id = t.doc_id GROUP BY query_id),
+    q AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 4 = 0 THEN 'own passage' ELSE '' END AS own FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
+    p AS (SELECT query_id, retrieved, ok OR own <> '' AS asked, text || chr(10) || chr(10) || own || chr(10) || chr(10) || context AS prompt FROM q JOIN g USING (query_id)),
+    a AS (SELECT query_id, retrieved, CASE WHEN NOT asked THEN 'retrieval' WHEN length(prompt) % 3 = 0 THEN 'generation' ELSE 'none' END AS gate, substr(prompt, 1, 12) AS head FROM p)
+    SELECT query_id, regexp_replace(CASE WHEN gate = 'none' THEN head ELSE '' END, '^\s+|\s+$', '', 'g') AS text, gate <> 'none' AS refused, gate, CASE WHEN gate = 'none' THEN 'faq_x' ELSE '' END AS invalid, gate = 'none' AS grounded, retrieved FROM a""")
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    q = _asked(spark, d).filter("vector IS NOT NULL")
+    at = index.Index("doc_id", _index(spark, d).chunks.withColumnRenamed("text", "content"), _index(spark, d).postings, _index(spark, d).vectors, _index(spark, d).stats)
+    own = q.filter("query_id % 4 = 0").select("query_id", F.lit("own passage").alias("passage"))
+    a = index.answer(q, _top(spark, d), at, _first_words(), "NO_ANSWER", own)
+    return a.select("query_id", "text", "refused", "gate", F.array_join("invalid", ",").alias("invalid"), "grounded", F.array_join("retrieved", ",").alias("retrieved"))
+
+
+@query(f"""WITH {_VEC}, qt AS (SELECT vec_id - 1 AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 1),
+    st AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS score FROM qt, embeddings),
+    v AS (SELECT query_id, vec_id, score, 0 AS variant FROM sc UNION ALL SELECT query_id, vec_id, score, 1 FROM st),
+    b AS (SELECT query_id, vec_id, max(score) AS score, min(variant) FILTER (WHERE score = top) AS variant FROM (SELECT *, max(score) OVER (PARTITION BY query_id, vec_id) AS top FROM v) GROUP BY ALL)
     SELECT query_id, vec_id, score, variant, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 8""")
 def merge_variants(spark: SparkSession, d: str) -> DataFrame:
-    s = _vectors(spark, d)
-    return search.merge_variants([s, s.withColumn("score", F.round(1 - F.col("score"), 5))], "vec_id").select("query_id", "vec_id", "score", "variant", "rank")
+    e = read(spark, d, "embeddings")
+    other = e.filter("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("vector"))
+    t = search.vector_scores(other, e.withColumnRenamed("embedding", "vector"), "vec_id").withColumn("score", F.round("vector_score", 5))
+    return search.merge_variants([_vectors(spark, d), t], "vec_id").select("query_id", "vec_id", "score", "variant", "rank")
 
 
-@query(f"""WITH {_VEC} SELECT query_id, vec_id, CASE WHEN score >= 0.5 THEN 'strong semantic match' WHEN score >= 0.3 THEN 'moderate semantic match' ELSE 'weak semantic match' END AS band FROM sc""")
+@query(f"""WITH {_TOP} SELECT query_id, rank, CASE WHEN vector_score >= 0.5 THEN 'strong' WHEN vector_score >= 0.3 THEN 'moderate' ELSE 'weak' END || ' semantic match' AS semantic,
+    CASE WHEN bm25_score >= 0.5 THEN 'strong' WHEN bm25_score >= 0.2 THEN 'some' ELSE 'little' END || ' keyword overlap' AS keywords FROM top""")
 def explain_bands(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).select("query_id", "vec_id", F.regexp_extract(search.explain(F.col("score"), F.lit(0.1)), r"^[a-z ]+match", 0).alias("band"))
+    said = search.explain(F.col("vector_score"), F.col("bm25_score"))
+    return _top(spark, d).select("query_id", "rank", F.regexp_extract(said, r"^[a-z ]+ match", 0).alias("semantic"), F.regexp_extract(said, r"[a-z]+ keyword overlap", 0).alias("keywords"))
+
 
+_BEST = f"""{_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 6) AS score FROM bm), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 8),
+    t AS (SELECT query_id, query_id % 2 AS part, query_id % 3 = 0 AS refuse, max(score) AS top_score, list(lang ORDER BY rank) AS cats FROM r JOIN documents USING (doc_id) GROUP BY query_id)"""
 
 
-@query("""WITH t AS (SELECT d.lang, l.quality = 0 AS bad, (d.doc_id % 97) / 97.0 + CASE WHEN l.quality = 1 THEN 0.5 ELSE 0 END AS s FROM documents d JOIN labels l USING (doc_id)),
-    g AS (SELECT lang, min(s) FILTER (WHERE NOT bad) AS lo, max(s) FILTER (WHERE bad) AS hi, quantile_cont(s, 0.5) FILTER (WHERE NOT bad) AS mid, list_sort(list(s) FILTER (WHERE NOT bad)) AS ls FROM t GROUP BY lang)
-    SELECT lang, round_even(lo, 3) AS answerable_min, round_even(ls[CAST(floor(len(ls) / 2) AS INTEGER) + 1], 3) AS answerable_median, round_even(mid, 3) AS answerable_mid, round_even(hi, 3) AS unanswerable_max,
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    """Of each benchmark item: the best score, and the languages of its results in order. A third must be refused."""
+    raw = index.lexical(_asked(spark, d), _index(spark, d))
+    top = search.top_k(raw.select("query_id", "doc_id", F.round(search.saturate(F.col("raw")), 6).alias("score")), "doc_id").join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    cats = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lang"))), lambda x: x["lang"])
+    return top.groupBy("query_id").agg(F.max("score").alias("top_score"), cats.alias("cats")).select("query_id", (F.col("query_id") % 2).alias("part"), (F.col("query_id") % 3 == 0).alias("must_refuse"), "top_score", "cats")
+
+
+_GATES = f"""{_BEST}, g AS (SELECT part, min(top_score) FILTER (WHERE NOT refuse) AS lo, max(top_score) FILTER (WHERE refuse) AS hi, quantile_cont(top_score, 0.5) FILTER (WHERE NOT refuse) AS mid, list_sort(list(top_score) FILTER (WHERE NOT refuse)) AS ls FROM t GROUP BY part)"""
+
+
+@query(f"""WITH {_GATES} SELECT part, round_even(lo, 3) AS answerable_min, round_even(ls[CAST(floor(len(ls) / 2) AS INTEGER) + 1], 3) AS answerable_median, round_even(mid, 3) AS answerable_mid, round_even(hi, 3) AS unanswerable_max,
     lo > hi AS separable, round_even((lo + hi) / 2, 3) AS suggested_threshold, round_even(greatest(0.05, lo - 0.03), 3) AS gate FROM g""")
 def calibrate_threshold(spark: SparkSession, d: str) -> DataFrame:
-    j = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id")
-    s = j.select("lang", (F.col("quality") == 0).alias("must_refuse"), (F.col("doc_id") % 97 / F.lit(97.0) + F.when(F.col("quality") == 1, 0.5).otherwise(0.0)).alias("top_score"))
-    return search.calibrate(s, ["lang"])
+    return search.calibrate(_best(spark, d), ["part"])
+
+
+@query(f"""WITH {_GATES} SELECT part, query_id, CASE WHEN refuse THEN 'would be answered' ELSE 'would be refused' END AS fate FROM t JOIN g USING (part) WHERE refuse = (top_score >= round_even(greatest(0.05, lo - 0.03), 3))""")
+def gate_lists(spark: SparkSession, d: str) -> DataFrame:
+    scores = _best(spark, d)
+    return search.gate_lists(scores, search.calibrate(scores, ["part"]), ["part"], "query_id")
 
 
-@query("""WITH t AS (SELECT d.doc_id, l.toxic = 1 AS refuse, CASE WHEN d.lang = 'en' THEN NULL ELSE d.lang END AS expected, (d.doc_id % 97) / 97.0 AS s, [CASE WHEN d.doc_id % 3 = 0 THEN 'fr' ELSE 'de' END, 'es'] AS cats FROM documents d JOIN labels l USING (doc_id)),
-    v AS (SELECT CASE WHEN refuse THEN CASE WHEN s < 0.5 THEN 'correct' ELSE 'incorrect' END WHEN expected IS NULL THEN CASE WHEN s >= 0.5 THEN 'partially correct' ELSE 'incorrect' END
-      WHEN cats[1] = expected THEN 'correct' WHEN cats[2] = expected THEN 'partially correct' ELSE 'incorrect' END AS verdict FROM t) SELECT verdict, count(*) AS n FROM v GROUP BY verdict""")
+@query(f"""WITH {_BEST}, e AS (SELECT *, CASE WHEN query_id % 5 <> 0 THEN 'en' END AS expected FROM t),
+    v AS (SELECT CASE WHEN refuse THEN CASE WHEN top_score < 0.5 THEN 'correct' ELSE 'incorrect' END WHEN expected IS NULL THEN CASE WHEN top_score >= 0.5 THEN 'partially correct' ELSE 'incorrect' END
+      WHEN cats[1] = expected THEN 'correct' WHEN list_contains(cats, expected) THEN 'partially correct' ELSE 'incorrect' END AS verdict FROM e) SELECT verdict, count(*) AS n FROM v GROUP BY verdict""")
 def retrieval_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    j = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id")
-    cats = F.array(F.when(F.col("doc_id") % 3 == 0, "fr").otherwise("de"), F.lit("es"))
-    v = search.verdict(F.col("toxic") == 1, F.when(F.col("lang") != "en", F.col("lang")), F.col("doc_id") % 97 / F.lit(97.0), cats)
-    return j.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    v = search.verdict(F.col("must_refuse"), F.when(F.col("query_id") % 5 != 0, "en"), F.col("top_score"), F.col("cats"))
+    return _best(spark, d).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _ANSWERS = "(VALUES (1, 'See [kb_a_001_c02] and [faq_hours]. [kb_a_001_c02]', 'kb_a_001_c02,kb_b_002_c00'), (2, 'No source here.', 'kb_a_001_c02'), (3, 'Both [kb_z_009_c11] [kb_b_002_c00]', 'kb_b_002_c00')) AS t(id, text, got)"
@@ -357,10 +439,10 @@ def _word(*w: str) -> str:
 
 
 #: Rules that fire on the synthetic texts.
-FIRING_RISKY, FIRING_CUES = [("risky_statement", 0.95, _word("that"))], [("buying_signal", 0.8, _word("with", "und")), ("callback_needed", 0.5, _word("from", "der"))]
+FIRING_RISKY, FIRING_CUES = [("risky_statement", 0.95, _word("that"), "a")], [("buying_signal", 0.8, _word("with", "und"), "b"), ("callback_needed", 0.5, _word("from", "der"), "c")]
 FIRING_GAP = [("first", _word("the"), _word("this"), "say this"), ("second", _word("is", "ist"), _word("was"), "say was")]
 _TURNS = "t AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'agent' ELSE 'caller' END AS speaker, text FROM conversations WHERE role IN ('user', 'assistant'))"
-_CUE = " UNION ALL ".join(f"SELECT conv_id, turn, '{t}' AS type, {c}::DOUBLE AS confidence, regexp_extract(text, '(?i){p}', 0) AS evidence FROM t WHERE speaker {op} 'agent' AND regexp_matches(text, '(?i){p}')" for op, rules in (("=", FIRING_RISKY), ("<>", FIRING_CUES)) for t, c, p in rules)
+_CUE = " UNION ALL ".join(f"SELECT conv_id, turn, '{t}' AS type, {c}::DOUBLE AS confidence, regexp_extract(text, '(?i){p}', 0) AS evidence FROM t WHERE speaker {op} 'agent' AND regexp_matches(text, '(?i){p}')" for op, rules in (("=", FIRING_RISKY), ("<>", FIRING_CUES)) for t, c, p, _ in rules)
 
 
 @query(f"WITH {_TURNS} {_CUE}")
@@ -382,12 +464,16 @@ def disclosure_gaps(spark: SparkSession, d: str) -> DataFrame:
 _LIVE = """(VALUES (1, 'agent', 'Our funds give guaranteed returns'), (2, 'caller', 'My wife would like that'), (3, 'agent', 'You should buy this, there is no risk'), (4, 'caller', 'I can''t afford much, call me later')) AS t(turn, speaker, text)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 'risky_statement', 'guaranteed returns', 95), (2, 'missed_cross_sell', 'My wife', 50), (3, 'risky_statement', 'no risk', 95), (3, 'compliance_gap', 'not_a_deposit', 100),
-    (4, 'compliance_gap', 'not_a_deposit', 100), (4, 'payment_difficulty', 'can''t afford', 70), (4, 'callback_needed', 'call me later', 40)) AS t(turn, type, evidence, priority)""")
+@query("""SELECT * FROM (VALUES (1, 'risky_statement', 0.97::DOUBLE, 'guaranteed returns', 95, 'Guarantee language used. Correct it now: returns and approval are never guaranteed.'),
+    (2, 'missed_cross_sell', 0.75, 'My wife', 50, 'Family mentioned. Family protection or an education plan may fit.'), (3, 'risky_statement', 0.97, 'no risk', 95, 'Risk-free language used. Retract and state the actual risk.'),
+    (3, 'compliance_gap', 0.95, 'funds', 100, 'Investment is being pitched without the disclosure. State that returns are not guaranteed and this is not a deposit.'),
+    (4, 'compliance_gap', 0.95, 'funds', 100, 'Investment is being pitched without the disclosure. State that returns are not guaranteed and this is not a deposit.'),
+    (4, 'payment_difficulty', 0.85, 'can''t afford', 70, 'Payment difficulty signalled. Offer an approved payment-support option, not a discount.'),
+    (4, 'callback_needed', 0.85, 'call me later', 40, 'Caller wants to be reached later. Agree a specific callback time before closing.')) AS t(turn, type, confidence, evidence, priority, nudge)""")
 def rules_fixture(spark: SparkSession, d: str) -> DataFrame:
     t = values(spark, _LIVE).withColumn("call", F.lit("c"))
     both = signals.cue_signals(t, "call", "turn").unionByName(signals.disclosure_gaps(t, "call", "turn"))
-    return signals.with_dims(both).select("turn", "type", "evidence", "priority")
+    return signals.with_dims(both).select("turn", "type", "confidence", "evidence", "priority", "nudge")
 
 
 @query("""SELECT * FROM (VALUES ('Give a specific projected return', 'recommends quoting a projection'), ('Offer a discount now', 'recommends an unauthorised discount'), ('Skip the disclosure', 'recommends withholding information'), ('Ask about family', '')) AS t(text, reason)""")
@@ -402,16 +488,32 @@ def _offered(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select(F.col("user_id").alias("call"), at.alias("at"), kinds[F.col("event_type")].alias("type"), F.least(F.col("value") / 20, F.lit(1.0)).alias("confidence"), F.get_json_object("props", "$.k").alias("evidence"), F.lit("").alias("nudge"), F.lit(None).cast("string").alias("disclosure"))
 
 
-@query()
+_ENGINE = """k AS (SELECT * FROM (VALUES ('signup', 'buying_signal', 60, 30.0, 0.55), ('error', 'compliance_gap', 100, 45.0, 0.4), ('click', 'missed_cross_sell', 50, 60.0, 0.55), ('view', 'topic_shift', 20, 90.0, 0.55), ('purchase', 'callback_needed', 40, 60.0, 0.55)) AS k(event_type, type, priority, cooldown, floor)),
+    o AS (SELECT CAST(user_id AS VARCHAR) AS call, epoch_us(ts) / 1e6 / 600 AS "at", type, priority, cooldown::DOUBLE AS cooldown, floor::DOUBLE AS floor, least(value / 20, 1.0) AS confidence, type || ':' || json_extract_string(props, '$.k') AS key FROM events JOIN k USING (event_type)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY call ORDER BY "at", priority DESC, key) AS i FROM o),
+    f AS (SELECT DISTINCT call, 0::BIGINT AS i, NULL::DOUBLE AS "at", NULL::VARCHAR AS type, NULL::INTEGER AS priority, NULL::VARCHAR AS fate, 0 AS n, MAP {}::MAP(VARCHAR, DOUBLE) AS last, []::VARCHAR[] AS seen FROM s
+      UNION ALL SELECT call, i, "at", type, priority, fate, n + CASE WHEN fate = 'emitted' THEN 1 ELSE 0 END, CASE WHEN fate = 'emitted' THEN map_concat(last, MAP {type: "at"}) ELSE last END, CASE WHEN fate = 'emitted' THEN list_append(seen, key) ELSE seen END
+        FROM (SELECT s.*, f.n, f.last, f.seen, CASE WHEN s.confidence < s.floor THEN 'low_confidence' WHEN list_contains(f.seen, s.key) THEN 'duplicate' WHEN s."at" - f.last[s.type] < s.cooldown THEN 'cooldown' ELSE 'emitted' END AS fate FROM f JOIN s ON s.call = f.call AND s.i = f.i + 1)),
+    fates AS (SELECT call, "at", type, priority, fate AS outcome, CASE WHEN fate = 'emitted' THEN 'n' || lpad(CAST(n AS VARCHAR), 3, '0') END AS nudge_id, '' AS text, '' AS rewrite_reason FROM f WHERE i > 0)"""
+
+
+@query(f"WITH RECURSIVE {_ENGINE} SELECT * FROM fates")
 def nudge_engine(spark: SparkSession, d: str) -> DataFrame:
     return signals.nudges(_offered(spark, d), "call", "at")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ENGINE}, g AS (SELECT type, count(*) AS signals_seen, count(*) FILTER (WHERE outcome = 'low_confidence') AS dropped_low_confidence, count(*) FILTER (WHERE outcome = 'duplicate') AS dropped_duplicate,
+    count(*) FILTER (WHERE outcome = 'cooldown') AS dropped_cooldown, 0::BIGINT AS unsafe_text_rewritten, 0::BIGINT AS unsafe_text_dropped, count(*) FILTER (WHERE outcome = 'emitted') AS nudges_emitted FROM fates GROUP BY type)
+    SELECT *, round_even(1 - nudges_emitted / signals_seen, 3) AS suppression_rate FROM g""")
 def suppression_stats(spark: SparkSession, d: str) -> DataFrame:
     return signals.suppression(nudge_engine(spark, d), ["type"])
 
 
+@query("SELECT user_id AS call, count(*) AS signals, count(DISTINCT event_type || json_extract_string(props, '$.k')) AS distinct FROM events GROUP BY user_id")
+def distinct_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return signals.distinct_evidence(_offered(spark, d), "call")
+
+
 _MIN = "epoch_us(ts) / 1e6 / 600"
 
 
@@ -470,7 +572,13 @@ def session_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value * 20 >= 180 AS voiced FROM events),
+    f AS (SELECT DISTINCT call, -1::BIGINT AS i, 0::BIGINT AS run, NULL::BIGINT AS start, 0::BIGINT AS last, NULL::BIGINT AS a, NULL::BIGINT AS b FROM v
+      UNION ALL SELECT call, i, CASE WHEN start IS NOT NULL THEN CASE WHEN shut THEN 0 ELSE run END WHEN voiced THEN run + 1 ELSE 0 END,
+          CASE WHEN start IS NOT NULL THEN CASE WHEN NOT shut THEN start END WHEN voiced AND run + 1 >= 2 THEN i - 1 END, CASE WHEN voiced THEN i + 1 ELSE last END, CASE WHEN shut THEN start END, CASE WHEN shut THEN CASE WHEN voiced THEN i + 1 ELSE last END END
+        FROM (SELECT v.*, f.run, f.start, f.last, f.start IS NOT NULL AND (v.i + 1 - CASE WHEN v.voiced THEN v.i + 1 ELSE f.last END >= 6 OR v.i + 1 - f.start >= 120) AS shut FROM f JOIN v ON v.call = f.call AND v.i = f.i + 1)),
+    s AS (SELECT call, a, b FROM f WHERE a IS NOT NULL UNION ALL SELECT call, start, last FROM f WHERE start IS NOT NULL QUALIFY i = max(i) OVER (PARTITION BY call) AND i = (SELECT max(v.i) FROM v WHERE v.call = f.call))
+    SELECT CAST(call AS VARCHAR) AS call, 'caller' AS speaker, 'c' || row_number() OVER (PARTITION BY call ORDER BY a) AS utt_id, round(a * 0.1, 2) AS start_s, round(b * 0.1, 2) AS end_s FROM s""")
 def vad_segments(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     w = Window.partitionBy("user_id").orderBy("event_id")
@@ -500,11 +608,42 @@ def lead_score(spark: SparkSession, d: str) -> DataFrame:
     return s.select("o_custkey", score.alias("score"), band.alias("band"))
 
 
-@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS user_turns, count(*) FILTER (WHERE length(text) > 300) AS long_turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+_CITED = "list_distinct(regexp_extract_all(text, '[a-z]{9,}'))"
+
+
+@query(f"""WITH {_TURNS}, m AS (SELECT *, {_CITED} AS c, speaker = 'agent' AND length(text) % 2 = 0 AS g, speaker = 'agent' AND length(text) % 2 = 1 AS r FROM t),
+    l AS (SELECT *, CASE WHEN speaker = 'caller' THEN 'CALLER: ' ELSE 'AGENT : ' END || text || CASE WHEN len(c) > 0 THEN '   [cited: ' || array_to_string(list_sort(c), ', ') || ']' WHEN g THEN '   [grounded in: a, b, c]' WHEN r THEN '   [refused at retrieval gate]' ELSE '' END AS line FROM m)
+    SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE g) AS grounded_answers, count(*) FILTER (WHERE len(c) > 0) AS answers_with_stated_citation, count(*) FILTER (WHERE r) AS refusals, md5(string_agg(line, chr(10) ORDER BY turn)) AS transcript_md5 FROM l GROUP BY conv_id""")
 def call_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "conversations").groupBy("conv_id")
-    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
-    return g.agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.length("text") > 300).alias("long_turns"), roles.alias("roles"))
+    agent, even = F.col("speaker") == "agent", F.length("text") % 2 == 0
+    t = _turns(spark, d).withColumns({"citations": F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0)))), "grounded": agent & even, "refused": agent & ~even, "refusal_gate": F.lit("retrieval"), "retrieved_ids": F.array(*[F.lit(x) for x in "abcd"])})
+    return calls.call_summaries(t, "conv_id", "turn").withColumn("transcript_md5", F.md5("transcript")).drop("transcript")
+
+
+@query("""WITH s AS (SELECT o_custkey AS call_id, count(*) AS n, min(o_orderpriority) AS p, max(o_orderstatus) AS st FROM orders GROUP BY o_custkey),
+    v AS (SELECT call_id, CASE WHEN n > 10 THEN 'Ana' ELSE '' END AS name, p AS dependents, CASE WHEN st = 'P' THEN 'later' ELSE '' END AS callback FROM s),
+    w AS (SELECT *, 3 + CASE WHEN name <> '' THEN 1 ELSE 0 END + CASE WHEN callback <> '' THEN 2 ELSE 0 END AS score FROM v)
+    SELECT 'lead_' || call_id AS lead_id, name, callback, dependents, score, CASE WHEN score / 11 >= 0.75 THEN 'hot' WHEN score / 11 >= 0.45 THEN 'warm' ELSE 'cold' END AS score_band, '3/6' AS slots_filled FROM w""")
+def lead_rows(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("call_id")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("p"), F.max("o_orderstatus").alias("st"))
+    slots = F.create_map(F.lit("name"), F.when(F.col("n") > 10, "Ana").otherwise(""), F.lit("dependents"), F.col("p"), F.lit("callback"), F.when(F.col("st") == "P", "later").otherwise(""))
+    rows = calls.leads(s.select("call_id", F.lit("m").alias("market"), slots.alias("slots"), F.lit(6).alias("slots_total"), F.lit("ended").alias("final_state"), F.lit(False).alias("escalated"), F.lit(0).alias("grounded_answers"), F.lit(0).alias("refusals")))
+    return rows.select("lead_id", "contact.name", F.col("contact.preferred_callback").alias("callback"), "qualification.dependents", "score", "score_band", "slots_filled")
+
+
+@query(f"""WITH {_TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM t)
+    SELECT conv_id AS call_id, 'asked' AS reason, md5(string_agg(speaker || ': ' || text, chr(10) ORDER BY turn)) AS recent_md5, count(*) AS recent FROM r WHERE k <= 6 AND conv_id % 2 = 0 GROUP BY conv_id""")
+def escalation_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = _turns(spark, d)
+    s = t.select(F.col("conv_id").alias("call_id")).distinct().select("call_id", F.lit("m").alias("market"), F.lit("asked").alias("escalation_reason"), F.create_map(F.lit("name"), F.lit("x")).alias("slots"), (F.col("call_id") % 2 == 0).alias("escalated"))
+    e = calls.escalations(s, t, "conv_id", "turn")
+    text = F.array_join(F.transform("recent_turns", lambda x: F.concat_ws(": ", x["speaker"], x["text"])), "\n")
+    return e.select("call_id", "reason", F.md5(text).alias("recent_md5"), F.size("recent_turns").cast("long").alias("recent"))
+
+
+@query("""SELECT event_id, count(*) FILTER (WHERE value < 5) OVER w AS attempt, value < 5 AND count(*) FILTER (WHERE value < 5) OVER w = 3 AS skips FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def slot_attempts(spark: SparkSession, d: str) -> DataFrame:
+    return calls.running_attempts(read(spark, d, "events"), "user_id", "event_type", "event_id", F.col("value") < 5).select("event_id", "attempt", "skips")
 
 
 @query("SELECT user_id, event_type, count(*) FILTER (WHERE value < 5) AS attempts, count(*) FILTER (WHERE value < 5) >= 3 AS skipped FROM events GROUP BY ALL")
@@ -512,10 +651,22 @@ def slot_skip(spark: SparkSession, d: str) -> DataFrame:
     return calls.attempts_skipped(read(spark, d, "events"), "user_id", "event_type", F.col("value") < 5)
 
 
-@query()
+_INTENTS = {"signup": "agree", "error": "objection", "click": "answer", "view": "question", "purchase": "answer"}
+_FSM = f"""t AS (SELECT CAST(user_id AS VARCHAR) AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, MAP {{{', '.join(f"'{k}': '{v}'" for k, v in _INTENTS.items())}}}[event_type] AS intent, json_extract_string(props, '$.k') AS value, value > 10 AS fits, value > 99.5 AS esc FROM events),
+    f AS (SELECT DISTINCT call, 0::BIGINT AS i, 'greeting' AS st, 0 AS filled, []::VARCHAR[] AS skipped, 0 AS tries FROM t
+      UNION ALL SELECT call, i, CASE WHEN st IN ('ended', 'escalated') THEN st WHEN esc THEN 'escalated' WHEN intent = 'question' THEN 'answering' WHEN intent = 'objection' THEN 'objection'
+            WHEN (intent = 'answer' AND fits OR vain AND tries = 2) AND filled + len(skipped) + CASE WHEN puts OR vain THEN 1 ELSE 0 END >= 6 THEN 'ended' WHEN intent = 'answer' AND fits OR st <> 'greeting' OR intent = 'agree' THEN 'qualifying' ELSE st END,
+          filled + CASE WHEN puts THEN 1 ELSE 0 END, CASE WHEN vain AND tries = 2 THEN list_append(skipped, ['dependents', 'existing_cover', 'interest', 'age_band', 'callback', 'name'][filled + len(skipped) + 1]) ELSE skipped END,
+          CASE WHEN puts OR vain AND tries = 2 THEN 0 WHEN vain THEN tries + 1 ELSE tries END
+        FROM (SELECT t.*, f.st, f.filled, f.skipped, f.tries, f.st NOT IN ('ended', 'escalated') AND NOT t.esc AND f.filled + len(f.skipped) < 6 AS live,
+            live AND t.fits AND t.value <> '' AND (t.intent = 'answer' OR t.intent = 'question' AND f.st IN ('greeting', 'qualifying')) AS puts,
+            live AND f.st <> 'greeting' AND (t.intent = 'agree' OR t.intent = 'answer' AND NOT (t.fits AND t.value <> '')) AS vain FROM f JOIN t ON t.call = f.call AND t.i = f.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {_FSM} SELECT call, CAST(i AS INTEGER) AS turns, st AS final_state, filled AS slots_filled, array_to_string(skipped, ',') AS skipped FROM f QUALIFY i = max(i) OVER (PARTITION BY call)")
 def fsm_final_state(spark: SparkSession, d: str) -> DataFrame:
-    intents = F.create_map(*[F.lit(x) for kv in (("signup", "agree"), ("error", "objection"), ("click", "answer"), ("view", "question"), ("purchase", "answer")) for x in kv])
-    t = read(spark, d, "events").select(F.col("user_id").cast("string").alias("call"), F.col("event_id").alias("at"), intents[F.col("event_type")].alias("intent"), F.get_json_object("props", "$.k").alias("value"), (F.col("value") > 10).alias("fits"), (F.col("value") > 95).alias("escalate"))
+    intents = F.create_map(*[F.lit(x) for kv in _INTENTS.items() for x in kv])
+    t = read(spark, d, "events").select(F.col("user_id").cast("string").alias("call"), F.col("event_id").alias("at"), intents[F.col("event_type")].alias("intent"), F.get_json_object("props", "$.k").alias("value"), (F.col("value") > 10).alias("fits"), (F.col("value") > 99.5).alias("escalate"))
     return calls.conversations(t, tuple(calls.LEAD_WEIGHTS))
 
 
@@ -539,9 +690,30 @@ def language_leak(spark: SparkSession, d: str) -> DataFrame:
     return calls.language_leaks(lines, "name", "line")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", calls.model_output(F.col("props"), "k int").getField("k").alias("k"))
+    raw = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("}{"))).otherwise(F.col("props"))
+    broken = F.when(F.col("event_id") % 7 == 0, F.regexp_replace("props", "[}]", "")).otherwise(raw)
+    return read(spark, d, "events").select("event_id", calls.model_output(broken, "k int").getField("k").alias("k"))
+
+
+@query("""WITH x AS (SELECT event_id, event_type, value, unnest([0, 1, 2]) AS i FROM events WHERE event_id % 5 <> 0)
+    SELECT event_id, CASE i WHEN 0 THEN 'buying_signal' ELSE 'topic_shift' END AS type, CASE i WHEN 0 THEN value ELSE 0.5 END AS confidence, CASE i WHEN 0 THEN repeat('w', 160) ELSE '' END AS evidence, CASE i WHEN 0 THEN repeat('n', 200) ELSE event_type END AS nudge
+    FROM x WHERE i < 2 AND NOT (i = 1 AND event_type = 'view')""")
+def judged_signals(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    one = F.struct(F.lit("buying_signal").alias("type"), F.col("value").alias("confidence"), F.lit("w" * 300).alias("evidence"), F.lit("n" * 300).alias("nudge"))
+    two = F.struct(F.when(F.col("event_type") == "view", "mood").otherwise("topic_shift").alias("type"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.col("event_type").alias("nudge"))
+    raw = F.to_json(F.struct(F.array(one, two, one).alias("signals")))
+    answers = e.select("event_id", F.when(F.col("event_id") % 5 == 0, F.substring(raw, 1, 40)).otherwise(raw).alias("raw"))
+    return calls.judged_signals(answers, "raw", signals.JUDGED)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unclear' WHEN event_type IN ('view', 'click') THEN event_type ELSE 'unclear' END AS intent, CASE WHEN event_id % 5 = 0 THEN '' ELSE json_extract_string(props, '$.k') END AS slot_value, event_id % 5 <> 0 AND value > 10 AS value_fits FROM events""")
+def classified_turns(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.to_json(F.struct(F.col("event_type").alias("intent"), F.get_json_object("props", "$.k").alias("slot_value"), (F.col("value") > 10).alias("value_fits")))
+    c = calls.classified(F.when(F.col("event_id") % 5 == 0, F.substring(raw, 1, 9)).otherwise(raw), ("view", "click"))
+    return read(spark, d, "events").select("event_id", c.alias("c")).select("event_id", "c.intent", "c.slot_value", "c.value_fits")
 
 
 @query("""SELECT '| event_type | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || event_type || ' | ' || n || ' |', chr(10) ORDER BY event_type) AS markdown FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""")
@@ -563,3 +735,118 @@ def rollup_revenue(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def customers_without_large_orders(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "customer").join(read(spark, d, "orders").filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT source, lang, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, source, lang) AS INTEGER) AS place FROM documents GROUP BY source, lang")
+def group_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.counts(read(spark, d, "documents"), "source", "lang")
+
+
+@query(r"""WITH w AS (SELECT source, len(regexp_extract_all(text, '[^\s]+')) AS words, quality FROM documents LEFT JOIN labels USING (doc_id)),
+    f AS (SELECT source, 'all=' || count(*) || ' > labelled=' || count(quality) || ' > good=' || count(*) FILTER (WHERE quality = 1) AS funnel, count(quality) AS labelled, count(*) AS chunks, round(avg(words), 2) AS mean_words FROM w GROUP BY source)
+    SELECT source, chunks, mean_words, funnel FROM f""")
+def corpus_overview(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    g = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n0"), F.count("quality").alias("n1"), F.count_if(F.col("quality") == 1).alias("n2"))
+    steps = g.select("source", F.posexplode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{i}").alias("n")) for i, name in enumerate(("all", "labelled", "good"))])).alias("step", "s")).select("source", "step", "s.name", "s.n")
+    return reports.corpus_overview(read(spark, d, "documents").select("source").distinct(), steps, docs.select("source", T.word_count(F.col("text")).alias("words")), "source").select("source", "chunks", "mean_words", "funnel")
+
+
+@query("SELECT event_type, day, n, round(n / first_value(n) OVER (PARTITION BY event_type ORDER BY day), 4) AS share FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)")
+def stage_shares(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return reports.funnel_shares(n, "event_type", "day", "n")
+
+
+@query("SELECT l.lang AS corpus, s.market FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN (SELECT lang, min(source) AS market FROM documents WHERE source <> 'src0' GROUP BY lang) s ON s.lang = l.lang")
+def first_market(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("lang").alias("corpus"), F.col("source").alias("market"))
+    return reports.first_market(docs.select("corpus").distinct(), docs.filter("market <> 'src0'").distinct(), "corpus", "market")
+
+
+@query("SELECT n_name AS voice, r_name AS hint, s AS sentence FROM nation, region, (VALUES ('a'), ('b')) AS t(s)")
+def trial_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return reports.trials(read(spark, d, "nation").select(F.col("n_name").alias("voice")), read(spark, d, "region").select(F.col("r_name").alias("hint")), values(spark, "(VALUES ('a'), ('b')) AS t(sentence)"))
+
+
+_TRIALS = "w AS (SELECT event_id, event_type, user_id % 3 AS hint, value / 100 AS wer FROM events), g AS (SELECT 'event_type x hint' AS grouping, event_type || ' / ' || hint AS \"group\", count(*) AS trials, round_even(avg(wer), 3) AS mean_wer FROM w GROUP BY event_type, hint UNION ALL SELECT 'event_type', event_type, count(*), round_even(avg(wer), 3) FROM w GROUP BY event_type)"
+
+
+def _trials(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("hint"), (F.col("value") / 100).alias("wer"))
+
+
+@query(f"WITH {_TRIALS} SELECT * FROM g")
+def wer_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return reports.error_rates(_trials(spark, d), "wer", ["event_type", "hint"], ["event_type"])
+
+
+@query(f"WITH {_TRIALS} SELECT event_id, wer FROM w ORDER BY wer DESC, event_id LIMIT 5")
+def worst_trials(spark: SparkSession, d: str) -> DataFrame:
+    return reports.worst(_trials(spark, d), "wer", "event_id").select("event_id", "wer")
+
+
+@query(f"""WITH {_TRIALS} SELECT round_even((SELECT mean_wer FROM g WHERE "group" = 'error') / (SELECT mean_wer FROM g WHERE "group" = 'view'), 2) AS ratio""")
+def wer_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return reports.worse_by(reports.error_rates(_trials(spark, d), "wer", ["event_type"]), "error", "view")
+
+
+@query("SELECT event_type, count(*) AS runs, count(*) FILTER (WHERE event_id % 4 = 0) AS json, count(*) FILTER (WHERE event_id % 4 = 1) AS refused, count(*) FILTER (WHERE event_id % 4 = 2) AS failed FROM events GROUP BY event_type")
+def model_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    out = F.when(k == 0, F.concat(F.lit(" "), "props")).when(k == 1, F.lit("I say NO_ANSWER")).when(k == 2, F.lit("FAILED: timeout")).otherwise("fine")
+    return reports.capabilities(read(spark, d, "events").select("event_type", out.alias("o")), "event_type", "o", "NO_ANSWER")
+
+
+@query("""SELECT page_id, literal FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '"([^"\n]{12,})"', 1))) AS literal FROM pages)""")
+def source_literals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.literals(read(spark, d, "pages"), "page_id", "html")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at, base64(encode(props)) AS audio, props AS back FROM events")
+def wire_forms(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("event_id", reports.iso_time(F.col("ts").cast("timestamp")).alias("at"), F.base64(F.encode("props", "utf-8")).alias("audio"))
+    return e.withColumn("back", F.decode(F.unbase64("audio"), "utf-8"))
+
+
+@query("""WITH s AS (SELECT user_id, list(event_id ORDER BY event_id) AS x FROM events GROUP BY user_id) SELECT user_id, array_to_string(x[greatest(0, floor((0.5 - 0.2) * 10)) + 1 : least(len(x), floor((1.5 + 0.2) * 10))], ',') AS clip FROM s""")
+def sample_clips(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("x"))
+    return s.select("user_id", F.array_join(reports.sample_range(F.col("x"), F.lit(0.5), F.lit(1.5), 10), ",").alias("clip"))
+
+
+@query("""SELECT event_type AS stage, count(value) AS count, round_even(quantile_cont(value, 0.5), 1) AS p50_ms, round_even(quantile_cont(value, 0.95), 1) AS p95_ms, round_even(min(value), 1) AS min_ms, round_even(max(value), 1) AS max_ms,
+    round_even(avg(value), 1) AS mean_ms, CAST(row_number() OVER (ORDER BY min((user_id % 2) * 1e9 + event_id), event_type) AS INTEGER) AS place FROM events GROUP BY event_type""")
+def merged_latency(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms"), F.col("event_id").alias("seq"), "user_id")
+    return calls.latency_summary(reports.merged_spans(e.filter("user_id % 2 = 0"), e.filter("user_id % 2 = 1")), "stage", "ms", "seq")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def without_broken(spark: SparkSession, d: str) -> DataFrame:
+    return reports.without(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels").filter("quality = 0"), "doc_id")
+
+
+@query(f"""WITH n AS (SELECT user_id AS call, event_id AS nudge_id, {_MIN} AS a FROM events), k AS (SELECT DISTINCT user_id AS call, floor({_MIN} / 200) * 200 AS tick FROM events),
+    s AS (SELECT k.call, k.tick, nudge_id FROM k JOIN n ON n.call = k.call AND a <= tick AND tick - a <= 90)
+    SELECT call, tick, nudge_id FROM s WHERE NOT (nudge_id % 3 = 0 AND (nudge_id * 7 % 500) <= tick)""")
+def dismissed_nudges(spark: SparkSession, d: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600
+    n = read(spark, d, "events").select(F.col("user_id").alias("call"), F.col("event_id").alias("nudge_id"), at.alias("at"), F.lit("compliance_gap").alias("type"), F.lit(100).alias("priority"))
+    ticks = n.select("call", (F.floor(F.col("at") / 200) * 200.0).alias("tick")).distinct()
+    gone = n.filter("nudge_id % 3 = 0").select("call", "nudge_id", (F.col("nudge_id") * 7 % 500).cast("double").alias("at"))
+    return signals.dismissed(signals.active(n, ticks), gone).select("call", "tick", "nudge_id")
+
+
+@query(f"WITH {_TURNS} SELECT e.event_id, t.text, t.speaker FROM events e LEFT JOIN t ON t.conv_id = e.user_id AND t.turn = e.event_id % 4")
+def nudge_lines(spark: SparkSession, d: str) -> DataFrame:
+    n = read(spark, d, "events").select("event_id", F.col("user_id").alias("call"), (F.col("event_id") % 4).alias("utt_id"))
+    t = _turns(spark, d).select(F.col("conv_id").alias("call"), F.col("turn").alias("utt_id"), "speaker", "text")
+    return signals.with_transcript(n, t).select("event_id", "text", "speaker")
+
+
+@query(f"SELECT page_id, {_PATH} LIKE 'en%' AS allowed FROM pages")
+def robots_audit(spark: SparkSession, d: str) -> DataFrame:
+    rules = web.Robots(200, "User-agent: *\nAllow: /en\nDisallow: /")
+    ok, blocked = web.audit_robots(read(spark, d, "pages").select("page_id", "url"), "url", rules, "bot")
+    return ok.select("page_id", F.lit(True).alias("allowed")).unionByName(blocked.select("page_id", F.lit(False).alias("allowed")))

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset: on one machine a temporary folder of this process, on a
+    cluster one beside the warehouse, which executors share as well."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and re.match(r"local(\[.*)?$", spark.sparkContext.master):
+        found = tempfile.mkdtemp(prefix="callweave-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/callweave-stages").rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
     """df written as Parquet and read again, so that loops keep short plans and outlive lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="callweave-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

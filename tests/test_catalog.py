@@ -9,7 +9,7 @@ import pytest
 from callweave.plans import catalog
 
 D = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem events documents embeddings pages labels conversations".split()
+TABLES = "nation region benchmark customer orders lineitem events documents embeddings pages labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
 
 

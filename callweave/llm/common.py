@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,18 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset: on one machine a temporary folder of this process, on a
+    cluster one beside the warehouse, which executors share as well."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and re.match(r"local(\[.*)?$", spark.sparkContext.master):
         found = tempfile.mkdtemp(prefix="callweave-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/callweave-stages").rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -28,6 +28,8 @@ WIDE = 32
 #: Sets searched against each other in one block, and rounds of min-hash groups: those for all sets, then those for
 #: groups that still hold several components.
 BLOCK, ROUNDS, AGAIN = 64, 3, 4
+#: Sets in a part of a wide list, of which two meet in a block.
+PART = 128
 MU = 0.01
 #: An identifier of a shingle is its bucket and ID_BITS bits of its hash; the place that stands for several sets.
 ID_BITS, SEVERAL = 40, 0xFFFF
@@ -61,7 +63,8 @@ def _need(n: np.ndarray | int) -> np.ndarray | int:
 class _Chunk:
     """Sets of the rows that a task reads, each once, until they are sent on."""
 
-    def __init__(self) -> None:
+    def __init__(self, shingles: int, sets: int) -> None:
+        self.limits = shingles, sets
         self.place: dict[bytes, int] = {}
         self.sets: list[np.ndarray] = []
         self.docs: list[int | None] = []
@@ -81,7 +84,7 @@ class _Chunk:
         self.of.append(at)
 
     def full(self) -> bool:
-        return self.total >= CHUNK_SHINGLES or len(self.sets) >= CHUNK_SETS or len(self.docs) >= 8 * CHUNK_SETS
+        return self.total >= self.limits[0] or len(self.sets) >= self.limits[1] or len(self.docs) >= 8 * self.limits[1]
 
 
 _MAP = pa.schema([("dest", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("places", pa.binary()), ("more", pa.binary())])
@@ -118,14 +121,14 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 256], strict=True), _MAP.types, strict=True)], schema=_MAP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, chunk = _Chunk(), TaskContext.get().partitionId() << 24
+        c, chunk = _Chunk(CHUNK_SHINGLES, CHUNK_SETS), TaskContext.get().partitionId() << 24
         for b in batches:
             ids = b.column(0).cast(pa.int64()).to_pylist()
             for i, s in _sets(b.column(1)):
                 c.add(ids[i], s)
                 if c.full():
                     yield from sent(c, chunk)
-                    c, chunk = _Chunk(), chunk + 1
+                    c, chunk = _Chunk(CHUNK_SHINGLES, CHUNK_SETS), chunk + 1
         if c.docs:
             yield from sent(c, chunk)
 
@@ -419,14 +422,13 @@ def _grouped(sets: DataFrame, rounds: range, total: int, labels: DataFrame | Non
 
 
 def _dealt(mixed: DataFrame, per: DataFrame) -> DataFrame:
-    """sid, list, block: the sets of wide lists in parts of half a BLOCK, every part with each other part. A label that
+    """sid, list, block: the sets of wide lists in parts, every part with each other part. A label that
     fills parts of its own isn't met with itself. mixed: s, sid, label of wide lists; per: s, label, k of these lists."""
-    half = BLOCK // 2
-    big = F.col("k") > half
-    own = per.withColumn("own", F.when(big, F.ceil(F.col("k") / half)).otherwise(0).cast("int"))
+    big = F.col("k") > PART
+    own = per.withColumn("own", F.when(big, F.ceil(F.col("k") / PART)).otherwise(0).cast("int"))
     w = Window.partitionBy("s").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     starts = own.filter("own > 0").withColumn("off", F.coalesce(F.sum("own").over(w), F.lit(0)).cast("int")).select("s", "label", "own", "off")
-    sums = own.groupBy("s").agg(F.ceil(F.sum(F.when(~big, F.col("k")).otherwise(0)) / half).cast("int").alias("pool"), F.sum("own").cast("int").alias("rest"))
+    sums = own.groupBy("s").agg(F.ceil(F.sum(F.when(~big, F.col("k")).otherwise(0)) / PART).cast("int").alias("pool"), F.sum("own").cast("int").alias("rest"))
     at = mixed.join(sums, "s").join(starts, ["s", "label"], "left")
     h = lambda n: F.pmod(F.xxhash64("sid", F.lit(7)), n).cast("int")
     i = F.when(F.col("own") > 0, F.col("pool") + F.col("off") + h(F.col("own"))).otherwise(h(F.greatest("pool", F.lit(1))))

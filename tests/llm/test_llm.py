@@ -77,6 +77,7 @@ def test_jaccard(spark, rows, monkeypatch, common, wide, rounds, chunk):
     monkeypatch.setattr(jaccard, "AGAIN", rounds // 2)
     monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "PART", 8)
     got = jaccard.near_duplicates(docs(spark, rows)).collect()
     assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == near(rows)
 
@@ -250,6 +251,65 @@ def test_brown(spark, rows):
     assert all(math.isfinite(x.score) and x.score < 0 for x in got)
 
 
+@pytest.mark.parametrize("sent", [25, 150_000])
+def test_brown_score_is_the_model(spark, rows, monkeypatch, sent):
+    monkeypatch.setattr(brown, "SENT_WORDS", sent)
+    df = docs(spark, rows)
+    (m, _), own = brown.fit(df), lambda w: np.frombuffer(w.encode(), np.uint8)
+    assert len(m.sent.keys) == min(sent, len(m.sent.keys)) > 10  # words are sent however many there are
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    split = [(i, WORD.findall((t or "").translate(low))) for i, t in rows]
+    train = [ws for i, ws in split if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    c = collections.Counter(w for ws in train for w in ws)
+    hashed = {w: int(brown.words(own(w), np.array([0, len(own(w))]))[0][0]) for _, ws in split for w in ws}
+    place = {int(h): k for k, h in enumerate(m.sent.keys)}
+    shape = {w: int(brown.shape(own(w), np.array([0]), np.array([len(own(w))]))[0]) for w in hashed}
+    at = {w: int(m.sent.classes[place[hashed[w]]]) if hashed[w] in place else int(m.sent.shapes[shape[w]]) for w in hashed}
+    k, add = brown.CLASSES, brown.ADD
+    pairs = collections.Counter(p for ws in train for p in zip([0, *map(at.get, ws)], [*map(at.get, ws), 0], strict=True))
+    total = collections.Counter(a for (a, _), n in pairs.items() for _ in range(n))
+    trans = lambda a, b: math.log10((pairs[a, b] + add) / (total[a] + add * k))
+    unit = collections.Counter({("end",): len(train)})
+    for w, n in c.items():
+        unit[(w,) if hashed[w] in place else ("shape", shape[w])] += n
+    of = {("end",): 0, **{("shape", x): int(m.sent.shapes[x]) for x in range(brown.SHAPES)}, **{(w,): at[w] for w in c if hashed[w] in place}}
+    sums = collections.Counter()
+    for u, cls in of.items():
+        sums[cls] += unit[u] + add
+    mass, kinds = collections.Counter(), collections.Counter()
+    for w, n in c.items():
+        if hashed[w] not in place:
+            mass[shape[w]] += n
+            kinds[shape[w]] += 1
+
+    def word(w):
+        if hashed[w] in place:
+            return math.log10((c[w] + add) / sums[at[w]])
+        x = shape[w]
+        return math.log10((unit["shape", x] + add) / sums[at[w]]) + math.log10((c[w] + add) / (mass[x] + add * (kinds[x] + 1)))
+
+    want = [(str(i), round(sum(trans(a, b) for a, b in zip([0, *map(at.get, ws)], [*map(at.get, ws), 0], strict=True)) + sum(map(word, ws)) + math.log10((len(train) + add) / sums[0]), 3)) for i, ws in split]
+    assert sorted((str(x.doc_id), round(x.score, 3)) for x in brown.score_documents(df).collect()) == sorted(want)
+    for a in range(k):  # what follows any class, unseen words and all, sums to one
+        if any(cls == a for cls in of.values()):
+            rest = sum(unit[u] + add for u, cls in of.items() if cls == a) / sums[a]
+            assert rest == pytest.approx(1)
+        assert sum(10 ** trans(a, b) for b in range(k)) == pytest.approx(1)
+    for x in mass:
+        assert sum(c[w] + add for w in c if hashed[w] not in place and shape[w] == x) + add == pytest.approx(mass[x] + add * (kinds[x] + 1))
+
+
+def test_reassigned_words_join_their_like():
+    pairs = np.zeros((4, 4))
+    pairs[1, 2] = pairs[2, 1] = 100
+    pairs[3, 3], pairs[1, 1] = 200, 5
+    pairs[3, 1] = pairs[1, 3] = pairs[3, 2] = pairs[2, 3] = 20
+    context = np.zeros((2, 8), np.int64)
+    context[0, 1], context[0, 4 + 1] = 20, 20  # stands between words of class 1, as class 2's do
+    context[1, 2], context[1, 4 + 2] = 20, 20
+    assert brown.best_classes(context, np.array([20, 20]), np.array([3, 3]), pairs).tolist() == [2, 1]
+
+
 def test_exchange_parts_alternating_words():
     b = np.zeros((7, 7))
     for x in (0, 1, 2):

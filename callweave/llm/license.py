@@ -35,6 +35,20 @@ SENTENCES = [
     "all rights reserved",
     "this is free and unencumbered software released into the public domain",
     "licensed under the apache license version 2 0 the license",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "see the gnu lesser general public license for more details",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "see the gnu affero general public license for more details",
+    "this source code form is subject to the terms of the mozilla public license v",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "licensed under the eclipse public license version 2 0",
 ]
 #: Licence -> ordered sentence identifiers that must follow each other among a text's known sentences. Fixed values.
 RULES = {
@@ -44,7 +58,16 @@ RULES = {
     "CC-BY-4.0": [[10], [12]],
     "CC-BY-SA-4.0": [[11]],
     "GPL-3.0": [[13], [15, 16, 17]],
-    "GPL-2.0": [[14]],
+    "GPL-2.0": [[14], [25, 16, 17], [37, 16, 17]],
+    "LGPL-2.1": [[26, 28, 29], [26, 16, 29]],
+    "LGPL-3.0": [[27, 28, 29]],
+    "AGPL-3.0": [[30, 16, 31]],
+    "MPL-2.0": [[32]],
+    "ISC": [[33]],
+    "0BSD": [[34]],
+    "Zlib": [[35]],
+    "BSL-1.0": [[36]],
+    "EPL-2.0": [[38]],
     "BSD-3-Clause": [[18, 19, 20, 21]],
     "BSD-2-Clause": [[18, 19, 20]],
     "Proprietary": [[22]],
@@ -72,10 +95,21 @@ def sentence_ids(text: Column, ends: str = LINES) -> Column:
     return F.when(text.rlike(f"(?i){ANCHORS}"), found).otherwise(F.array().cast("array<int>"))
 
 
+def _line(q: list[int]) -> str:
+    return "," + ",".join(map(str, q)) + ","
+
+
+def _longer(q: list[int]) -> list[str]:
+    """The sequences of any rule that hold q and more, longest first: what they match isn't q's."""
+    return [_line(p) for p in sorted((p for seqs in RULES.values() for p in seqs if len(p) > len(q) and _line(q) in _line(p)), key=len, reverse=True)]
+
+
 def licenses(ids: Column) -> Column:
-    """Sorted names of the licences one of whose sentence sequences occurs, unbroken, in ids."""
+    """Sorted names of the licences one of whose sentence sequences occurs, unbroken, in ids, and not only as a part of a
+    longer rule's."""
     line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
-    hit = lambda seqs: reduce(or_, [line.contains("," + ",".join(map(str, q)) + ",") for q in seqs])
+    left = lambda q: reduce(lambda x, p: F.replace(x, F.lit(p), F.lit(",")), _longer(q), line)
+    hit = lambda seqs: reduce(or_, [left(q).contains(_line(q)) for q in seqs])
     return F.array_compact(F.array(*[F.when(hit(seqs), F.lit(name)) for name, seqs in sorted(RULES.items())]))
 
 
@@ -99,7 +133,7 @@ def oracle() -> str:
     """DuckDB SQL for scan_licenses over documents, arrays joined with commas."""
     known = "MAP {" + ", ".join(f"'{s}': {i}" for i, s in enumerate(SENTENCES)) + "}"
     ids = lambda t: f"list_filter(list_transform(string_split({t}, chr(31)), lambda s: {known}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL)"
-    hits = lambda line: "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains({line}, ',{','.join(map(str, q))},')" for q in seqs) + f" THEN '{name}' END" for name, seqs in sorted(RULES.items())) + "]"
+    hits = lambda line: "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains({reduce(lambda x, p: f"replace({x}, '{p}', ',')", _longer(q), line)}, '{_line(q)}')" for q in seqs) + f" THEN '{name}' END" for name, seqs in sorted(RULES.items())) + "]"
     return f"""
     WITH raw AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     marked AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([.!?;:])[ \\t]+', '\\1' || chr(31), 'g'), '[\\r\\n]+', chr(31), 'g') AS t,

@@ -138,6 +138,19 @@ def test_shard(spark, rows):
     assert {(x.size, x.text_crc32) for x in got} == {(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows}
     with pytest.raises(ValueError):
         shard.rendezvous(None, [0.0])
+    import xxhash
+
+    def winner(key, weights):  # recomputed with the hash library
+        u = lambda i: ((xxhash.xxh64_intdigest(i.to_bytes(4, "little"), xxhash.xxh64_intdigest(key.encode(), 42)) >> 11) + 0.5) / (1 << 53)
+        return max((-w / math.log(u(i)), i) for i, w in enumerate(weights) if w > 0)[1]
+
+    assert all(x.shard == winner("\0null" if x.doc_id is None else str(x.doc_id), [1.0] * 8) and x.grown_shard == winner("\0null" if x.doc_id is None else str(x.doc_id), [1.0] * 9) for x in got)
+    weights = [1.0, 3.0, 0.0, 0.5]
+    many = shard.shard(spark.range(3000), "id", weights, [1.0, 3.0, 0.0, 1.5]).collect()
+    assert all(x.shard == winner(str(x.id), weights) for x in many)
+    share = collections.Counter(x.shard for x in many)
+    assert share[2] == 0 and abs(share[1] / 3000 - 3 / 4.5) < 0.05 and abs(share[3] / 3000 - 0.5 / 4.5) < 0.03
+    assert all(x.grown_shard in (x.shard, 3) for x in many)  # the shard that gained weight only takes keys
 
 
 def test_packing(spark, rows):
@@ -497,7 +510,13 @@ See the License for the specific language governing permissions and
 limitations under the License."""
 
 
+LGPL = GPL.replace("This program", "This library").replace("version 3", "version 2.1").replace("GNU General", "GNU Lesser General").replace("GNU\n    General", "GNU\n    Lesser General").replace("the\n    GNU", "the\n    GNU")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
 def test_whole_notices(spark):
-    cases = {MIT: ["MIT"], MIT.replace("\n", "\r\n"): ["MIT"], GPL: ["GPL-3.0"], BSD: ["BSD-2-Clause", "BSD-3-Clause"], APACHE: ["Apache-2.0"]}
+    cases = {MIT: ["MIT"], MIT.replace("\n", "\r\n"): ["MIT"], GPL: ["GPL-3.0"], BSD: ["BSD-3-Clause"], BSD.rsplit("\n\n", 1)[0]: ["BSD-2-Clause"], BSD + "\n\n" + BSD.rsplit("\n\n", 1)[0]: ["BSD-2-Clause", "BSD-3-Clause"], GPL.replace("version 3", "version 2"): ["GPL-2.0"], LGPL: ["LGPL-2.1"], MPL: ["MPL-2.0"], "word " * 200_000 + "\n\n" + MIT + "\n" + MIT: ["MIT"], APACHE: ["Apache-2.0"]}
     got = license.scan_licenses(docs(spark, list(enumerate(cases)))).collect()
     assert {x.doc_id: list(x.licenses) for x in got} == dict(enumerate(cases.values()))

@@ -209,7 +209,7 @@ def near_dup_groups(spark: SparkSession, d: str) -> DataFrame:
     return clean.near_groups(prints, "doc_id", clean.near_pairs(prints, "doc_id"))
 
 
-@query(f"""WITH RECURSIVE {_SIMHASH}, o AS (SELECT doc_id, fingerprint, row_number() OVER (ORDER BY len(regexp_extract_all(text, '[^\\s]+')) DESC, doc_id) AS i FROM documents JOIN fp USING (doc_id)),
+@query(f"""WITH RECURSIVE {_SIMHASH}, o AS MATERIALIZED (SELECT doc_id, fingerprint, row_number() OVER (ORDER BY len(regexp_extract_all(text, '[^\\s]+')) DESC, doc_id) AS i FROM documents JOIN fp USING (doc_id)),
     f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::BIGINT AS near, []::STRUCT(k BIGINT, p BIGINT)[] AS kept
       UNION ALL SELECT o.i, o.doc_id, c.near, CASE WHEN c.near IS NULL THEN list_append(f.kept, {{'k': o.doc_id, 'p': o.fingerprint}}) ELSE f.kept END
         FROM f JOIN o ON o.i = f.i + 1, LATERAL (SELECT list_filter(f.kept, lambda x: bit_count(xor(x.p, o.fingerprint)) <= 4)[1].k AS near) c)
@@ -490,7 +490,7 @@ def _offered(spark: SparkSession, d: str) -> DataFrame:
 
 _ENGINE = """k AS (SELECT * FROM (VALUES ('signup', 'buying_signal', 60, 30.0, 0.55), ('error', 'compliance_gap', 100, 45.0, 0.4), ('click', 'missed_cross_sell', 50, 60.0, 0.55), ('view', 'topic_shift', 20, 90.0, 0.55), ('purchase', 'callback_needed', 40, 60.0, 0.55)) AS k(event_type, type, priority, cooldown, floor)),
     o AS (SELECT CAST(user_id AS VARCHAR) AS call, epoch_us(ts) / 1e6 / 600 AS "at", type, priority, cooldown::DOUBLE AS cooldown, floor::DOUBLE AS floor, least(value / 20, 1.0) AS confidence, type || ':' || json_extract_string(props, '$.k') AS key FROM events JOIN k USING (event_type)),
-    s AS (SELECT *, row_number() OVER (PARTITION BY call ORDER BY "at", priority DESC, key) AS i FROM o),
+    s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY call ORDER BY "at", priority DESC, key) AS i FROM o),
     f AS (SELECT DISTINCT call, 0::BIGINT AS i, NULL::DOUBLE AS "at", NULL::VARCHAR AS type, NULL::INTEGER AS priority, NULL::VARCHAR AS fate, 0 AS n, MAP {}::MAP(VARCHAR, DOUBLE) AS last, []::VARCHAR[] AS seen FROM s
       UNION ALL SELECT call, i, "at", type, priority, fate, n + CASE WHEN fate = 'emitted' THEN 1 ELSE 0 END, CASE WHEN fate = 'emitted' THEN map_concat(last, MAP {type: "at"}) ELSE last END, CASE WHEN fate = 'emitted' THEN list_append(seen, key) ELSE seen END
         FROM (SELECT s.*, f.n, f.last, f.seen, CASE WHEN s.confidence < s.floor THEN 'low_confidence' WHEN list_contains(f.seen, s.key) THEN 'duplicate' WHEN s."at" - f.last[s.type] < s.cooldown THEN 'cooldown' ELSE 'emitted' END AS fate FROM f JOIN s ON s.call = f.call AND s.i = f.i + 1)),
@@ -572,7 +572,7 @@ def session_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events")
 
 
-@query("""WITH RECURSIVE v AS (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value * 20 >= 180 AS voiced FROM events),
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value * 20 >= 180 AS voiced FROM events),
     f AS (SELECT DISTINCT call, -1::BIGINT AS i, 0::BIGINT AS run, NULL::BIGINT AS start, 0::BIGINT AS last, NULL::BIGINT AS a, NULL::BIGINT AS b FROM v
       UNION ALL SELECT call, i, CASE WHEN start IS NOT NULL THEN CASE WHEN shut THEN 0 ELSE run END WHEN voiced THEN run + 1 ELSE 0 END,
           CASE WHEN start IS NOT NULL THEN CASE WHEN NOT shut THEN start END WHEN voiced AND run + 1 >= 2 THEN i - 1 END, CASE WHEN voiced THEN i + 1 ELSE last END, CASE WHEN shut THEN start END, CASE WHEN shut THEN CASE WHEN voiced THEN i + 1 ELSE last END END
@@ -652,7 +652,7 @@ def slot_skip(spark: SparkSession, d: str) -> DataFrame:
 
 
 _INTENTS = {"signup": "agree", "error": "objection", "click": "answer", "view": "question", "purchase": "answer"}
-_FSM = f"""t AS (SELECT CAST(user_id AS VARCHAR) AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, MAP {{{', '.join(f"'{k}': '{v}'" for k, v in _INTENTS.items())}}}[event_type] AS intent, json_extract_string(props, '$.k') AS value, value > 10 AS fits, value > 99.5 AS esc FROM events),
+_FSM = f"""t AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, MAP {{{', '.join(f"'{k}': '{v}'" for k, v in _INTENTS.items())}}}[event_type] AS intent, json_extract_string(props, '$.k') AS value, value > 10 AS fits, value > 99.5 AS esc FROM events),
     f AS (SELECT DISTINCT call, 0::BIGINT AS i, 'greeting' AS st, 0 AS filled, []::VARCHAR[] AS skipped, 0 AS tries FROM t
       UNION ALL SELECT call, i, CASE WHEN st IN ('ended', 'escalated') THEN st WHEN esc THEN 'escalated' WHEN intent = 'question' THEN 'answering' WHEN intent = 'objection' THEN 'objection'
             WHEN (intent = 'answer' AND fits OR vain AND tries = 2) AND filled + len(skipped) + CASE WHEN puts OR vain THEN 1 ELSE 0 END >= 6 THEN 'ended' WHEN intent = 'answer' AND fits OR st <> 'greeting' OR intent = 'agree' THEN 'qualifying' ELSE st END,

@@ -520,3 +520,35 @@ def test_whole_notices(spark):
     cases = {MIT: ["MIT"], MIT.replace("\n", "\r\n"): ["MIT"], GPL: ["GPL-3.0"], BSD: ["BSD-3-Clause"], BSD.rsplit("\n\n", 1)[0]: ["BSD-2-Clause"], BSD + "\n\n" + BSD.rsplit("\n\n", 1)[0]: ["BSD-2-Clause", "BSD-3-Clause"], GPL.replace("version 3", "version 2"): ["GPL-2.0"], LGPL: ["LGPL-2.1"], MPL: ["MPL-2.0"], "word " * 200_000 + "\n\n" + MIT + "\n" + MIT: ["MIT"], APACHE: ["Apache-2.0"]}
     got = license.scan_licenses(docs(spark, list(enumerate(cases)))).collect()
     assert {x.doc_id: list(x.licenses) for x in got} == dict(enumerate(cases.values()))
+
+
+def test_pipeline_run(spark, rows, tmp_path):
+    plain = lambda t: SPACE.sub(" ", t or "")
+    for name, some in (("full", [*rows[:40], (None, "a b c"), (None, "other text"), (1, ""), (None, None), (2, " ")]), ("empty", [])):
+        docs(spark, some).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        groups = near([(k, t) for k, (_, t) in enumerate(some)])
+        want = len({c for _, n, c in groups if n}) + len({plain(some[int(k)][1]) for k, n, _ in groups if not n})
+        assert sum(x.piece == 0 for x in got) == want
+    kept = corpus_pipeline.keep_good(spark, docs(spark, rows[:5]), str(tmp_path / "full"))
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and kept.count() == 5  # further columns stay
+
+
+def test_quality_sample(spark):
+    rows = [(1, "a good text here"), (1, "a good text here"), (2, "x" * 40_000), (4, "second of four"), (4, "first of four"), (6, None), (7, "   "), (8, "bad one")]
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 0), (4, 1, 0), (6, 1, 0), (7, 0, 0), (8, 0, 0), (None, 0, 0), (8, 5, 0)], "doc_id long, quality int, toxic int")
+    train = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    got = {y: sorted(t.decode() for t in s) for y, s in quality.sample(docs(spark, rows), labels).items()}
+    want = {1: [t for i, t in {*rows} if i in (1, 4) and i in train], 0: [t for i, t in rows if i == 8 and i in train]}
+    assert got == {y: sorted(s) for y, s in want.items()}  # a label given twice counts once, long and blank texts not
+    m = quality.fit(docs(spark, rows), labels)
+    out = quality.score(docs(spark, [(1, "word " * 100_000), (2, None), (3, "")]).withColumnRenamed("key", "score"), m).collect()
+    assert len(out) == 3 and all(0 <= x.score <= 1 for x in out)
+
+
+def test_write_matrices(spark, rows, tmp_path):
+    few = docs(spark, rows[:30])
+    packing.write_matrices(few, str(tmp_path / "m"))
+    got = {(x.sequence_id, bytes(x.ids)) for x in spark.read.parquet(str(tmp_path / "m")).collect()}
+    assert got == {(x.sequence_id, bytes(x.ids)) for x in packing.pack_matrices(few).collect()} and got

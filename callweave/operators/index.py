@@ -13,6 +13,7 @@ from callweave.functions import providers
 from callweave.functions import text as T
 from callweave.operators import search
 from callweave.operators.chunk import embedding_text
+from callweave.plans.staging import stage
 
 #: Query tokens up to which a search sends them along with the scan, so that it skips other tokens' files.
 PUSHED_TOKENS = 2_000
@@ -54,6 +55,7 @@ def build(chunks: DataFrame, path: str, key: str, text: Column | None = None, ve
     if vectors is not None:
         vectors.select(key, search.unit_vector(F.col("vector")).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
     spark.createDataFrame([(key, n, float(avgdl), mean[1], vectors is not None)], "key string, chunks long, average_length double, terms long, has_vectors boolean").write.mode("overwrite").parquet(f"{path}/stats")
+    load.cache_clear()  # what was open may have been written over
     return load(spark, path)
 
 
@@ -102,7 +104,7 @@ def answer(queries: DataFrame, ranked: DataFrame, index: Index, model: Callable[
     A query below `least` is refused before the model is asked, unless authored passages (query_id, passage) exist for
     it; one whose answer holds the refusal token after it. Only citations of retrieved chunks count; an answer is
     grounded if it rests on any passage."""
-    key = index.key
+    key, ranked = index.key, stage(ranked)  # searched once, read three times
     text = ranked.join(index.chunks.select(key, "content"), key)
     context = search.context_block(text, key, "content")
     ids = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("k")))), lambda x: x["k"]).alias("retrieved"))

@@ -27,15 +27,16 @@ def idf(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """query_id, key, raw: BM25 sums over the query's tokens, repeated ones adding each time. The small query table is
-    broadcast, so documents are cut down to the query tokens before anything moves."""
+    """query_id, key, raw: BM25 sums over the query's tokens, repeated ones adding each time, straight from the texts; for
+    more than a few searches build an index. Documents are cut down to the query tokens first, by a broadcast as long as
+    those are few."""
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    weights = idf(docs, key, text).join(F.broadcast(asked.select("token").distinct()), "token")
+    weights = idf(docs, key, text).join(asked.select("token").distinct(), "token")
     mean = docs.agg(F.avg(F.size(T.tokens(F.col(text)))).alias("__avg"))
     wanted = asked.select("token").distinct()
     rows = docs.select(key, T.tokens(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.explode("__t").alias("token"))
-    tf = rows.join(F.broadcast(wanted), "token").groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    scored = tf.join(F.broadcast(weights), "token").join(F.broadcast(asked), "token").crossJoin(F.broadcast(mean))
+    tf = rows.join(wanted, "token").groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    scored = tf.join(weights, "token").join(asked, "token").crossJoin(F.broadcast(mean))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("__avg")))
     return scored.groupBy("query_id", key).agg(F.sum(part).alias("raw"))
 

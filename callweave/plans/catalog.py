@@ -340,8 +340,8 @@ def score_scale(spark: SparkSession, d: str) -> DataFrame:
     return reports.display_scale(_top(spark, d), "query_id", "score", 0.5)
 
 
-def _first_words(text: DataFrame | None = None) -> Callable:
-    """A stand-in for an answering model: the last passage's first words with a citation, or the refusal token."""
+def _first_words() -> Callable:
+    """A stand-in for an answering model: the prompt's first words with a citation, or the refusal token."""
     return lambda c: F.when(F.length(c) % 3 == 0, F.lit("NO_ANSWER")).otherwise(F.concat(F.substring(c, 1, 12), F.lit(" [faq_x]")))
 
 
@@ -692,8 +692,7 @@ def language_leak(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("}{"))).otherwise(F.col("props"))
-    broken = F.when(F.col("event_id") % 7 == 0, F.regexp_replace("props", "[}]", "")).otherwise(raw)
+    broken = F.when(F.col("event_id") % 7 == 0, F.regexp_replace("props", "[}]", "")).otherwise(F.col("props"))
     return read(spark, d, "events").select("event_id", calls.model_output(broken, "k int").getField("k").alias("k"))
 
 

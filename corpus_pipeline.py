@@ -13,21 +13,21 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; all columns of docs stay."""
     labels = table(spark, sf_dir, "labels")
-    return quality.score(docs.select(*COLUMNS), quality.fit(docs, labels), "__score").filter(F.col("__score") >= quality.CUT).select(*COLUMNS)
+    return quality.score(docs, quality.fit(docs, labels), "__score").filter(F.col("__score") >= quality.CUT).drop("__score")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with __row, a number of its own for every row, whatever its doc_id; staged, so that it stays."""
-    return stage(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
 
 def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The row of docs with the smallest doc_id of each group (rows of __row, group); a null doc_id is the largest."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")
     kept = groups.join(docs.select("__row", "doc_id"), "__row").groupBy("group").agg(first).select(F.col("first.__row").alias("__row"))
-    return docs.join(kept, "__row", "left_semi").select(*COLUMNS)
+    return docs.join(kept, "__row", "left_semi").drop("__row")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ U64 = np.uint64
 #: Shingles of WORDS words; sets link when 100 * intersection >= 75 * union, that is when 7 * intersection >= 3 * (sum of sizes).
 WORDS = 5
 #: Shingles and sets that a task sorts together.
-CHUNK_SHINGLES, CHUNK_SETS = 3_000_000, 60_000
+CHUNK_SHINGLES, CHUNK_SETS = 1_500_000, 60_000
 #: Shingles that tasks count COMMON times or more in sets that others share are last in the order of prefixes, the
 #: COMMONS most frequent at most. It decides the order of prefixes, never which pairs are found.
 COMMON, COMMONS = 24, 400_000

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, brown, dedup, jaccard, license, packing, quality, shard, spm
+from callweave.llm import ann, brown, dedup, divergence, jaccard, license, packing, quality, shard, spm
 from callweave.llm.common import table
 
 
@@ -54,7 +54,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_licenses")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_knn, op2_shards, op3_quality, op4_packing, op5_jaccard, op6_sentencepiece, op7_dedup, op8_token_matrices, op9_brown_lm, op10_licenses)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_knn, op2_shards, op3_quality, op4_packing, op5_jaccard, op6_sentencepiece, op7_dedup, op8_token_matrices, op9_brown_lm, op10_licenses, op13_divergence)}
 
 ORACLES = {
     "op5_jaccard": r"""
@@ -71,4 +75,22 @@ ORACLES = {
     SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
     FROM t WINDOW w AS (PARTITION BY text_sha256)""",
     "op10_licenses": license.oracle(),
+    "op13_divergence": r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+    own AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    size AS (SELECT lang, count(*) AS v, sum(n) AS whole FROM kept GROUP BY lang),
+    seen AS (SELECT DISTINCT lang, source FROM d),
+    total AS (SELECT s.lang, s.source, coalesce(sum(o.n), 0) AS total FROM seen s LEFT JOIN own o USING (lang, source) GROUP BY s.lang, s.source),
+    grid AS (SELECT k.lang, g.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000 * (coalesce(o.n, 0)::HUGEINT + 1)) // (g.total + z.v)::HUGEINT AS p,
+            1 + (1000000000 * (k.n::HUGEINT + 1)) // (z.whole + z.v)::HUGEINT AS q
+        FROM kept k JOIN total g USING (lang) JOIN size z USING (lang) LEFT JOIN own o ON o.lang = k.lang AND o.source = g.source AND o.term = k.term),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value FROM seen a JOIN seen b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+    both_parts AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM grid WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM both_parts)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, brown, dedup, divergence, jaccard, license, packing, quality, shard, simhash, spm
+from callweave.llm import align, ann, brown, dedup, divergence, jaccard, license, packing, quality, shard, simhash, spm
 from callweave.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_licenses")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_knn, op2_shards, op3_quality, op4_packing, op5_jaccard, op6_sentencepiece, op7_dedup, op8_token_matrices, op9_brown_lm, op10_licenses, op12_simhash, op13_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_knn, op2_shards, op3_quality, op4_packing, op5_jaccard, op6_sentencepiece, op7_dedup, op8_token_matrices, op9_brown_lm, op10_licenses, op11_align, op12_simhash, op13_divergence)}
 
 ORACLES = {
     "op5_jaccard": r"""

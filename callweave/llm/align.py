@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,9 @@ def pieces(text: Column) -> Column:
 
 
 def encoded(units: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """All columns of units with a and b: (id, number of bytes) of the tokens of `unit`, and whether both sides' bytes
-    are those of the unit (`whole`)."""
+    """All columns of units with a and b (ids of the tokens of `unit`), size_a and size_b (how many bytes each stands
+    for), and `whole`: are both sides' bytes those of the unit."""
     path_a, path_b = path_a or tokens.default_path(), path_b or spm.default_path()
-    spans = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
-
-    def listed(ids: list[np.ndarray], size: np.ndarray) -> pa.Array:
-        every = np.concatenate([np.zeros(0, np.int64), *ids])
-        at = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(every, pa.int32()), pa.array(size[every.astype(np.int64)], pa.int32())], fields=list(spans.value_type)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -45,42 +41,57 @@ def encoded(units: DataFrame, path_a: str | None = None, path_b: str | None = No
         first, second = tokens.encoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         raw_a = {i: first.bpe.decode_single_token_bytes(i) for i in first.bpe._mergeable_ranks.values()}
         raw_b = [bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace(MARK, " ").encode() for i, p in ((i, second.id_to_piece(i)) for i in range(second.get_piece_size()))]
-        size_a = np.zeros(max(raw_a) + 1, np.int64)
+        size_a = np.zeros(max(raw_a) + 1, np.int32)
         size_a[list(raw_a)] = [len(x) for x in raw_a.values()]
-        size_b = np.array([len(x) for x in raw_b])
+        size_b = np.array([len(x) for x in raw_b], np.int32)
+        encode_a = first.bpe._core_bpe.encode_ordinary
+
         for b in batches:
             texts = b.column("unit").to_pylist()
-            ids_a = [np.array(first.bpe.encode_ordinary(t), np.int64) for t in texts]
-            ids_b = [np.array(x, np.int64) for x in second.encode([t[1:] for t in texts], num_threads=1)]
-            same = [b"".join(map(raw_a.__getitem__, x.tolist())) == (raw := t.encode()) == b"".join(map(raw_b.__getitem__, y.tolist())) for t, x, y in zip(texts, ids_a, ids_b, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, listed(ids_a, size_a), listed(ids_b, size_b), pa.array(same)], names=[*b.schema.names, "a", "b", "whole"])
+            raw = [t.encode() for t in texts]
+            ids_a, ids_b = list(map(encode_a, texts)), second.encode([t[1:] for t in texts], num_threads=1)
+            same, out = np.ones(len(texts), bool), []
+            for ids, each, size in ((ids_a, raw_a.__getitem__, size_a), (ids_b, raw_b.__getitem__, size_b)):
+                flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                at = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)), out=at[1:])
+                total = np.concatenate([[0], np.cumsum(size[flat], dtype=np.int64)])[at]
+                same &= np.diff(total) == np.fromiter(map(len, raw), np.int64, len(raw))
+                if b"".join(map(each, flat.tolist())) != b"".join(raw):
+                    same &= np.fromiter((b"".join(map(each, i)) == r for i, r in zip(ids, raw, strict=True)), bool, len(raw))
+                out += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (flat, size[flat])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(same)], names=[*b.schema.names, "a", "size_a", "b", "size_b", "whole"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema)
-    return units.mapInArrow(run, f"{kind}, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>, whole boolean")
+    return units.mapInArrow(run, f"{kind}, a array<int>, size_a array<int>, b array<int>, size_b array<int>, whole boolean")
 
 
 def aligned(units: DataFrame, parts: int) -> DataFrame:
-    """uid, n_a, n_b, n_groups, links (array of (a, b)), groups (as text) of each row (uid, a, b) of units.
-
-    Tokens are exploded with their places, and running sums of their bytes are where they end. An equi-join on the unit
-    and the end finds the places where both sides end, which are the links; the number of such places before a token is
-    its group. Rows are dealt by `uid` once, for the windows, the join and the sums alike."""
-    dealt = units.withColumn("deal", F.pmod("uid", F.lit(parts)).cast("int"))
+    """unit, n, n_a, n_b, n_groups, links (array of (a, b)), groups (as text) of each row of units (uid, unit, n, a,
+    size_a, b, size_b).
+
+    Both sides' tokens are exploded with their places, and running sums of their bytes are where they end. Joined on the
+    unit and the end (both sides' rows meet in one grouping, there being one of each side at most), the places where both
+    end are the links; the number of such places before a token is its group. Rows are dealt by `uid` once, for the
+    windows, the join and the sums alike."""
+    token = lambda side: F.transform(F.arrays_zip(side, f"size_{side}"), lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("place"), x[side].alias("id"), x[f"size_{side}"].alias("size")))
+    dealt = units.select(F.pmod("uid", F.lit(parts)).cast("int").alias("deal"), "uid", "unit", "n", "a", "size_a", "b", "size_b").repartitionById(parts, F.col("deal"))
     own = ["deal", "uid"]
-
-    def ends(side: str) -> DataFrame:
-        each = dealt.select(*own, side).repartitionById(parts, F.col("deal")).select(*own, F.posexplode_outer(side).alias("place", "t"))
-        return each.select(*own, F.col("t.id").alias(side), F.sum("t.size").over(Window.partitionBy(*own).orderBy("place")).alias("end"))
-
-    merged = ends("a").join(ends("b"), [*own, "end"], "full")
+    each = dealt.select(*own, "unit", "n", F.explode_outer(F.concat(token("a"), token("b"))).alias("t"))
+    lead = (F.col("t.side") == "a") & (F.col("t.place") == 0)  # the row that carries what all have in common
+    each = each.select(*own, "t.*", F.when(lead, F.col("unit")).alias("unit"), F.when(lead, F.col("n")).alias("n"))
+    ends = each.withColumn("end", F.sum("size").over(Window.partitionBy(*own, "side").orderBy("place")))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id"))).alias(side)
+    merged = ends.groupBy(*own, "end").agg(of("a"), of("b"), F.max("unit").alias("unit"), F.max("n").alias("n"))
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = Window.partitionBy(*own).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = merged.select(*own, "end", "a", "b", cut.cast("long").alias("cut")).withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
+    grouped = merged.withColumn("cut", cut.cast("int")).withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    ids = lambda side: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
     link = F.max(F.when(F.col("cut") == 1, F.struct("a", "b"))).alias("link")
-    by_group = grouped.groupBy(*own, "group").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), link, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
-    groups = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda x: x["text"]), ";")
-    return by_group.groupBy(*own).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("link").alias("n_groups"), F.collect_list("link").alias("links"), groups.alias("groups")).drop("deal")
+    by_group = grouped.groupBy(*own, "group").agg(F.max("unit").alias("unit"), F.max("n").alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), link, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
+    groups = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "text"))), lambda x: x["text"]), ";")
+    out = by_group.groupBy(*own).agg(F.max("unit").alias("unit"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("link").alias("n_groups"), F.collect_list("link").alias("links"), groups.alias("groups"))
+    return out.drop("deal")
 
 
 def pair_counts(units: DataFrame) -> DataFrame:
@@ -90,28 +101,47 @@ def pair_counts(units: DataFrame) -> DataFrame:
     return counts.join(counts.groupBy("b").agg(F.max("count").alias("most")), "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
 
 
-def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+_OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
+def _told(docs: pa.Table, table: pa.Table) -> pa.Table:
+    """The rows of a block's documents (doc_id, units), from what each of its pieces gives."""
+    number = {u: k for k, u in enumerate(table.column("unit").to_pylist())}
+    groups = table.column("groups").to_pylist()
+    sums = np.stack([table.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups", "n_groups", "n_best", "count_sum")], axis=1)
+    rows, digests = [], []
+    for units in docs.column("units"):
+        at = [number[u] for u in units.as_py()]
+        rows.append(sums[at].sum(0))
+        digests.append(hashlib.sha256(";".join([groups[k] for k in at]).encode()).hexdigest())
+    names = [c.split()[0] for c in _OUT.split(", ")]
+    return pa.Table.from_arrays([docs.column("doc_id"), *map(pa.array, np.stack(rows, axis=1)), pa.array(digests)] if rows else [pa.array([], t) for t in [pa.int64()] * 7 + [pa.string()]], names=names)
+
+
+def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, stable: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row: the alignment of a blank and
     the text by a byte-level BPE file (A) with the text by a SentencePiece file that puts a blank before it (B).
 
     Neither tokenizer's tokens span a single blank between two words, so the pieces between such blanks are aligned once
     each, however often they occur, weighed by their number for the corpus-wide counts, and put together again to
     documents. Documents go in blocks of about BLOCK_BYTES: a block's distinct pieces are counted where it is read, and
-    meet the block again as a table of what each piece gives; that join, and the sums by document after it, don't move
-    the exploded pieces.
+    meet the block again as a table of what each piece gives, so that no exploded piece is moved. docs is read twice; if
+    it may then come in another order (as from a shuffle; files don't), it must not be called `stable`, and is written
+    down first.
 
     Null, empty and unalignable texts (those that hold U+2581, or that either side's bytes don't give back) have zeros
-    and an empty digest, and add to no count. Rows are told apart by number, so null and repeated doc_ids, and repeated
-    texts, each give their row; other columns don't matter."""
-    numbered = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "numbered")
+    and an empty digest, and add to no count. Each row has its own, so null and repeated doc_ids and repeated texts do
+    no harm; other columns don't matter."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = (rows if stable else stage(rows, "rows")).withColumn("row", F.monotonically_increasing_id())
     part, place = F.shiftright("row", _PART), F.col("row").bitwiseAND((1 << _PART) - 1)
-    sizes = numbered.groupBy(part.alias("part")).agg(F.max(place).alias("last"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = rows.groupBy(part.alias("part")).agg(F.max(place).alias("last"), F.sum(F.octet_length("text")).alias("bytes"))
     last_part, last, most = sizes.agg(F.max("part"), F.max("last"), F.max("bytes")).first()
     each = -(-(most or 0) // BLOCK_BYTES) or 1  # blocks of a partition
     run, blocks = -(-((last or 0) + 1) // each), ((last_part or 0) + 1) * each
     block = (part * each + F.floor(place / run)).cast("int").alias("block")
     can = F.coalesce((F.col("text") != "") & (F.instr("text", MARK) == 0), F.lit(False))
-    fit, rest = numbered.filter(can).select(block, "row", "doc_id", "text"), numbered.filter(~can).select("doc_id")
+    fit, rest = rows.filter(can).select(block, "row", "doc_id", "text"), rows.filter(~can).select("doc_id")
     while True:
         exploded = fit.select("block", F.explode_outer(pieces(F.col("text"))).alias("unit"))
         vocabulary = stage(exploded.groupBy("block", "unit").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
@@ -124,18 +154,12 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
         odd = stage(fit.select("row", "doc_id", F.explode_outer(pieces(F.col("text"))).alias("unit")).join(broken, "unit", "left_semi").select("row", "doc_id").distinct(), "odd")
         fit, rest = stage(fit.join(odd, "row", "left_anti"), "fit"), rest.unionByName(odd.select("doc_id"))
 
-    found = stage(aligned(units.select("uid", "a", "b"), blocks).join(units.select("uid", "unit", "n"), "uid"), "aligned")
-    counts = pair_counts(found)
-    linked = found.select("uid", F.explode("links").alias("l")).select("uid", "l.a", "l.b").join(counts, ["a", "b"])
+    found = stage(aligned(units, blocks), "aligned")
+    linked = found.select("uid", F.explode("links").alias("l")).select("uid", "l.a", "l.b").join(pair_counts(found), ["a", "b"])
     sums = linked.groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     gives = found.join(sums, "uid").select("unit", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
     table = vocabulary.select("block", "unit").join(gives, "unit").repartitionById(blocks, F.col("block"))
-
-    told = fit.repartitionById(blocks, F.col("block")).select("block", "row", "doc_id", F.posexplode_outer(pieces(F.col("text"))).alias("place", "unit"))
-    totals = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "groups"))), lambda x: x["groups"]), ";")
-    out = told.join(table.hint("shuffle_hash"), ["block", "unit"]).groupBy("block", "row", "doc_id").agg(*totals, F.sha2(whole.cast("binary"), 256).alias("groups_sha256"))
-    zero = F.lit(0).cast("long")
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    out = out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
-    return out.unionByName(rest.select("doc_id", *[zero.alias(c) for c in names], F.lit("").alias("groups_sha256")))
+    told = fit.select("block", "doc_id", "text").repartitionById(blocks, F.col("block")).select("block", "doc_id", pieces(F.col("text")).alias("units"))
+    out = told.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_told, _OUT)
+    names = [c.split()[0] for c in _OUT.split(", ")]
+    return out.unionByName(rest.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in names[1:-1]], F.lit("").alias(names[-1])))

@@ -55,7 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.align(table(spark, sf_dir, "documents"))
+    return align.align(table(spark, sf_dir, "documents"), stable=True)
 
 
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ def pieces(text: Column) -> Column:
 
 
 def encoded(units: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
-    """All columns of units with a and b (ids of the tokens of `unit`), size_a and size_b (how many bytes each stands
-    for), and `whole`: are both sides' bytes those of the unit."""
+    """All columns of units with tokens, those of side A before those of side B, each as one number (see `_packed`), and
+    `whole`: are both sides' bytes those of the unit."""
     path_a, path_b = path_a or tokens.default_path(), path_b or spm.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,48 +50,54 @@ def encoded(units: DataFrame, path_a: str | None = None, path_b: str | None = No
             texts = b.column("unit").to_pylist()
             raw = [t.encode() for t in texts]
             ids_a, ids_b = list(map(encode_a, texts)), second.encode([t[1:] for t in texts], num_threads=1)
-            same, out = np.ones(len(texts), bool), []
-            for ids, each, size in ((ids_a, raw_a.__getitem__, size_a), (ids_b, raw_b.__getitem__, size_b)):
-                flat = np.fromiter(chain.from_iterable(ids), np.int32)
-                at = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum(np.fromiter(map(len, ids), np.int32, len(ids)), out=at[1:])
-                total = np.concatenate([[0], np.cumsum(size[flat], dtype=np.int64)])[at]
-                same &= np.diff(total) == np.fromiter(map(len, raw), np.int64, len(raw))
+            same, sides, counts = np.ones(len(texts), bool), [], []
+            for side, ids, each, size in ((0, ids_a, raw_a.__getitem__, size_a), (1, ids_b, raw_b.__getitem__, size_b)):
+                flat = np.fromiter(chain.from_iterable(ids), np.int64)
+                counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                at = np.concatenate([[0], np.cumsum(counts[-1])])
+                same &= np.diff(np.concatenate([[0], np.cumsum(size[flat])])[at]) == np.fromiter(map(len, raw), np.int64, len(raw))
                 if b"".join(map(each, flat.tolist())) != b"".join(raw):
                     same &= np.fromiter((b"".join(map(each, i)) == r for i, r in zip(ids, raw, strict=True)), bool, len(raw))
-                out += [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (flat, size[flat])]
-            yield pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(same)], names=[*b.schema.names, "a", "size_a", "b", "size_b", "whole"])
+                sides.append(_packed(side, flat, size[flat]))
+            unit = np.concatenate([np.repeat(np.arange(len(texts)), n) for n in counts])
+            both = np.concatenate(sides)[np.argsort(unit, kind="stable")]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sum(counts))]), pa.int32()), pa.array(both))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(same)], names=[*b.schema.names, "tokens", "whole"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema)
-    return units.mapInArrow(run, f"{kind}, a array<int>, size_a array<int>, b array<int>, size_b array<int>, whole boolean")
+    return units.mapInArrow(run, f"{kind}, tokens array<long>, whole boolean")
+
+
+def _packed[T](side: T, number: T, size: T) -> T:
+    """A token as one number: its side (0 or 1), then 24 bits of its id, then 16 bits of how many bytes it stands for."""
+    return (side << 40) | (number << 16) | size
 
 
 def aligned(units: DataFrame, parts: int) -> DataFrame:
-    """unit, n, n_a, n_b, n_groups, links (array of (a, b)), groups (as text) of each row of units (uid, unit, n, a,
-    size_a, b, size_b).
+    """unit, n, n_a, n_b, n_groups, links (array of (a, b)), groups (as text) of each row of units (uid, unit, n,
+    tokens).
 
     Both sides' tokens are exploded with their places, and running sums of their bytes are where they end. Joined on the
     unit and the end (both sides' rows meet in one grouping, there being one of each side at most), the places where both
     end are the links; the number of such places before a token is its group. Rows are dealt by `uid` once, for the
     windows, the join and the sums alike."""
-    token = lambda side: F.transform(F.arrays_zip(side, f"size_{side}"), lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("place"), x[side].alias("id"), x[f"size_{side}"].alias("size")))
-    dealt = units.select(F.pmod("uid", F.lit(parts)).cast("int").alias("deal"), "uid", "unit", "n", "a", "size_a", "b", "size_b").repartitionById(parts, F.col("deal"))
+    dealt = lambda *c: units.select(F.pmod("uid", F.lit(parts)).cast("int").alias("deal"), "uid", *c).repartitionById(parts, F.col("deal"))
     own = ["deal", "uid"]
-    each = dealt.select(*own, "unit", "n", F.explode_outer(F.concat(token("a"), token("b"))).alias("t"))
-    lead = (F.col("t.side") == "a") & (F.col("t.place") == 0)  # the row that carries what all have in common
-    each = each.select(*own, "t.*", F.when(lead, F.col("unit")).alias("unit"), F.when(lead, F.col("n")).alias("n"))
+    bits = lambda at, n: F.shiftright("t", at).bitwiseAND((1 << n) - 1).cast("int")
+    each = dealt("tokens").select(*own, F.posexplode_outer("tokens").alias("place", "t"))
+    each = each.select(*own, "place", bits(40, 1).alias("side"), bits(16, 24).alias("id"), bits(0, 16).alias("size"))
     ends = each.withColumn("end", F.sum("size").over(Window.partitionBy(*own, "side").orderBy("place")))
-    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id"))).alias(side)
-    merged = ends.groupBy(*own, "end").agg(of("a"), of("b"), F.max("unit").alias("unit"), F.max("n").alias("n"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
+    merged = ends.groupBy(*own, "end").agg(of(0).alias("a"), of(1).alias("b"))
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     before = Window.partitionBy(*own).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     grouped = merged.withColumn("cut", cut.cast("int")).withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
     ids = lambda side: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
     link = F.max(F.when(F.col("cut") == 1, F.struct("a", "b"))).alias("link")
-    by_group = grouped.groupBy(*own, "group").agg(F.max("unit").alias("unit"), F.max("n").alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), link, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
+    by_group = grouped.groupBy(*own, "group").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), link, F.concat(ids("a"), F.lit("|"), ids("b")).alias("text"))
     groups = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "text"))), lambda x: x["text"]), ";")
-    out = by_group.groupBy(*own).agg(F.max("unit").alias("unit"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("link").alias("n_groups"), F.collect_list("link").alias("links"), groups.alias("groups"))
-    return out.drop("deal")
+    by_unit = by_group.groupBy(*own).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("link").alias("n_groups"), F.collect_list("link").alias("links"), groups.alias("groups"))
+    return by_unit.join(dealt("unit", "n").hint("shuffle_hash"), own).drop(*own)
 
 
 def pair_counts(units: DataFrame) -> DataFrame:
@@ -155,9 +161,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         fit, rest = stage(fit.join(odd, "row", "left_anti"), "fit"), rest.unionByName(odd.select("doc_id"))
 
     found = stage(aligned(units, blocks), "aligned")
-    linked = found.select("uid", F.explode("links").alias("l")).select("uid", "l.a", "l.b").join(pair_counts(found), ["a", "b"])
-    sums = linked.groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    gives = found.join(sums, "uid").select("unit", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
+    linked = found.select("unit", F.explode("links").alias("l")).select("unit", "l.a", "l.b").join(pair_counts(found), ["a", "b"])
+    sums = linked.groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    gives = found.drop("n", "links").join(sums, "unit")
     table = vocabulary.select("block", "unit").join(gives, "unit").repartitionById(blocks, F.col("block"))
     told = fit.select("block", "doc_id", "text").repartitionById(blocks, F.col("block")).select("block", "doc_id", pieces(F.col("text")).alias("units"))
     out = told.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_told, _OUT)

@@ -2,59 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from callweave.functions import providers
 from callweave.functions import text as T
-from callweave.operators import search
+from callweave.operators import search, topk
 from callweave.operators.chunk import embedding_text
 from callweave.plans.staging import stage
 
-#: Query tokens up to which a search sends them along with the scan, so that it skips other tokens' files.
-PUSHED_TOKENS = 2_000
-
-
 @dataclass(frozen=True)
 class Index:
-    """chunks (key, title, heading_path, content, ..), postings (token, key, impact) in order of token, vectors (key,
-    vector of length 1; may be none), and stats (chunks, average length, terms)."""
+    """chunks (key, title, heading_path, content, ..), rows (key, tokens, counts, length, vector: what a search reads of
+    a chunk), terms (token, df, idf), and stats (chunks, average length, terms)."""
 
     key: str
     chunks: DataFrame
-    postings: DataFrame
-    vectors: DataFrame | None
+    rows: DataFrame
+    terms: DataFrame
     stats: DataFrame
 
 
+def counted(chunks: DataFrame, key: str, body: Column, vector: Column) -> DataFrame:
+    """key, vector, tokens (distinct), counts, length (all words) of every row, in its own row; null texts have none."""
+    words = chunks.select(key, vector.cast("array<double>").alias("vector"), T.tokens(body).alias("words"))
+    kind = words.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("words")
+            length = pc.fill_null(pc.list_value_length(lists), 0)
+            coded = lists.flatten().dictionary_encode()
+            terms = max(1, len(coded.dictionary))
+            row = np.repeat(np.arange(len(lists)), length.to_numpy(zero_copy_only=False))
+            pairs, n = np.unique(row * terms + coded.indices.to_numpy(), return_counts=True)
+            at = pa.array(np.searchsorted(pairs, np.arange(len(lists) + 1) * terms), pa.int32())
+            tokens = coded.dictionary.take(pa.array(pairs % terms)) if len(pairs) else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, tokens), pa.ListArray.from_arrays(at, pa.array(n, pa.int32())), pc.cast(length, pa.int32())], names=[key, "vector", "tokens", "counts", "length"])
+
+    return words.mapInArrow(run, S.StructType([S.StructField(key, kind), *S._parse_datatype_string("vector array<double>, tokens array<string>, counts array<int>, length int")]))
+
+
 def build(chunks: DataFrame, path: str, key: str, text: Column | None = None, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None) -> Index:
     """Writes the index of chunks to path and opens it. Both sides index the title, the heading path and the content, if
-    `text` doesn't say otherwise. Vectors are given (key, vector) or made by `embed`.
+    `text` doesn't say otherwise. Vectors are given (key, vector) or made by `embed`; a chunk needs none.
 
-    A posting's impact is all of BM25 that doesn't depend on the query, so a search sums impacts. The corpus is tokenised
-    once: counts of a document are made in its own row, and only (token, key, count) rows are shuffled."""
+    The corpus is tokenised once, and a chunk's words stay in its row with its vector: what is shuffled are the chunks'
+    rows to meet given vectors, and partial document counts of each token."""
     body = embedding_text(F.col("title"), F.col("heading_path"), F.col("content")) if text is None else text
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    counted = chunks.select(key, T.tokens(body).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    counted.write.mode("overwrite").parquet(f"{path}/counts")
-    counts = spark.read.schema(counted.schema).parquet(f"{path}/counts")
-    lengths = chunks.select(F.size(T.tokens(body)).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = lengths["n"], lengths["avgdl"] or 1.0
-    df = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.coalesce(F.avg("raw"), F.lit(0.0)), F.count(F.lit(1))).first()
-    idf = df.select("token", F.when(F.col("raw") < 0, search.EPSILON * mean[0]).otherwise(F.col("raw")).alias("idf"))
-    impact = F.col("idf") * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("dl") / avgdl))
-    counts.join(idf, "token").select("token", key, impact.alias("impact")).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
-    if vectors is None and embed is not None:
-        vectors = chunks.select(key, embed(body).alias("vector"))
-    if vectors is not None:
-        vectors.select(key, search.unit_vector(F.col("vector")).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
-    spark.createDataFrame([(key, n, float(avgdl), mean[1], vectors is not None)], "key string, chunks long, average_length double, terms long, has_vectors boolean").write.mode("overwrite").parquet(f"{path}/stats")
+    chunks = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
+    none = F.lit(None).cast("array<double>")
+    if vectors is None:
+        rows = counted(chunks, key, body, none if embed is None else embed(body))
+    else:
+        rows = counted(chunks, key, body, none).drop("vector").join(vectors.select(key, F.col("vector").cast("array<double>").alias("vector")), key, "left")
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    n, words, has = rows.agg(F.count(F.lit(1)), F.sum("length"), F.count("vector")).first()
+    df = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.mode("overwrite").parquet(f"{path}/terms")
+    mean, terms = spark.read.parquet(f"{path}/terms").agg(F.coalesce(F.avg("raw"), F.lit(0.0)), F.count(F.lit(1))).first()
+    average = words / n if n and words else 1.0
+    spark.createDataFrame([(key, n, float(average), terms, has > 0, float(mean))], "key string, chunks long, average_length double, terms long, has_vectors boolean, mean_raw double").write.mode("overwrite").parquet(f"{path}/stats")
     load.cache_clear()  # what was open may have been written over
     return load(spark, path)
 
@@ -65,28 +84,34 @@ def load(spark: SparkSession, path: str) -> Index:
     stats = spark.read.parquet(f"{path}/stats")
     s = stats.first()
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(s["key"], read("chunks"), read("postings"), read("vectors") if s["has_vectors"] else None, stats)
-
-
-def lexical(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, key, raw: BM25 sums of (query_id, query) over the index's impacts, repeated tokens adding each time."""
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    some = asked.select("token").distinct().limit(PUSHED_TOKENS + 1).collect()
-    postings = index.postings.filter(F.col("token").isin([r[0] for r in some])) if len(some) <= PUSHED_TOKENS else index.postings
-    return postings.join(asked, "token").groupBy("query_id", index.key).agg(F.sum(F.col("times") * F.col("impact")).alias("raw"))
-
-
-def hybrid(queries: DataFrame, index: Index, k: int = 8, category: Column | None = None, fillers: Sequence[str] = (), weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
-    """query_id, key, vector_score, bm25_score, score, rank: the k best chunks of each query (query_id, query, vector).
-    Fillers leave the query first; a category filter of the chunks' columns goes before the ranking. A query without
-    words or vector scores 0 on that side."""
-    q = queries.withColumn("query", T.strip_fillers(F.col("query"), fillers))
-    key = index.key
-    pool = index.vectors if category is None else index.vectors.join(index.chunks.filter(category).select(key), key, "left_semi")
-    v = search.vector_scores(q.select("query_id", "vector"), pool, key)
-    fused = search.fuse(v, lexical(q, index), key, *weights)
-    rounded = fused.select("query_id", key, *[F.round(c, 4).alias(c) for c in ("vector_score", "bm25_score", "score")])
-    return search.top_k(rounded, key, k)
+    idf = F.when(F.col("raw") < 0, search.EPSILON * F.lit(s["mean_raw"])).otherwise(F.col("raw"))
+    return Index(s["key"], read("chunks"), read("rows"), read("terms").select("token", "df", idf.alias("idf")), stats)
+
+
+def asked(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, tokens, weights, vector of (query_id, query, vector): a token weighs its idf as often as it is asked;
+    tokens that no chunk has are left out."""
+    words = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    weighed = words.join(index.terms, "token").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", (F.col("times") * F.col("idf")).alias("weight")))).alias("t"))
+    got = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).join(weighed, "query_id", "left")
+    none = F.coalesce("t", F.array().cast("array<struct<token:string,weight:double>>"))
+    return got.select("query_id", F.transform(none, lambda x: x["token"]).alias("tokens"), F.transform(none, lambda x: x["weight"]).alias("weights"), "vector")
+
+
+def hybrid(queries: DataFrame, index: Index, k: int = 8, category: Column | None = None, fillers: Sequence[str] = (), weights: tuple[float, float] = (0.6, 0.4), matched: bool = False) -> DataFrame:
+    """query_id, key, vector_score, bm25_score, score, rank: the k best chunks of each query (query_id, query, vector),
+    by unrounded scores. Fillers leave the query first; a category filter of the chunks' columns goes before the
+    ranking. A side that a query or a chunk doesn't have (no words, no vector) counts 0, so chunks without a vector are
+    found by their words; with `matched` only chunks that share a word are."""
+    q = queries.withColumn("query", T.strip_fillers(F.col("query"), fillers)) if fillers else queries
+    pool = index.rows if category is None else index.rows.join(index.chunks.filter(category).select(index.key), index.key, "left_semi")
+    return topk.top_k(asked(q, index), pool, index.key, k, weights, average=index.stats.first()["average_length"], matched=matched)
+
+
+def lexical(queries: DataFrame, index: Index, k: int = 8) -> DataFrame:
+    """query_id, key, score, rank: the k chunks of the largest saturated BM25 sums that share a word with the query."""
+    q = queries.select("query_id", "query", F.lit(None).cast("array<double>").alias("vector"))
+    return hybrid(q, index, k, weights=(0.0, 1.0), matched=True).select("query_id", index.key, "score", "rank")
 
 
 def cross_lingual(queries: DataFrame, index: Index, answer_language: str, corpus_language: str, translate: Callable[[Column], Column], embed: Callable[[Column], Column], k: int = 8) -> DataFrame:

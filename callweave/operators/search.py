@@ -1,4 +1,4 @@
-"""Hybrid retrieval: BM25 over an inverted index, cosine over vectors, fusion, gates, citations."""
+"""What is done with a search's results: ranking, gates, variants, citations, verdicts, calibration."""
 
 from __future__ import annotations
 
@@ -11,12 +11,6 @@ from callweave.operators.reports import upper_median
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl, token, tf: the inverted index's rows, one for each distinct token of a document."""
-    t = docs.select(key, T.tokens(F.col(text)).alias("__t"))
-    return t.select(key, F.size("__t").alias("dl"), F.explode("__t").alias("token")).groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """token, df, idf: ln(N - df + 0.5) - ln(df + 0.5), negative ones replaced by EPSILON times the mean over all."""
     n = docs.agg(F.count(F.lit(1)).alias("__n"))
@@ -26,22 +20,8 @@ def idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("__mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """query_id, key, raw: BM25 sums over the query's tokens, repeated ones adding each time, straight from the texts; for
-    more than a few searches build an index. Documents are cut down to the query tokens first, by a broadcast as long as
-    those are few."""
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    weights = idf(docs, key, text).join(asked.select("token").distinct(), "token")
-    mean = docs.agg(F.avg(F.size(T.tokens(F.col(text)))).alias("__avg"))
-    wanted = asked.select("token").distinct()
-    rows = docs.select(key, T.tokens(F.col(text)).alias("__t")).select(key, F.size("__t").alias("dl"), F.explode("__t").alias("token"))
-    tf = rows.join(wanted, "token").groupBy(key, "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    scored = tf.join(weights, "token").join(asked, "token").crossJoin(F.broadcast(mean))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("__avg")))
-    return scored.groupBy("query_id", key).agg(F.sum(part).alias("raw"))
-
-
-def saturate(raw: Column, half: float = 6.0) -> Column:
+def saturate[T](raw: T, half: float = 6.0) -> T:
+    """A BM25 sum (a column or an array) on a scale from 0 to 1."""
     return raw / (raw + half)
 
 
@@ -57,33 +37,6 @@ def gate(ranked: DataFrame, least: float = 0.5, score: str = "score") -> DataFra
     return ranked.groupBy("query_id").agg(F.max(score).alias("top_score")).withColumn("answerable", F.col("top_score") >= least)
 
 
-def unit_vector(v: Column) -> Column:
-    n = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.lit(1e-9))
-    return F.transform(v, lambda x: x.cast("double") / n)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def vector_scores(queries: DataFrame, vectors: DataFrame, key: str, limit: int = 10_000) -> DataFrame:
-    """query_id, key, vector_score of every pair: an exhaustive scan. Queries are broadcast in blocks of about `limit`,
-    as many as are needed; the vectors are read once a block."""
-    q = queries.select("query_id", unit_vector(F.col("vector")).alias("__q"))
-    v = vectors.select(key, unit_vector(F.col("vector")).alias("__v"), *[c for c in vectors.columns if c not in (key, "vector")])
-    blocks, out = max(1, -(-queries.count() // limit)), None
-    for i in range(blocks):
-        part = v.join(F.broadcast(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))).withColumn("vector_score", dot(F.col("__q"), F.col("__v"))).drop("__q", "__v")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def fuse(vector: DataFrame, lexical: DataFrame, key: str, w_vector: float = 0.6, w_lexical: float = 0.4) -> DataFrame:
-    """The vector side's rows with bm25_score (saturated, 0 where no token matched) and score."""
-    got = vector.join(lexical.select("query_id", key, "raw"), ["query_id", key], "left").withColumn("bm25_score", saturate(F.coalesce("raw", F.lit(0.0)))).drop("raw")
-    return got.withColumn("score", w_vector * F.col("vector_score") + w_lexical * F.col("bm25_score"))
-
-
 def merge_variants(variants: list[DataFrame], key: str, k: int = 8) -> DataFrame:
     """Best score of each key over the variants of a query, the earlier variant on a tie, ranked again."""
     union = None

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import text as T
-from callweave.operators import calls, chunk, clean, extract, index, reports, search, signals
+from callweave.operators import calls, chunk, clean, extract, index, reports, search, signals, topk
 from callweave.plans.staging import shared_dir, stage
 from callweave.sources import web
 
@@ -69,13 +70,14 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(v, "query_id", "left")
 
 
-@query(f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 6) AS score FROM bm),
+#: Scores that agree to 12 decimal places tie; they are rounded further only to be shown.
+@query(f"""WITH {_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 12) AS score FROM bm),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-    SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score, max(score) OVER (PARTITION BY query_id) >= 0.5 AS answerable FROM r WHERE rank <= 8""")
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score, max(score) OVER (PARTITION BY query_id) >= 0.5 AS answerable FROM r WHERE rank <= 8""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    raw = index.lexical(_asked(spark, d), _index(spark, d))
-    top = search.top_k(raw.select("query_id", "doc_id", F.round(search.saturate(F.col("raw")), 6).alias("score")), "doc_id")
-    return top.select("query_id", "rank", "doc_id", "score", (F.max("score").over(Window.partitionBy("query_id")) >= 0.5).alias("answerable"))
+    top = index.lexical(_asked(spark, d), _index(spark, d))
+    answerable = F.max("score").over(Window.partitionBy("query_id")) >= 0.5
+    return top.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), answerable.alias("answerable"))
 
 
 @query(f"WITH {_BM25} SELECT token, df, round(idf, 6) AS idf FROM idf")
@@ -293,41 +295,44 @@ def chunk_size_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VEC = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
-    sc AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS score FROM qv, embeddings)"""
+    sc AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 12) AS score FROM qv, embeddings)"""
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings")
-    got = search.vector_scores(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.withColumnRenamed("embedding", "vector"), "vec_id")
-    return got.withColumn("score", F.round("vector_score", 5))
+def _nearest(spark: SparkSession, d: str, queries: str = "vec_id % 20 = 0", pool: str = "true") -> DataFrame:
+    """The nearest 8 of some vectors for the vectors whose number is divisible by 20, or for the ones beside them."""
+    e = read(spark, d, "embeddings").withColumnRenamed("embedding", "vector")
+    q = e.filter(queries).select((F.col("vec_id") - F.col("vec_id") % 20).alias("query_id"), "vector")
+    return topk.nearest(q, e.filter(pool), "vec_id")
 
 
-@query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc) WHERE rank <= 8")
+@query(f"WITH {_VEC} SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc) WHERE rank <= 8")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_vectors(spark, d), "vec_id").select("query_id", "vec_id", "score", "rank")
+    return _nearest(spark, d).withColumn("score", F.round("score", 5))
 
 
-@query(f"WITH {_VEC} SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc WHERE label = 3) WHERE rank <= 8")
+@query(f"""WITH {_VEC} SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc WHERE label = 3) WHERE rank <= 8""")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_vectors(spark, d), "vec_id", category=F.col("label") == 3).select("query_id", "vec_id", "score", "rank")
+    return _nearest(spark, d, pool="label = 3").withColumn("score", F.round("score", 5))
 
 
-_FUSED = f"""{_BM25}, {_VEC.replace('vec_id % 20 = 0', 'vec_id IN (SELECT item_id FROM benchmark)')}, fu AS (SELECT sc.query_id, sc.vec_id, sc.score AS vector_score, coalesce(bm.raw, 0) / (coalesce(bm.raw, 0) + 6) AS bm25_score FROM sc LEFT JOIN bm ON bm.query_id = sc.query_id AND bm.doc_id = sc.vec_id),
-    fs AS (SELECT query_id, vec_id AS doc_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, round(0.6 * vector_score + 0.4 * bm25_score, 4) AS score FROM fu)"""
-
-
-_TOP = f"""{_FUSED.replace("AS DOUBLE[])), 5) AS score", "AS DOUBLE[])), 12) AS score")}, top AS (SELECT query_id, doc_id, vector_score, bm25_score, score, CAST(rank AS INTEGER) AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fs) WHERE rank <= 8)"""
+_TOP = f"""{_BM25}, qv AS (SELECT item_id AS query_id, embedding AS q FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+    dv AS (SELECT doc_id, embedding AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+    sc AS (SELECT query_id, doc_id, coalesce(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(v AS DOUBLE[])), 0) AS vector_score FROM qv, dv),
+    fu AS (SELECT sc.query_id, sc.doc_id, vector_score, coalesce(raw, 0) / (coalesce(raw, 0) + 6) AS bm25_score FROM sc LEFT JOIN bm ON bm.query_id = sc.query_id AND bm.doc_id = sc.doc_id),
+    fs AS (SELECT *, round(0.6 * vector_score + 0.4 * bm25_score, 12) AS score FROM fu),
+    top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM fs QUALIFY rank <= 8)"""
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    """The hybrid search's results for all benchmark items that have a vector."""
-    return index.hybrid(_asked(spark, d).filter("vector IS NOT NULL"), _index(spark, d))
+    """The hybrid search's results for all benchmark items over all documents, with a vector or without."""
+    return index.hybrid(_asked(spark, d), _index(spark, d))
 
 
-@query(f"WITH {_TOP} SELECT query_id, doc_id, vector_score, bm25_score, score, rank FROM top")
+@query(f"WITH {_TOP} SELECT query_id, doc_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, round(score, 4) AS score, rank FROM top")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return _top(spark, d).select("query_id", "doc_id", "vector_score", "bm25_score", "score", "rank")
+    shown = [F.round(c, 4).alias(c) for c in ("vector_score", "bm25_score", "score")]
+    return _top(spark, d).select("query_id", "doc_id", *shown, "rank")
 
 
 @query(f"""WITH {_TOP} SELECT query_id, rank, round_even(vector_score * 0.6, 4) AS vector_part, round_even(bm25_score * 0.4, 4) AS bm25_part, doc_id % 2 = 0 AS cited FROM top""")
@@ -335,9 +340,9 @@ def search_parts(spark: SparkSession, d: str) -> DataFrame:
     return reports.score_parts(_top(spark, d), F.col("doc_id") % 2 == 0).select("query_id", "rank", "vector_part", "bm25_part", "cited")
 
 
-@query(f"WITH {_TOP} SELECT query_id, greatest(0.5 * 1.6, max(score), 0.2) AS scale FROM top GROUP BY query_id")
+@query(f"WITH {_TOP} SELECT query_id, round(greatest(0.5 * 1.6, max(score), 0.2), 4) AS scale FROM top GROUP BY query_id")
 def score_scale(spark: SparkSession, d: str) -> DataFrame:
-    return reports.display_scale(_top(spark, d), "query_id", "score", 0.5)
+    return reports.display_scale(_top(spark, d), "query_id", "score", 0.5).withColumn("scale", F.round("scale", 4))
 
 
 def _first_words() -> Callable:
@@ -346,28 +351,26 @@ def _first_words() -> Callable:
 
 
 @query(rf"""WITH {_TOP}, g AS (SELECT query_id, max(score) >= 0.5 AS ok, string_agg(CAST(t.doc_id AS VARCHAR), ',' ORDER BY rank) AS retrieved, string_agg('[' || t.doc_id || '] ' || d.text, chr(10) || chr(10) ORDER BY rank) AS context FROM top t JOIN documents d ON d.doc_id = t.doc_id GROUP BY query_id),
-    q AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 4 = 0 THEN 'own passage' ELSE '' END AS own FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
+    q AS (SELECT item_id AS query_id, text, CASE WHEN item_id % 4 = 0 THEN 'own passage' ELSE '' END AS own FROM benchmark),
     p AS (SELECT query_id, retrieved, ok OR own <> '' AS asked, text || chr(10) || chr(10) || own || chr(10) || chr(10) || context AS prompt FROM q JOIN g USING (query_id)),
     a AS (SELECT query_id, retrieved, CASE WHEN NOT asked THEN 'retrieval' WHEN length(prompt) % 3 = 0 THEN 'generation' ELSE 'none' END AS gate, substr(prompt, 1, 12) AS head FROM p)
     SELECT query_id, regexp_replace(CASE WHEN gate = 'none' THEN head ELSE '' END, '^\s+|\s+$', '', 'g') AS text, gate <> 'none' AS refused, gate, CASE WHEN gate = 'none' THEN 'faq_x' ELSE '' END AS invalid, gate = 'none' AS grounded, retrieved FROM a""")
 def answered(spark: SparkSession, d: str) -> DataFrame:
-    q = _asked(spark, d).filter("vector IS NOT NULL")
-    at = index.Index("doc_id", _index(spark, d).chunks.withColumnRenamed("text", "content"), _index(spark, d).postings, _index(spark, d).vectors, _index(spark, d).stats)
+    q, at = _asked(spark, d), _index(spark, d)
+    at = replace(at, chunks=at.chunks.withColumnRenamed("text", "content"))
     own = q.filter("query_id % 4 = 0").select("query_id", F.lit("own passage").alias("passage"))
     a = index.answer(q, _top(spark, d), at, _first_words(), "NO_ANSWER", own)
     return a.select("query_id", "text", "refused", "gate", F.array_join("invalid", ",").alias("invalid"), "grounded", F.array_join("retrieved", ",").alias("retrieved"))
 
 
 @query(f"""WITH {_VEC}, qt AS (SELECT vec_id - 1 AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 1),
-    st AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 5) AS score FROM qt, embeddings),
+    st AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 12) AS score FROM qt, embeddings),
     v AS (SELECT query_id, vec_id, score, 0 AS variant FROM sc UNION ALL SELECT query_id, vec_id, score, 1 FROM st),
     b AS (SELECT query_id, vec_id, max(score) AS score, min(variant) FILTER (WHERE score = top) AS variant FROM (SELECT *, max(score) OVER (PARTITION BY query_id, vec_id) AS top FROM v) GROUP BY ALL)
-    SELECT query_id, vec_id, score, variant, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 8""")
+    SELECT query_id, vec_id, round(score, 5) AS score, variant, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM b) WHERE rank <= 8""")
 def merge_variants(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings")
-    other = e.filter("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("vector"))
-    t = search.vector_scores(other, e.withColumnRenamed("embedding", "vector"), "vec_id").withColumn("score", F.round("vector_score", 5))
-    return search.merge_variants([_vectors(spark, d), t], "vec_id").select("query_id", "vec_id", "score", "variant", "rank")
+    both = [_nearest(spark, d), _nearest(spark, d, "vec_id % 20 = 1")]
+    return search.merge_variants(both, "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"), "variant", "rank")
 
 
 @query(f"""WITH {_TOP} SELECT query_id, rank, CASE WHEN vector_score >= 0.5 THEN 'strong' WHEN vector_score >= 0.3 THEN 'moderate' ELSE 'weak' END || ' semantic match' AS semantic,
@@ -377,14 +380,13 @@ def explain_bands(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d).select("query_id", "rank", F.regexp_extract(said, r"^[a-z ]+ match", 0).alias("semantic"), F.regexp_extract(said, r"[a-z]+ keyword overlap", 0).alias("keywords"))
 
 
-_BEST = f"""{_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 6) AS score FROM bm), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 8),
+_BEST = f"""{_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 12) AS score FROM bm), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 8),
     t AS (SELECT query_id, query_id % 2 AS part, query_id % 3 = 0 AS refuse, max(score) AS top_score, list(lang ORDER BY rank) AS cats FROM r JOIN documents USING (doc_id) GROUP BY query_id)"""
 
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
     """Of each benchmark item: the best score, and the languages of its results in order. A third must be refused."""
-    raw = index.lexical(_asked(spark, d), _index(spark, d))
-    top = search.top_k(raw.select("query_id", "doc_id", F.round(search.saturate(F.col("raw")), 6).alias("score")), "doc_id").join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    top = index.lexical(_asked(spark, d), _index(spark, d)).join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     cats = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lang"))), lambda x: x["lang"])
     return top.groupBy("query_id").agg(F.max("score").alias("top_score"), cats.alias("cats")).select("query_id", (F.col("query_id") % 2).alias("part"), (F.col("query_id") % 3 == 0).alias("must_refuse"), "top_score", "cats")
 
@@ -425,7 +427,7 @@ def citation_validate(spark: SparkSession, d: str) -> DataFrame:
     u AS (SELECT *, vec_id % 2 = 0 AS cited, max(CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS a FROM r)
     SELECT query_id, label, vec_id, CAST(rank AS INTEGER) AS rank FROM u WHERE a = 0 OR cited QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) = 1""")
 def answer_sources(spark: SparkSession, d: str) -> DataFrame:
-    top = search.top_k(_vectors(spark, d), "vec_id").withColumn("cited", F.col("vec_id") % 2 == 0)
+    top = _nearest(spark, d).join(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id").withColumn("cited", F.col("vec_id") % 2 == 0)
     return search.answer_sources(top, "cited", "vec_id", "label").select("query_id", "label", "vec_id", "rank")
 
 

@@ -173,24 +173,22 @@ def suppression(outcomes: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("suppression_rate", F.when(F.col("signals_seen") > 0, F.bround(1 - F.col("nudges_emitted") / F.col("signals_seen"), 3)).otherwise(0.0))
 
 
-def active(emitted: DataFrame, ticks: DataFrame, expiry: float = EXPIRY, shown: int = SHOWN) -> DataFrame:
+def active(emitted: DataFrame, ticks: DataFrame, expiry: float = EXPIRY, shown: int = SHOWN, dismissals: DataFrame | None = None) -> DataFrame:
     """call, tick, nudge_id, place: nudges not older than expiry at each tick of their call; critical ones all, others
-    the `shown` first by priority and time. emitted: call, at, nudge_id, type, priority; ticks: call, tick. The range
-    join is an equi-join on slots of the expiry's length."""
+    the `shown` first by priority and time. emitted: call, at, nudge_id, type, priority; ticks: call, tick. A nudge
+    dismissed (call, nudge_id, at) at or before the tick makes room for the next. The range join is an equi-join on slots
+    of the expiry's length."""
     slot = lambda c: F.floor(F.col(c) / expiry)
     t = ticks.withColumn("__slot", F.explode(F.array(slot("tick"), slot("tick") - 1)))
     j = t.join(emitted.withColumn("__slot", slot("at")), ["call", "__slot"]).filter((F.col("at") <= F.col("tick")) & (F.col("tick") - F.col("at") <= expiry))
+    if dismissals is not None:
+        gone = dismissals.groupBy("call", "nudge_id").agg(F.min("at").alias("__gone"))
+        j = j.join(gone, ["call", "nudge_id"], "left").filter(F.col("__gone").isNull() | (F.col("__gone") > F.col("tick"))).drop("__gone")
     critical = F.col("type").isin(*CRITICAL)
     w = Window.partitionBy("call", "tick", critical).orderBy(F.desc("priority"), "at", "nudge_id")
     return j.withColumn("place", F.row_number().over(w)).filter(critical | (F.col("place") <= shown)).select("call", "tick", "nudge_id", "type", "place")
 
 
-def dismissed(shown: DataFrame, dismissals: DataFrame) -> DataFrame:
-    """Rows of active() (call, tick, nudge_id, ..) without the nudges dismissed (call, nudge_id, at) at or before the tick."""
-    gone = dismissals.groupBy("call", "nudge_id").agg(F.min("at").alias("__gone"))
-    return shown.join(gone, ["call", "nudge_id"], "left").filter(F.col("__gone").isNull() | (F.col("__gone") > F.col("tick"))).drop("__gone")
-
-
 def distinct_evidence(signals: DataFrame, call: str) -> DataFrame:
     """call, signals, distinct: how many signals a call raised, and how many that aren't repeats of type and evidence."""
     return with_dims(signals).groupBy(call).agg(F.count(F.lit(1)).alias("signals"), F.count_distinct("dedupe_key").alias("distinct"))

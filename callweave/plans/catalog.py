@@ -836,7 +836,7 @@ def dismissed_nudges(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "events").select(F.col("user_id").alias("call"), F.col("event_id").alias("nudge_id"), at.alias("at"), F.lit("compliance_gap").alias("type"), F.lit(100).alias("priority"))
     ticks = n.select("call", (F.floor(F.col("at") / 200) * 200.0).alias("tick")).distinct()
     gone = n.filter("nudge_id % 3 = 0").select("call", "nudge_id", (F.col("nudge_id") * 7 % 500).cast("double").alias("at"))
-    return signals.dismissed(signals.active(n, ticks), gone).select("call", "tick", "nudge_id")
+    return signals.active(n, ticks, dismissals=gone).select("call", "tick", "nudge_id")
 
 
 @query(f"WITH {_TURNS} SELECT e.event_id, t.text, t.speaker FROM events e LEFT JOIN t ON t.conv_id = e.user_id AND t.turn = e.event_id % 4")

@@ -157,13 +157,18 @@ def upsert(new: DataFrame, path: str, key: str, at: str | None = None) -> DataFr
     return spark.read.parquet(out)
 
 
-def write_escalations(rows: DataFrame, path: str, post: Callable[[str], None] | None = None) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_escalations(rows: DataFrame, path: str, post: Callable[[str], None] | None = None, mode: str = "append") -> None:
     """Escalations as JSON in path, always; `post` gets each one's JSON as well, and what it raises is written beside it
     (webhook_delivered, webhook_error), so that no caller is lost with a failed request."""
     body = F.to_json(F.struct(*rows.columns))
     shape = rows.schema.simpleString()
     if post is None:
-        rows.withColumn("webhook_delivered", F.lit(False)).withColumn("webhook_error", F.lit("")).write.mode("append").json(path)
+        rows.withColumn("webhook_delivered", F.lit(False)).withColumn("webhook_error", F.lit("")).write.mode(mode).json(path)
         return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,7 @@ def write_escalations(rows: DataFrame, path: str, post: Callable[[str], None] |
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([not e for e in errors]), pa.array(errors, pa.string())], names=["body", "ok", "error"])
 
     sent = rows.select(body.alias("body")).mapInArrow(run, "body string, ok boolean, error string")
-    sent.select(F.from_json("body", shape).alias("r"), F.col("ok").alias("webhook_delivered"), F.col("error").alias("webhook_error")).select("r.*", "webhook_delivered", "webhook_error").write.mode("append").json(path)
+    sent.select(F.from_json("body", shape).alias("r"), F.col("ok").alias("webhook_delivered"), F.col("error").alias("webhook_error")).select("r.*", "webhook_delivered", "webhook_error").write.mode(mode).json(path)
 
 
 def frames(files: DataFrame, rate: int = 16_000, frame_s: float = 0.1) -> DataFrame:

@@ -178,13 +178,6 @@ def judge_triggers(turns: DataFrame, least: int = 160, idle_ms: int = 3_600_000)
     return turns.select("call", F.col("at").cast("double"), "text").groupBy("call").applyInPandasWithState(step, "call string, at double", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def paced(frames: DataFrame, at: str, started: str, ahead_s: float = 0.05) -> DataFrame:
-    """Rows whose time in the recording (`at`, seconds) has been played back since `started` (a timestamp), with a
-    tolerance: nothing is seen before it is heard. Later rows come with a later trigger's read."""
-    played = (F.unix_millis(F.current_timestamp()) - F.unix_millis(started)) / 1000.0
-    return frames.filter(F.col(at) <= played + ahead_s)
-
-
 def source(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 1) -> DataFrame:
     """Messages of clients as a stream: JSON lines in files that arrive in a folder, text and base64 audio alike; lines
     that don't parse are left out. audio comes as bytes."""

@@ -672,7 +672,13 @@ def fsm_final_state(spark: SparkSession, d: str) -> DataFrame:
     return calls.conversations(t, tuple(calls.LEAD_WEIGHTS))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_TURNS}, w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS a, regexp_extract_all(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[\p{{L}}\p{{N}}_]+') AS b FROM t),
+    p AS MATERIALIZED (SELECT * FROM w WHERE b IS NOT NULL),
+    edits(conv_id, turn, i, j, cost) AS (SELECT conv_id, turn, 0::BIGINT, j, j FROM (SELECT conv_id, turn, unnest(range(len(b) + 1)) AS j FROM p)
+      UNION ALL SELECT conv_id, turn, i + 1, j, min(cost - j) OVER (PARTITION BY conv_id, turn ORDER BY j) + j
+        FROM (SELECT e.conv_id, e.turn, i, j, CASE WHEN j = 0 THEN i + 1 ELSE least(cost + 1, lag(cost) OVER (PARTITION BY e.conv_id, e.turn ORDER BY j) + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END) END AS cost
+          FROM edits e JOIN p ON p.conv_id = e.conv_id AND p.turn = e.turn WHERE i < len(a)))
+    SELECT p.conv_id, p.turn, CASE WHEN len(a) = 0 THEN 0 ELSE round(cost / len(a), 6) END AS wer FROM p JOIN edits e ON e.conv_id = p.conv_id AND e.turn = p.turn AND i = len(a) AND j = len(b)""")
 def wer(spark: SparkSession, d: str) -> DataFrame:
     t = _turns(spark, d).withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("next is not null")
     return t.select("conv_id", "turn", F.round(calls.word_error_rate(T.word_tokens(F.col("text")), T.word_tokens(F.col("next"))), 6).alias("wer"))
@@ -699,12 +705,12 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT event_id, event_type, value, unnest([0, 1, 2]) AS i FROM events WHERE event_id % 5 <> 0)
-    SELECT event_id, CASE i WHEN 0 THEN 'buying_signal' ELSE 'topic_shift' END AS type, CASE i WHEN 0 THEN value ELSE 0.5 END AS confidence, CASE i WHEN 0 THEN repeat('w', 160) ELSE '' END AS evidence, CASE i WHEN 0 THEN repeat('n', 200) ELSE event_type END AS nudge
+    SELECT event_id, CASE i WHEN 0 THEN 'buying_signal' ELSE 'topic_shift' END AS type, CASE WHEN i > 0 OR event_id % 3 = 1 THEN 0.5 WHEN event_id % 3 = 0 THEN value ELSE 0.25 END AS confidence, CASE i WHEN 0 THEN repeat('w', 160) ELSE '' END AS evidence, CASE i WHEN 0 THEN repeat('n', 200) ELSE event_type END AS nudge
     FROM x WHERE i < 2 AND NOT (i = 1 AND event_type = 'view')""")
 def judged_signals(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
-    one = F.struct(F.lit("buying_signal").alias("type"), F.col("value").alias("confidence"), F.lit("w" * 300).alias("evidence"), F.lit("n" * 300).alias("nudge"))
-    two = F.struct(F.when(F.col("event_type") == "view", "mood").otherwise("topic_shift").alias("type"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.col("event_type").alias("nudge"))
+    one = F.struct(F.lit("buying_signal").alias("type"), F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).when(F.col("event_id") % 3 == 1, F.lit("high")).otherwise(F.lit("0.25")).alias("confidence"), F.lit("w" * 300).alias("evidence"), F.lit("n" * 300).alias("nudge"))
+    two = F.struct(F.when(F.col("event_type") == "view", "mood").otherwise("topic_shift").alias("type"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.col("event_type").alias("nudge"))
     raw = F.to_json(F.struct(F.array(one, two, one).alias("signals")))
     answers = e.select("event_id", F.when(F.col("event_id") % 5 == 0, F.substring(raw, 1, 40)).otherwise(raw).alias("raw"))
     return calls.judged_signals(answers, "raw", signals.JUDGED)

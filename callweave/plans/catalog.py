@@ -282,7 +282,28 @@ def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "section", F.array_join("heading_path", " > ").alias("path"), F.md5("content").alias("content_md5"))
 
 
-@query()
+_CUT_SECTIONS = r"""l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+    h AS (SELECT *, CASE WHEN regexp_matches(x, '^[^\s]+$') THEN CASE WHEN length(x) % 2 = 0 THEN 1 ELSE 2 END END AS lv FROM l),
+    s AS (SELECT *, count(lv) OVER w AS section, last_value(CASE WHEN lv = 1 THEN x END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN lv = 2 THEN x END IGNORE NULLS) OVER w AS h2,
+      last_value(CASE WHEN lv = 1 THEN pos END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN lv = 2 THEN pos END IGNORE NULLS) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    g AS (SELECT doc_id, any_value(source) AS source, section, any_value(h1) AS h1, any_value(CASE WHEN p2 > coalesce(p1, -1) THEN h2 END) AS h2, regexp_replace(string_agg(CASE WHEN lv IS NULL THEN x END, chr(10) ORDER BY pos), '^\s+|\s+$', '', 'g') AS content FROM s GROUP BY doc_id, section),
+    c AS (SELECT *, len(regexp_extract_all(content, '[^\s]+')) AS n FROM g WHERE coalesce(content, '') <> ''),
+    u AS (SELECT doc_id, section, unnest(list_filter(string_split(replace(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: regexp_matches(x, '\S'))) AS u, unnest(range(len(list_filter(string_split(replace(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)), lambda x: regexp_matches(x, '\S'))))) AS k FROM c WHERE n > 320),
+    uw AS (SELECT *, regexp_extract_all(u, '[^\s]+') AS w FROM u),
+    se AS (SELECT doc_id, section, k, unnest(CASE WHEN len(w) <= 180 THEN [u] ELSE list_transform(range((len(w) - 1) // 180 + 1), lambda i: array_to_string(w[i * 180 + 1:(i + 1) * 180], ' ')) END) AS t, unnest(range(CASE WHEN len(w) <= 180 THEN 1 ELSE (len(w) - 1) // 180 + 1 END)) AS r FROM uw),
+    sent AS MATERIALIZED (SELECT doc_id, section, list(t ORDER BY k, r) AS ts, list(len(regexp_extract_all(t, '[^\s]+')) ORDER BY k, r) AS ns FROM se GROUP BY doc_id, section),
+    f(doc_id, section, i, done, now, n) AS (SELECT doc_id, section, 1, []::VARCHAR[], NULL::VARCHAR, 0::BIGINT FROM sent
+      UNION ALL SELECT doc_id, section, i + 1, CASE WHEN is_full THEN list_append(done, now) ELSE done END,
+          CASE WHEN now IS NULL THEN t WHEN is_full THEN array_to_string(tail, ' ') || ' ' || t ELSE now || ' ' || t END, CASE WHEN is_full THEN len(tail) + m ELSE n + m END
+        FROM (SELECT f.*, ts[i] AS t, ns[i] AS m, now IS NOT NULL AND n + ns[i] > 180 AS is_full, regexp_extract_all(coalesce(now, ''), '[^\s]+')[-30:] AS tail FROM f JOIN sent ON f.doc_id = sent.doc_id AND f.section = sent.section WHERE i <= len(ts))),
+    e AS (SELECT f.doc_id, f.section, CASE WHEN now IS NULL THEN done WHEN len(done) > 0 AND len(regexp_extract_all(now, '[^\s]+')) < 25 THEN list_append(done[:len(done) - 1], done[len(done)] || ' ' || now) ELSE list_append(done, now) END AS ps FROM f JOIN sent ON f.doc_id = sent.doc_id AND f.section = sent.section WHERE i = len(ts) + 1),
+    p AS (SELECT c.*, unnest(CASE WHEN n <= 320 THEN [content] ELSE ps END) AS piece, unnest(range(CASE WHEN n <= 320 THEN 1 ELSE len(ps) END)) AS k FROM c LEFT JOIN e ON e.doc_id = c.doc_id AND e.section = c.section),
+    z AS (SELECT *, len(regexp_extract_all(piece, '[^\s]+')) AS wc FROM p)"""
+
+
+@query(rf"""WITH RECURSIVE {_CUT_SECTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, k) - 1 AS chunk_index FROM z WHERE wc >= 25)
+    SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, printf('%d_c%02d', doc_id, chunk_index) AS chunk_id, coalesce(h2, h1, source) AS heading, CAST(wc AS INTEGER) AS word_count, regexp_matches(piece, '\[[A-Z_]+_REDACTED\]') AS pii,
+      md5(regexp_replace(piece, '^\s+|\s+$', '', 'g')) AS content_md5 FROM o""")
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
     c = chunk.chunks(_headed(spark, d), "doc_id", "title", "body")
     return c.select("doc_id", "chunk_index", "chunk_id", "heading", "word_count", "pii", F.md5("content").alias("content_md5"))

@@ -496,8 +496,11 @@ def links(sets: DataFrame, total: int) -> DataFrame:
     mixed = entries.drop("late").join(lists, "s")
     side = lambda c: mixed.filter("not wide").select("s", *[F.col(x).alias(f"{x}{c}") for x in ("sid", "label", "n", "m", "pos")])
     least = lambda x: F.least(f"{x}a", f"{x}b")
-    fit = (F.col("labela") < F.col("labelb")) & (4 * least("n") >= 3 * F.greatest("na", "nb")) & (7 * F.least(F.col("ma") - F.col("posa"), F.col("mb") - F.col("posb")) >= 3 * (F.col("na") + F.col("nb")))
-    pairs = side("a").join(side("b"), "s").filter(fit)
+    fit = (4 * least("n") >= 3 * F.greatest("na", "nb")) & (7 * F.least(F.col("ma") - F.col("posa"), F.col("mb") - F.col("posb")) >= 3 * (F.col("na") + F.col("nb")))
+    # labels of a list meet first, then their sets: sets of one label never meet, however many they are
+    narrow = per.join(lists.filter("not wide").select("s"), "s")
+    across = narrow.select("s", F.col("label").alias("labela")).join(narrow.select("s", F.col("label").alias("labelb")), "s").filter("labela < labelb")
+    pairs = across.join(side("a"), ["s", "labela"]).join(side("b"), ["s", "labelb"]).filter(fit)
     more = _verify(pairs.select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct(), named.select("sid", "n", "s"))
     wide = lists.filter("wide").select("s")
     if wide.limit(1).count():

@@ -552,3 +552,16 @@ def test_write_matrices(spark, rows, tmp_path):
     packing.write_matrices(few, str(tmp_path / "m"))
     got = {(x.sequence_id, bytes(x.ids)) for x in spark.read.parquet(str(tmp_path / "m")).collect()}
     assert got == {(x.sequence_id, bytes(x.ids)) for x in packing.pack_matrices(few).collect()} and got
+
+
+def test_jaccard_clusters_of_one_list(spark):
+    """Two clusters of near copies, whose members share a list with a text of neither."""
+    for size in (3, 60, 200):
+        r = random.Random(5)
+        word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+        passage, left, right = ([word() for _ in range(40)] for _ in range(3))
+        rows = [(f"{k}", " ".join([*passage, *side, *[word() for _ in range(3)]])) for k, side in ((a, b) for b in (left, right) for a in range(size))]
+        rows.append(("x", " ".join([*passage, *[word() for _ in range(6)]])))
+        rows = [(i, t) for i, (_, t) in enumerate(rows)]
+        got = jaccard.near_duplicates(docs(spark, rows))
+        assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got.collect()) == near(rows)

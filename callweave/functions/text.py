@@ -93,10 +93,13 @@ def iso_dates(t: Column) -> tuple[Column, Column]:
     return clean(F.regexp_replace(t, slash, "$3-\x02$1\x03-\x02$2\x03")), changed
 
 
-def heading(t: Column, suffix: str = r"(?i)\s*[|\-–]\s*Pru ?Life ?UK.*$") -> Column:
-    """Without the site's suffix, blanks squeezed, long all-capitals in title case (letters after blanks only)."""
-    t = F.regexp_replace(strip(F.regexp_replace(t, suffix, "")), r"\s+", " ")
-    return F.when((F.upper(t) == t) & (F.lower(t) != t) & (F.length(t) > 8), F.initcap(t)).otherwise(t)
+def heading(t: Column, suffix: str | None = None) -> Column:
+    """Without the site's suffix (a pattern, cut off with what follows it), blanks squeezed; what is long and all in
+    capitals gets a capital for the first letter of each run of letters only."""
+    t = strip(t) if suffix is None else strip(F.regexp_replace(t, rf"(?is)\s*{suffix}.*$", ""))
+    t = F.regexp_replace(t, r"\s+", " ")
+    runs = F.regexp_extract_all(t, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.when((F.upper(t) == t) & (F.lower(t) != t) & (F.length(t) > 8), F.array_join(F.transform(runs, F.initcap), "")).otherwise(t)
 
 
 def pii_found(t: Column, patterns: Mapping[str, str] = PII) -> Column:

@@ -148,20 +148,49 @@ def pii_types_seen(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.array_join(F.array_sort(F.collect_set("x.label")), ",").alias("labels"))
 
 
-_TEXTS = "(VALUES (1, 'Php 1,000 and ₱ 250 or P 12,345'), (2, 'Face amount of the policy holder, face amount'), (3, 'due 5 March 2024 or March 5, 2024 or 31/12/2020'), (4, 'a   b'), (5, 'mail me@example.com or 0917 123 4567, TIN 123-456-789')) AS t(id, text)"
-
-
-@query("""SELECT * FROM (VALUES (1, 'PHP 1,000 and PHP 250 or PHP 12,345', 0, ''), (2, 'Sum assured of the policyholder, sum assured', 0, ''),
-    (3, 'due 2024-03-05 or 2024-03-05 or 2020-31-12', 3, ''), (4, 'a b', 0, ''), (5, 'mail me@example.com or 0917 123 4567, TIN 123-456-789', 0, 'email,ph_mobile,tin')) AS t(id, text, dates, labels)""")
+#: What is planted behind documents' texts, so that each rule of normalisation has work.
+_PLANTED = """CASE doc_id % 6 WHEN 0 THEN 'Php 1,000 and ₱ 250 or P 12,345 but not P 12' WHEN 1 THEN 'Face amount of the Policy Holder, face AMOUNT; unit linked' WHEN 2 THEN 'due 5 March 2024 or march 15, 2024 or 31/12/2020, not 5 Mai 2024'
+    WHEN 3 THEN concat('a\u00a0  b\u200b', chr(10), chr(10), chr(10), chr(10), 'c') WHEN 4 THEN 'mail me@example.com or 0917 123 4567, TIN 123-456-789, policy no. ABC-12345' ELSE 'ﬁne Ａ１ text' END"""
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _nested(sql: str, steps: list[tuple[str, str]]) -> str:
+    """One regexp_replace in the other."""
+    for pattern, to in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
+    return sql
+
+
+_NORMAL = [("[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"[Pp]hp\s?([\d,]+)", r"PHP \1"), (r"₱\s?([\d,]+)", r"PHP \1"), (r"\bP\s?([\d,]{4,})", r"PHP \1")]
+for _v, _c in T.TERMINOLOGY.items():
+    _NORMAL += [(rf"\b{_v[0].upper()}(?i:{_v[1:]})\b", _c[0].upper() + _c[1:]), (rf"\b{_v[0]}(?i:{_v[1:]})\b", _c)]
+_DMY = [(rf"(?i)\b(\d{{{k}}})\s+{m}\s+(\d{{4}})\b", rf"\2-{i:02d}-{'0' * (2 - k)}\1") for i, m in enumerate(_MONTHS, 1) for k in (1, 2)]
+_MDY = [(rf"(?i)\b{m}\s+(\d{{{k}}}),?\s+(\d{{4}})\b", rf"\2-{i:02d}-{'0' * (2 - k)}\1") for i, m in enumerate(_MONTHS, 1) for k in (1, 2)]
+_SLASH = [(rf"\b(\d{{{j}}})/(\d{{{k}}})/(\d{{4}})\b", rf"\3-{'0' * (2 - j)}\1-{'0' * (2 - k)}\2") for j in (1, 2) for k in (1, 2)]
+_OWN_PII = "concat_ws(','" + "".join(f", CASE WHEN regexp_matches(t3, '{p}') THEN '{k}' END" for k, p in T.PII.items()) + ")"
+_ANY = "|".join(_MONTHS)
+
+
+@query(rf"""WITH a AS (SELECT doc_id, replace(replace(replace(concat(text, chr(10), {_PLANTED}), 'ﬁne Ａ１', 'fine A1'), chr(160), ' '), chr(8203), '') AS t FROM documents),
+    n AS (SELECT doc_id, regexp_replace({_nested('t', _NORMAL)}, '^\s+|\s+$', '', 'g') AS t0 FROM a),
+    d1 AS (SELECT doc_id, {_nested('t0', _DMY)} AS t1, len(regexp_extract_all(t0, '(?i)\b\d{{1,2}}\s+(?:{_ANY})\s+\d{{4}}\b')) AS n1 FROM n),
+    d2 AS (SELECT doc_id, {_nested('t1', _MDY)} AS t2, n1 + len(regexp_extract_all(t1, '(?i)\b(?:{_ANY})\s+\d{{1,2}},?\s+\d{{4}}\b')) AS n2 FROM d1),
+    d3 AS (SELECT doc_id, {_nested('t2', _SLASH)} AS t3, n2 + len(regexp_extract_all(t2, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b')) AS n3 FROM d2)
+    SELECT doc_id, md5(t3) AS text_md5, CAST(n3 AS INTEGER) AS dates, {_OWN_PII} AS labels FROM d3""")
 def normalise_text(spark: SparkSession, d: str) -> DataFrame:
-    t = values(spark, _TEXTS).select("id", T.normalise(F.col("text")).alias("n"))
+    docs = read(spark, d, "documents").select("doc_id", T.normalise(T.nfkc(F.concat("text", F.lit("\n"), F.expr(_PLANTED)))).alias("n"))
     text, n = T.iso_dates(F.col("n"))
-    return t.select("id", text.alias("text"), n.cast("int").alias("dates"), F.array_join(F.transform(T.pii_found(F.col("n")), lambda x: x["label"]), ",").alias("labels"))
+    t = docs.select("doc_id", text.alias("t"), n.cast("int").alias("dates"))
+    return t.select("doc_id", F.md5("t").alias("text_md5"), "dates", F.array_join(F.transform(T.pii_found(F.col("t")), lambda x: x["label"]), ",").alias("labels"))
+
+
+_TITLE = "CASE doc_id % 4 WHEN 0 THEN concat(source, '  page – ', 'Acme Site | home') WHEN 1 THEN concat(upper(replace(text, 'ß', 'ss')), ' | acme  site') WHEN 2 THEN concat(' ', text, ' ') ELSE upper(lang) END"
 
 
-@query("""SELECT * FROM (VALUES ('Plans | Pru Life UK', 'Plans'), ('ALL OUR PRODUCTS', 'All Our Products'), ('FAQ', 'FAQ'), ('a  b', 'a b')) AS t(title, heading)""")
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_TITLE}, '(?is)\s*[|–-]\s*acme\s+site.*$', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS h FROM documents)
+    SELECT doc_id, md5(CASE WHEN upper(h) = h AND lower(h) <> h AND length(h) > 8 THEN list_aggregate(list_transform(regexp_extract_all(h, '\p{{L}}+|\P{{L}}+'), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', '') ELSE h END) AS heading_md5 FROM t""")
 def normalise_heading(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, "(VALUES ('Plans | Pru Life UK'), ('ALL OUR PRODUCTS'), ('FAQ'), ('a  b')) AS t(title)").select("title", T.heading(F.col("title")).alias("heading"))
+    return read(spark, d, "documents").select("doc_id", F.md5(T.heading(F.expr(_TITLE), r"[|–-]\s*acme\s+site")).alias("heading_md5"))
 
 
 FILLERS = ["the", "that", "with", "of"]
@@ -435,13 +464,19 @@ def retrieval_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d).groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ANSWERS = "(VALUES (1, 'See [kb_a_001_c02] and [faq_hours]. [kb_a_001_c02]', 'kb_a_001_c02,kb_b_002_c00'), (2, 'No source here.', 'kb_a_001_c02'), (3, 'Both [kb_z_009_c11] [kb_b_002_c00]', 'kb_b_002_c00')) AS t(id, text, got)"
+#: Answers of a model that state passages, after the turns' own texts.
+_ANSWER = "concat(text, CASE WHEN turn % 3 = 0 THEN ' [kb_a_001_c02] and [faq_hours]. [kb_a_001_c02]' WHEN turn % 3 = 1 THEN '' ELSE concat(' Both [kb_z_', conv_id, '_c1]', chr(10), '[kb_b_002_c00] [not cited]') END)"
+_GOT = "CASE WHEN conv_id % 2 = 0 THEN 'kb_a_001_c02,kb_b_002_c00' ELSE concat('kb_z_', conv_id, '_c1') END"
 
 
-@query("SELECT * FROM (VALUES (1, 'See and.', 'kb_a_001_c02', 'faq_hours'), (2, 'No source here.', '', ''), (3, 'Both', 'kb_b_002_c00', 'kb_z_009_c11')) AS t(id, spoken, valid, invalid)")
+@query(rf"""WITH a AS (SELECT conv_id, turn, {_ANSWER} AS t, string_split({_GOT}, ',') AS got FROM conversations),
+    c AS (SELECT *, list_sort(list_distinct(regexp_extract_all(t, '\[((?:faq_[a-z0-9_]+)|(?:[a-z0-9_]+_c\d+))\]', 1))) AS stated FROM a)
+    SELECT conv_id, turn, md5(regexp_replace(regexp_replace(t, '\s*\[((?:faq_[a-z0-9_]+)|(?:[a-z0-9_]+_c\d+))\]', '', 'g'), '^\s+|\s+$', '', 'g')) AS spoken_md5,
+      array_to_string(list_filter(stated, lambda x: list_contains(got, x)), ',') AS valid, array_to_string(list_filter(stated, lambda x: NOT list_contains(got, x)), ',') AS invalid FROM c""")
 def citation_validate(spark: SparkSession, d: str) -> DataFrame:
-    valid, invalid = search.validate_citations(T.citations(F.col("text")), F.split("got", ","))
-    return values(spark, _ANSWERS).select("id", T.strip_citations(F.col("text")).alias("spoken"), F.array_join(valid, ",").alias("valid"), F.array_join(invalid, ",").alias("invalid"))
+    valid, invalid = search.validate_citations(T.citations(F.col("t")), F.split("got", ","))
+    a = read(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("t"), F.expr(_GOT).alias("got"))
+    return a.select("conv_id", "turn", F.md5(T.strip_citations(F.col("t"))).alias("spoken_md5"), F.array_join(valid, ",").alias("valid"), F.array_join(invalid, ",").alias("invalid"))
 
 
 @query(f"""WITH {_VEC}, r AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc QUALIFY rank <= 8),
@@ -484,24 +519,43 @@ def disclosure_gaps(spark: SparkSession, d: str) -> DataFrame:
     return signals.disclosure_gaps(_turns(spark, d), "conv_id", "turn", FIRING_GAP).select("conv_id", "turn", "disclosure")
 
 
-_LIVE = """(VALUES (1, 'agent', 'Our funds give guaranteed returns'), (2, 'caller', 'My wife would like that'), (3, 'agent', 'You should buy this, there is no risk'), (4, 'caller', 'I can''t afford much, call me later')) AS t(turn, speaker, text)"""
+#: What is planted behind turns, so that the library's own rules have work.
+_SAID = """CASE (conv_id * 7 + turn) % 11 WHEN 0 THEN 'Our funds give guaranteed returns' WHEN 1 THEN 'My wife would like that' WHEN 2 THEN 'You should buy this, there is no risk' WHEN 3 THEN 'I can''t afford much, call me later'
+    WHEN 4 THEN 'this is not a deposit and not guaranteed' WHEN 5 THEN 'what''s the next step for my second car' WHEN 6 THEN 'your date of birth please' WHEN 7 THEN 'this call is recorded, data privacy act' WHEN 8 THEN 'definitely approved by a licensed advisor' ELSE '' END"""
+_PLANTED_TURNS = f"t AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'agent' ELSE 'caller' END AS speaker, concat(text, ' ', {_SAID}) AS text FROM conversations WHERE role IN ('user', 'assistant'))"
+
+
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
 
+_OWN = " UNION ALL ".join(
+    f"SELECT conv_id, turn, '{t}' AS type, {c}::DOUBLE AS confidence, regexp_extract(text, '(?i){_quoted(p)}', 0) AS evidence, {signals.PRIORITY[t]} AS priority, '{_quoted(n)}' AS nudge FROM t WHERE speaker {op} 'agent' AND regexp_matches(text, '(?i){_quoted(p)}')"
+    for op, rules in (("=", signals.RISKY), ("<>", signals.CUES))
+    for t, c, p, n in rules
+)
+_OWN += " UNION ALL " + " UNION ALL ".join(
+    f"""SELECT conv_id, turn, 'compliance_gap', {signals.GAP_CONFIDENCE}, e, {signals.PRIORITY['compliance_gap']}, '{_quoted(n)}' FROM (SELECT conv_id, turn, min(CASE WHEN regexp_matches(text, '(?i){a}') THEN turn END) OVER w AS f, first_value(CASE WHEN regexp_matches(text, '(?i){a}') THEN regexp_extract(text, '(?i){a}', 0) END IGNORE NULLS) OVER w AS e,
+    max(CASE WHEN speaker = 'agent' AND regexp_matches(text, '(?i){b}') THEN 1 ELSE 0 END) OVER w AS m, max(CASE WHEN speaker = 'agent' THEN turn END) OVER w AS l FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE m = 0 AND l > f"""
+    for _, a, b, n in signals.DISCLOSURES
+)
 
-@query("""SELECT * FROM (VALUES (1, 'risky_statement', 0.97::DOUBLE, 'guaranteed returns', 95, 'Guarantee language used. Correct it now: returns and approval are never guaranteed.'),
-    (2, 'missed_cross_sell', 0.75, 'My wife', 50, 'Family mentioned. Family protection or an education plan may fit.'), (3, 'risky_statement', 0.97, 'no risk', 95, 'Risk-free language used. Retract and state the actual risk.'),
-    (3, 'compliance_gap', 0.95, 'funds', 100, 'Investment is being pitched without the disclosure. State that returns are not guaranteed and this is not a deposit.'),
-    (4, 'compliance_gap', 0.95, 'funds', 100, 'Investment is being pitched without the disclosure. State that returns are not guaranteed and this is not a deposit.'),
-    (4, 'payment_difficulty', 0.85, 'can''t afford', 70, 'Payment difficulty signalled. Offer an approved payment-support option, not a discount.'),
-    (4, 'callback_needed', 0.85, 'call me later', 40, 'Caller wants to be reached later. Agree a specific callback time before closing.')) AS t(turn, type, confidence, evidence, priority, nudge)""")
+
+@query(f"WITH {_PLANTED_TURNS} {_OWN}")
 def rules_fixture(spark: SparkSession, d: str) -> DataFrame:
-    t = values(spark, _LIVE).withColumn("call", F.lit("c"))
-    both = signals.cue_signals(t, "call", "turn").unionByName(signals.disclosure_gaps(t, "call", "turn"))
-    return signals.with_dims(both).select("turn", "type", "confidence", "evidence", "priority", "nudge")
+    """The library's own rules over all turns, planted ones among them."""
+    t = _turns(spark, d).withColumn("text", F.concat("text", F.lit(" "), F.expr(_SAID)))
+    both = signals.cue_signals(t, "conv_id", "turn").unionByName(signals.disclosure_gaps(t, "conv_id", "turn"))
+    return signals.with_dims(both).select("conv_id", "turn", "type", "confidence", "evidence", "priority", "nudge")
+
 
+_ADVICE = """concat(text, CASE turn % 7 WHEN 0 THEN ' Give a specific projected return' WHEN 1 THEN ' Offer a discount now' WHEN 2 THEN ' Skip the disclosure' WHEN 3 THEN ' Say what they''ll earn' WHEN 4 THEN ' Promises approval' WHEN 5 THEN ' GUARANTEES it' ELSE ' Ask about family' END)"""
+_REASON = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){_quoted(p)}') THEN '{r}'" for p, r in signals.PROHIBITED) + " ELSE '' END"
 
-@query("""SELECT * FROM (VALUES ('Give a specific projected return', 'recommends quoting a projection'), ('Offer a discount now', 'recommends an unauthorised discount'), ('Skip the disclosure', 'recommends withholding information'), ('Ask about family', '')) AS t(text, reason)""")
+
+@query(f"SELECT conv_id, turn, {_REASON} AS reason FROM (SELECT conv_id, turn, {_ADVICE} AS t FROM conversations)")
 def nudge_safety(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, "(VALUES ('Give a specific projected return'), ('Offer a discount now'), ('Skip the disclosure'), ('Ask about family')) AS t(text)").select("text", signals.unsafe_reason(F.col("text")).alias("reason"))
+    return read(spark, d, "conversations").select("conv_id", "turn", signals.unsafe_reason(F.expr(_ADVICE)).alias("reason"))
 
 
 def _offered(spark: SparkSession, d: str) -> DataFrame:
@@ -713,9 +767,13 @@ def missing_signals(spark: SparkSession, d: str) -> DataFrame:
     return f.select("user_id", F.array_join(calls.missing_signals(expected, F.col("f")), ",").alias("missing"), F.size("f").alias("fired"))
 
 
-@query("SELECT * FROM (VALUES ('greeting', 'EMPTY'), ('closing', 'English marker: thank you for your time'), ('skip', 'English marker: I''ll')) AS t(name, finding)")
+_LINE = """CASE (conv_id + turn) % 5 WHEN 0 THEN '' WHEN 1 THEN concat(text, ' Salamat, thank you for your time') WHEN 2 THEN concat('Well I''ll go. ', text) WHEN 3 THEN NULL ELSE text END"""
+
+
+@query(rf"""WITH l AS (SELECT concat(conv_id, ':', turn) AS name, {_LINE} AS line FROM conversations), m AS (SELECT name, line, regexp_extract(line, '(?i){_quoted(calls.ENGLISH)}', 0) AS e FROM l)
+    SELECT name, CASE WHEN coalesce(line, '') = '' THEN 'EMPTY' ELSE 'English marker: ' || e END AS finding FROM m WHERE coalesce(line, '') = '' OR e <> ''""")
 def language_leak(spark: SparkSession, d: str) -> DataFrame:
-    lines = values(spark, "(VALUES ('greeting', ''), ('closing', 'Salamat, thank you for your time'), ('ack', 'Sige po'), ('skip', 'Well I''ll go')) AS t(name, line)")
+    lines = read(spark, d, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("name"), F.expr(_LINE).alias("line"))
     return calls.language_leaks(lines, "name", "line")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from callweave.functions import text as T
+from callweave.plans.staging import stage
 
 
 def boilerplate(pages: DataFrame, key: str, body: str, ratio: float = 0.25, max_words: int = 25, least: int = 2) -> DataFrame:
@@ -158,3 +159,22 @@ def greedy_survivors(records: DataFrame, key: str, words: str, pairs: DataFrame,
     rows = ranked.select(key, F.col("__first.k").alias("__id")).join(fate, "__id")
     own = F.col(key) == F.col("__id")
     return rows.select(key, (own & F.col("kept")).alias("kept"), F.when(own, F.col("of")).otherwise(F.coalesce("of", "__id")).alias("duplicate_of"))
+
+
+def record_ids(records: DataFrame, category: str, order: str) -> DataFrame:
+    """records with record_id (`kb_category_001`, numbered over all records in order, from 1) and source, the category in
+    words. Numbers are a count of the rows of the partitions before and a place in the own one, after a range sort: no
+    window holds all rows."""
+    spark = records.sparkSession
+    dealt = records.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = stage(dealt)
+    part = F.shiftright("__at", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.max("__at").alias("last"), F.count(F.lit(1)).alias("n")).collect()  # a row a partition
+    before, rows = 0, []
+    for r in sorted(sizes, key=lambda r: r["__part"]):
+        rows.append((r["__part"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(rows, "__part long, __before long")
+    number = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    out = dealt.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn("record_id", F.format_string("kb_%s_%03d", F.col(category), number))
+    return out.withColumn("source", F.concat(F.replace(F.col(category), F.lit("_"), F.lit(" ")), F.lit(" / website section"))).drop("__part", "__before", "__at")

@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callweave.functions import providers
 from callweave.functions import text as T
 from callweave.operators import calls, chunk, clean, extract, index, reports, search, signals, topk
 from callweave.plans.staging import shared_dir, stage
@@ -936,3 +937,109 @@ def robots_audit(spark: SparkSession, d: str) -> DataFrame:
     rules = web.Robots(200, "User-agent: *\nAllow: /en\nDisallow: /")
     ok, blocked = web.audit_robots(read(spark, d, "pages").select("page_id", "url"), "url", rules, "bot")
     return ok.select("page_id", F.lit(True).alias("allowed")).unionByName(blocked.select("page_id", F.lit(False).alias("allowed")))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 9) AS rms FROM embeddings")
+def frame_rms(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", F.round(calls.rms(F.col("embedding")), 9).alias("rms"))
+
+
+_LEVELS = "SELECT user_id, 400 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 250 AS t_ms, value / 500 AS level FROM events"
+
+
+@query(f"SELECT user_id, round(greatest(coalesce(avg(level) FILTER (WHERE t_ms < 350) * 2.2, 0.011), 0.011), 9) AS threshold FROM ({_LEVELS}) GROUP BY user_id")
+def noise_floor(spark: SparkSession, d: str) -> DataFrame:
+    return calls.noise_floor(_levels(spark, d), "user_id", "t_ms", "level").withColumn("threshold", F.round("threshold", 9))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    """Events as frames of a microphone's level, 400 ms apart, a capture a user."""
+    t = 400 * F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 250
+    return read(spark, d, "events").select("user_id", t.alias("t_ms"), (F.col("value") / 500).alias("level"))
+
+
+@query(f"""WITH f AS (SELECT user_id, t_ms, level, coalesce(lag(t_ms) OVER (PARTITION BY user_id ORDER BY t_ms), 0) AS b FROM ({_LEVELS})),
+    c AS (SELECT *, b < 350 AS cal, greatest(avg(CASE WHEN b < 350 THEN level END) OVER (PARTITION BY user_id) * 2.2, 0.011) AS threshold FROM f),
+    l AS (SELECT *, NOT cal AND level > threshold AS loud FROM c),
+    s AS (SELECT *, sum(CASE WHEN loud THEN t_ms - b ELSE 0 END) OVER w AS speech, max(CASE WHEN loud THEN t_ms END) OVER w AS heard FROM l WINDOW w AS (PARTITION BY user_id ORDER BY t_ms)),
+    e AS (SELECT *, CASE WHEN speech >= 300 AND NOT loud AND t_ms - heard >= 1200 THEN 'silence' WHEN t_ms >= 30000 THEN 'timeout' END AS ended FROM s),
+    g AS (SELECT user_id, any_value(threshold) AS threshold, min(CASE WHEN speech >= 300 THEN t_ms END) AS armed, min(CASE WHEN ended IS NOT NULL THEN t_ms END) AS stopped, arg_min(ended, t_ms) FILTER (WHERE ended IS NOT NULL) AS reason FROM e GROUP BY user_id)
+    SELECT user_id, round(threshold, 9) AS threshold, CASE WHEN stopped IS NULL OR armed <= stopped THEN armed END AS armed_ms, stopped AS stopped_ms, reason FROM g""")
+def client_captures(spark: SparkSession, d: str) -> DataFrame:
+    return calls.captures(_levels(spark, d), "user_id", "t_ms", "level").withColumn("threshold", F.round("threshold", 9))
+
+
+_HEARD = "CASE (conv_id + turn) % 6 WHEN 0 THEN ' Thank you. ' WHEN 1 THEN 'um' WHEN 2 THEN '...' WHEN 3 THEN 'Thank you, bye' ELSE text END"
+_SILENT = ", ".join(f"'{x}'" for x in signals.SILENCE)
+
+
+@query(f"SELECT conv_id, turn, coalesce(lower(trim(t)) NOT IN ({_SILENT}), true) AS heard FROM (SELECT conv_id, turn, {_HEARD} AS t FROM conversations)")
+def heard_turns(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "conversations").select("conv_id", "turn", F.expr(_HEARD).alias("t"))
+    return t.select("conv_id", "turn", (~F.coalesce(signals.is_artifact(F.col("t")), F.lit(False))).alias("heard"))
+
+
+@query("""WITH a AS (SELECT event_id FROM events WHERE event_id % 3 <> 0), b AS (SELECT event_id FROM events WHERE event_id % 2 = 0)
+    SELECT event_id, 'retire' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT event_id, 'add' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def panel_changes(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("event_id")
+    return signals.snapshot_changes(e.filter("event_id % 3 <> 0"), e.filter("event_id % 2 = 0"), "event_id")
+
+
+@query("""SELECT doc_id, source || ' — ' || CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN lang ELSE lang || ' > part ' || doc_id END || CASE WHEN doc_id % 2 = 0 THEN ' (http://h/' || doc_id || ')' ELSE '' END AS label,
+    CASE WHEN doc_id % 3 = 0 THEN md5(source || '. ' || text) WHEN doc_id % 3 = 1 THEN md5(source || '. ' || lang || '. ' || text) ELSE md5(source || '. ' || lang || ' > part ' || doc_id || '. ' || text) END AS embedded_md5 FROM documents""")
+def citation_labels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    path = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("lang")).otherwise(F.array("lang", F.concat(F.lit("part "), F.col("doc_id").cast("string"))))
+    url = F.concat(F.lit("http://h/"), F.col("doc_id").cast("string"))
+    label = F.when(F.col("doc_id") % 2 == 0, search.citation_label(F.col("source"), F.col("p"), url)).otherwise(search.citation_label(F.col("source"), F.col("p")))
+    docs = read(spark, d, "documents").withColumn("p", path)
+    return docs.select("doc_id", label.alias("label"), F.md5(chunk.embedding_text(F.col("source"), F.col("p"), F.col("text"))).alias("embedded_md5"))
+
+
+_SPOKEN = "CASE doc_id % 4 WHEN 0 THEN 'English' WHEN 1 THEN 'Filipino and English' WHEN 2 THEN '' ELSE 'Bahasa Indonesia' END"
+_WRITTEN = "CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE 'Bahasa' END"
+
+
+@query(f"SELECT doc_id, a <> '' AND NOT starts_with(lower(a), substr(lower(c), 1, 4)) AS translated, 'query: ' || a AS prefixed FROM (SELECT doc_id, {_SPOKEN} AS a, {_WRITTEN} AS c FROM documents)")
+def answer_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Which questions need a translation to be asked, and how they are put to a model of the e5 family."""
+    q = read(spark, d, "documents").select("doc_id", F.expr(_SPOKEN).alias("a"), F.expr(_WRITTEN).alias("c"))
+    return q.select("doc_id", search.cross_lingual(F.col("a"), F.col("c")).alias("translated"), providers.with_prefix(F.col("a"), "multilingual-e5-small", "query").alias("prefixed"))
+
+
+_LIMITED = "concat(text, CASE turn % 5 WHEN 0 THEN ' Please try again in 7.66s.' WHEN 1 THEN ' retry in 2m' WHEN 2 THEN ' after 120ms' WHEN 3 THEN ' no time given' ELSE ' in 1m30s' END)"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace({_LIMITED}, '[0-9.]+(?:[^0-9.ms]|$)', ' ', 'g') AS t FROM conversations),
+    r AS (SELECT conv_id, turn, TRY_CAST(regexp_extract(t, '([\d.]+)(ms|m|s)', 1) AS DOUBLE) AS n, regexp_extract(t, '([\d.]+)(ms|m|s)', 2) AS u FROM t)
+    SELECT conv_id, turn, round(CASE u WHEN 'ms' THEN n / 1000 WHEN 'm' THEN n * 60 WHEN 's' THEN n END, 6) AS wait_s FROM r""")
+def retry_waits(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.expr(_LIMITED), r"[0-9.]+(?:[^0-9.ms]|$)", " ").alias("t"))
+    return t.select("conv_id", "turn", F.round(T.retry_after(F.col("t")), 6).alias("wait_s"))
+
+
+@query("SELECT url, count(*) AS pages FROM (SELECT trim(url) AS url FROM pages WHERE url IS NOT NULL) GROUP BY url")
+def sitemap_urls(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' urls written as sitemap files of 1,000 each and read from them again."""
+    path = f"{shared_dir(spark)}/sitemap-{uuid.uuid4().hex}"
+    u = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    each = F.concat(F.lit("<url><loc> "), u, F.lit(" </loc><lastmod>2024-01-01</lastmod></url>"))
+    at = F.monotonically_increasing_id()
+    files = read(spark, d, "pages").filter("url IS NOT NULL").select(F.floor(at / 1000).alias("file"), each.alias("x")).groupBy("file").agg(F.array_join(F.collect_list("x"), "\n").alias("x"))
+    files.select(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>\n"), "x", F.lit("\n</urlset>"))).write.option("maxRecordsPerFile", 1).text(path)
+    return web.sitemap(spark, path).groupBy("url").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(rf"""WITH RECURSIVE {_CUT_SECTIONS} SELECT source, CAST(min(wc) AS INTEGER) AS least, CAST(list_sort(list(wc))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS INTEGER) AS upper_median, CAST(max(wc) AS INTEGER) AS most,
+    count(*) AS chunks, round(avg(CASE WHEN h1 IS NOT NULL OR h2 IS NOT NULL THEN 1 ELSE 0 END), 4) AS with_path FROM z WHERE wc >= 25 GROUP BY source""")
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the chunks of each source, and what share lies under a heading."""
+    c = chunk.chunks(_headed(spark, d), "doc_id", "title", "body").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return reports.chunk_sizes(c, ["source"], "word_count", F.col("heading_path")).select("source", "least", "upper_median", "most", "chunks", "with_path")
+
+
+@query("SELECT doc_id, printf('kb_%s_%03d', replace(source, 'src', 'part_'), row_number() OVER (ORDER BY doc_id)) AS record_id, replace(source, 'src', 'part ') || ' / website section' AS source FROM documents")
+def record_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", F.regexp_replace("source", "src", "part_").alias("category"))
+    return clean.record_ids(docs, "category", "doc_id").select("doc_id", "record_id", "source")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """url of each <loc> of sitemap files."""
-    return spark.read.format("xml").option("rowTag", "url").load(path).select(F.trim("loc").alias("url"))
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path).select(F.trim("loc").alias("url"))
 
 
 def url_path(url: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 from operator import and_
 
 import numpy as np
@@ -57,11 +58,6 @@ def funnel(records: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
     return joined.select("step", "reason", "dropped", (F.col("total") - F.sum("dropped").over(w)).alias("remaining"))
 
 
-def hash64(s: Column) -> Column:
-    """First 8 bytes of MD5 as a long."""
-    return F.conv(F.substring(F.md5(s), 1, 16), 16, -10).cast("long")
-
-
 def _majority(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The bits set in more than half of each row's hashes: one pass over all bits of some rows."""
     ends = np.cumsum(sizes)
@@ -77,18 +73,32 @@ def _majority(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def simhash(docs: DataFrame, key: str, text: str, k: int = 4, hashed: Callable[[Column], Column] = hash64) -> DataFrame:
-    """key, fingerprint: the bits set in more than half of the hashes of a text's shingles. Rows keep to themselves:
-    nothing is exploded or shuffled. A row with null text has no fingerprint and is left out."""
-    parts = F.when(F.size(T.word_tokens(F.col(text))) == 0, F.array(F.lit("_empty_"))).otherwise(T.shingles(F.col(text), k))
-    rows = docs.filter(F.col(text).isNotNull()).select(key, F.transform(parts, hashed).alias("h"))
+#: Digests of which a shingle's hash is the first 8 bytes, big-endian.
+DIGESTS = {"md5": lambda x: hashlib.md5(x, usedforsecurity=False).digest()[:8], "blake2b": lambda x: hashlib.blake2b(x, digest_size=8).digest()}
+
+
+def simhash(docs: DataFrame, key: str, text: str, k: int = 4, digest: str = "md5") -> DataFrame:
+    """key, fingerprint: the bits set in more than half of the hashes of a text's k-token shingles; fewer tokens count
+    each, none as `_empty_`. Rows keep to themselves: nothing is exploded or shuffled. A row with null text has no
+    fingerprint and is left out."""
+    rows = docs.filter(F.col(text).isNotNull()).select(key, T.word_tokens(F.col(text)).alias("w"))
+
+    def hashes(tokens: list[str]) -> list[bytes]:
+        short = DIGESTS[digest]
+        words = [w.encode() for w in tokens] or [b"_empty_"]
+        if len(words) < k:
+            return [short(w) for w in words]
+        line, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
+        starts = [0, *ends]
+        return [short(line[a : b - 1]) for a, b in zip(starts, ends[k - 1 :], strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                h = b.column(1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_majority(np.diff(h.offsets.to_numpy()), h.flatten().to_numpy(zero_copy_only=False)))], names=[key, "fingerprint"])
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                each = [hashes(w) for w in b.column(1).to_pylist()]
+                flat = np.frombuffer(b"".join(map(b"".join, each)), ">i8")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_majority(np.array([len(h) for h in each]), flat))], names=[key, "fingerprint"])
 
     return rows.mapInArrow(run, StructType([rows.schema[key], StructField("fingerprint", LongType())]))
 
@@ -135,8 +145,6 @@ def greedy_survivors(records: DataFrame, key: str, words: str, pairs: DataFrame,
     """key, kept, duplicate_of: longest first (ties by key), a record is dropped if an earlier kept one is near it.
     Rounds over the pair graph: what has no earlier undecided or kept neighbour is kept, what has a kept one is dropped.
     records also has `fingerprint`; those equal to an earlier one fall at once."""
-    from callweave.plans.staging import stage
-
     order = F.struct((-F.col(words)).alias("w"), F.col(key).alias("k"))
     ranked = records.withColumn("__o", order)
     ranked = stage(ranked)

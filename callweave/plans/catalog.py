@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.functions import providers
+from callweave.functions import providers, tables
 from callweave.functions import text as T
 from callweave.operators import calls, chunk, clean, extract, index, reports, search, signals, topk
 from callweave.plans.staging import shared_dir, stage
@@ -1043,3 +1043,44 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 def record_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", F.regexp_replace("source", "src", "part_").alias("category"))
     return clean.record_ids(docs, "category", "doc_id").select("doc_id", "record_id", "source")
+
+
+def _sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
+    """A query in SQL with the library's table functions over views of their own names."""
+    tables.register(spark)
+    for name, df in views.items():
+        own = f"{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(own)
+        text = text.replace("{" + name + "}", own)
+    return spark.sql(text)
+
+
+@query(ORACLES["heading_sections"])
+def sections_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, "SELECT r.doc_id, s.section, array_join(s.heading_path, ' > ') AS path, md5(s.content) AS content_md5 FROM {r} r, LATERAL heading_sections(r.body) s", r=_headed(spark, d))
+
+
+@query(ORACLES["chunk_records"])
+def chunks_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chunking as SQL with table functions; numbering takes a window by document there."""
+    words = r"size(regexp_extract_all({0}, '[^\\s]+', 0))"
+    pieces = f"""SELECT r.doc_id, r.title, s.section, s.heading_path, 0 AS piece, s.content FROM {{r}} r, LATERAL heading_sections(r.body) s WHERE {words.format('s.content')} <= {chunk.MAX}
+        UNION ALL SELECT r.doc_id, r.title, s.section, s.heading_path, p.piece, trim(BOTH ' \\t\\n\\r' FROM p.content) FROM {{r}} r, LATERAL heading_sections(r.body) s, LATERAL split_long(s.content) p WHERE {words.format('s.content')} > {chunk.MAX}"""
+    kept = f"SELECT *, {words.format('content')} AS word_count FROM ({pieces}) WHERE {words.format('content')} >= {chunk.MIN}"
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, piece) - 1 AS chunk_index FROM ({kept})"
+    redacted = r"rlike(content, '\\[[A-Z_]+_REDACTED\\]')"
+    out = f"SELECT doc_id, chunk_index, format_string('%s_c%02d', doc_id, chunk_index) AS chunk_id, coalesce(try_element_at(heading_path, -1), title) AS heading, word_count, {redacted} AS pii, md5(content) AS content_md5 FROM ({numbered})"
+    return _sql(spark, out, r=_headed(spark, d))
+
+
+@query("SELECT source, CAST(list_sort(list(n))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS DOUBLE) AS upper_median FROM (SELECT source, length(text) AS n FROM documents) GROUP BY source")
+def medians_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, "SELECT source, upper_median(CAST(length(text) AS DOUBLE)) AS upper_median FROM {t} GROUP BY source", t=read(spark, d, "documents"))
+
+
+@query(ORACLES["vad_segments"])
+def segments_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Speech segments of each user's levels in SQL; a channel's levels are one array, frame by frame."""
+    rows = "SELECT CAST(user_id AS STRING) AS call, transform(array_sort(collect_list(struct(event_id, value * 20 AS v))), x -> x.v) AS levels FROM {e} GROUP BY user_id"
+    out = f"SELECT call, 'caller' AS speaker, concat('c', s.segment) AS utt_id, round(s.first_frame * 0.1D, 2) AS start_s, round(s.end_frame * 0.1D, 2) AS end_s FROM ({rows}), LATERAL speech_segments(levels, 180.0D, 0.1D) s"
+    return _sql(spark, out, e=read(spark, d, "events"))

@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm import spm, tokens
-from callweave.llm.common import stage
+from callweave.llm import common, spm, tokens
 
 #: Bytes of text whose distinct pieces are looked up together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Rows that a partition numbers before the partition's own number begins.
 _PART = 33
 #: A place where a text can be cut: before a single blank between two characters that are neither blank nor odd. No
@@ -25,6 +24,22 @@ _CUT = r"(?= [^\p{Z}\p{C}\s])(?<=[^\p{Z}\p{C}\s])"
 MARK = spm.SPACE
 
 
+#: Spark's setting for removing an execution's shuffle files once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written down and read again. What was shuffled for it isn't needed any more, and goes at once: several times
+    the input would lie about otherwise until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return common.stage(df, name, compression="zstd")
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def pieces(text: Column) -> Column:
     """The pieces of a blank and the text; each begins with a blank, and joined they are that text again."""
     return F.split(F.concat(F.lit(" "), text), _CUT, -1)
@@ -65,12 +80,14 @@ def encoded(units: DataFrame, path_a: str | None = None, path_b: str | None = No
             yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(same)], names=[*b.schema.names, "tokens", "whole"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema)
-    return units.mapInArrow(run, f"{kind}, tokens array<long>, whole boolean")
+    return units.mapInArrow(run, f"{kind}, tokens array<int>, whole boolean")
 
 
-def _packed[T](side: T, number: T, size: T) -> T:
-    """A token as one number: its side (0 or 1), then 24 bits of its id, then 16 bits of how many bytes it stands for."""
-    return (side << 40) | (number << 16) | size
+def _packed(side: int, number: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Tokens as one number each: the side (0 or 1), 18 bits of the id, 12 bits of how many bytes it stands for."""
+    if len(number) and (number.max() >= 1 << 18 or size.max() >= 1 << 12):
+        raise ValueError("ids of 18 bits and tokens of under 4,096 bytes only")
+    return ((side << 30) | (number << 12) | size).astype(np.int32)
 
 
 def aligned(units: DataFrame, parts: int) -> DataFrame:
@@ -83,9 +100,9 @@ def aligned(units: DataFrame, parts: int) -> DataFrame:
     windows, the join and the sums alike."""
     dealt = lambda *c: units.select(F.pmod("uid", F.lit(parts)).cast("int").alias("deal"), "uid", *c).repartitionById(parts, F.col("deal"))
     own = ["deal", "uid"]
-    bits = lambda at, n: F.shiftright("t", at).bitwiseAND((1 << n) - 1).cast("int")
+    bits = lambda at, n: F.shiftright("t", at).bitwiseAND((1 << n) - 1)
     each = dealt("tokens").select(*own, F.posexplode_outer("tokens").alias("place", "t"))
-    each = each.select(*own, "place", bits(40, 1).alias("side"), bits(16, 24).alias("id"), bits(0, 16).alias("size"))
+    each = each.select(*own, "place", bits(30, 1).alias("side"), bits(12, 18).alias("id"), bits(0, 12).alias("size"))
     ends = each.withColumn("end", F.sum("size").over(Window.partitionBy(*own, "side").orderBy("place")))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
     merged = ends.groupBy(*own, "end").agg(of(0).alias("a"), of(1).alias("b"))
@@ -164,7 +181,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     linked = found.select("unit", F.explode("links").alias("l")).select("unit", "l.a", "l.b").join(pair_counts(found), ["a", "b"])
     sums = linked.groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     gives = found.drop("n", "links").join(sums, "unit")
-    table = vocabulary.select("block", "unit").join(gives, "unit").repartitionById(blocks, F.col("block"))
+    table = stage(vocabulary.select("block", "unit").join(gives, "unit"), "table").repartitionById(blocks, F.col("block"))
     told = fit.select("block", "doc_id", "text").repartitionById(blocks, F.col("block")).select("block", "doc_id", pieces(F.col("text")).alias("units"))
     out = told.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_told, _OUT)
     names = [c.split()[0] for c in _OUT.split(", ")]

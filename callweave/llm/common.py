@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/callweave-stages").rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,19 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset: on one machine a temporary folder of this process, on a
-    cluster one beside the warehouse, which executors share as well."""
+    """The folder of spark.checkpoint.dir. Where it is unset: on one machine a temporary folder of this process; on a
+    cluster there is none that all executors are sure to share, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and re.match(r"local(\[.*)?$", spark.sparkContext.master):
+    if not found:
+        if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="callweave-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/callweave-stages").rstrip("/")
+    return found.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again, so that loops keep short plans and outlive lost executors."""
+def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """df written as Parquet (with the writer's options) in the shared folder and read again: loops keep short plans, and
+    a lost executor costs no more than its own tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

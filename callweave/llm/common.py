@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.plans.staging import stage  # noqa: F401  used by the operators through this module
+
 U64 = np.uint64
 #: Bytes of text hashed at once; a longer document is hashed alone.
 SLICE_BYTES = 1 << 20
@@ -23,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset: on one machine a temporary folder of this process, on a
-    cluster one beside the warehouse, which executors share as well."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and re.match(r"local(\[.*)?$", spark.sparkContext.master):
-        found = tempfile.mkdtemp(prefix="callweave-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/callweave-stages").rstrip("/")
-
-
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, mod m; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import providers, tables
 from callweave.functions import text as T
-from callweave.operators import calls, chunk, clean, extract, index, reports, search, signals, topk
+from callweave.operators import calls, chunk, clean, extract, index, pages, reports, search, signals, topk
 from callweave.plans.staging import shared_dir, stage
 from callweave.sources import web
 
@@ -1084,3 +1084,32 @@ def segments_by_sql(spark: SparkSession, d: str) -> DataFrame:
     rows = "SELECT CAST(user_id AS STRING) AS call, transform(array_sort(collect_list(struct(event_id, value * 20 AS v))), x -> x.v) AS levels FROM {e} GROUP BY user_id"
     out = f"SELECT call, 'caller' AS speaker, concat('c', s.segment) AS utt_id, round(s.first_frame * 0.1D, 2) AS start_s, round(s.end_frame * 0.1D, 2) AS end_s FROM ({rows}), LATERAL speech_segments(levels, 180.0D, 0.1D) s"
     return _sql(spark, out, e=read(spark, d, "events"))
+
+
+@query("""WITH w AS (SELECT event_id AS key, event_type, user_id % 3 AS hint, value / 100 AS wer, json_extract_string(props, '$.k') AS spoken FROM events),
+    a AS (SELECT row_number() OVER (ORDER BY event_type) AS n, '| ' || event_type || ' | ' || printf('%.3f', avg(wer)) || ' | ' || count(*) || ' |' AS line FROM w GROUP BY event_type),
+    b AS (SELECT row_number() OVER (ORDER BY event_type, hint) AS n, '| ' || event_type || ' | ' || hint || ' | ' || printf('%.3f', avg(wer)) || ' | ' || count(*) || ' |' AS line FROM w GROUP BY event_type, hint),
+    c AS (SELECT row_number() OVER (ORDER BY wer DESC, key) AS n, '| ' || key || ' | ' || printf('%.2f', wer) || ' | ' || coalesce(spoken, '') || ' | ' || event_type || ' |' AS line FROM w QUALIFY n <= 5)
+    SELECT concat_ws(chr(10), '# Transcription errors', '', '## By kind', '', '', '| event_type | Mean WER | Trials |', '|---|---|---|', (SELECT string_agg(line, chr(10) ORDER BY n) FROM a), '', '## By kind and hint', '', '',
+      '| event_type | hint | Mean WER | Trials |', '|---|---|---|---|', (SELECT string_agg(line, chr(10) ORDER BY n) FROM b), '', '## Worst trials', '', '', '| Trial | WER | Spoken | Transcribed |', '|---|---|---|---|', (SELECT string_agg(line, chr(10) ORDER BY n) FROM c), '') AS markdown""")
+def error_report(spark: SparkSession, d: str) -> DataFrame:
+    w = _trials(spark, d).join(read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("spoken")), "event_id")
+    trials = w.select(F.col("event_id").alias("key"), "event_type", "hint", "wer", "spoken", F.col("event_type").alias("transcript"))
+    return pages.markdown(pages.errors(trials, {"By kind": ["event_type"], "By kind and hint": ["event_type", "hint"]}))
+
+
+@query(f"""WITH {_BEST}, e AS (SELECT query_id, 'refused at retrieval gate' AS b, top_score, refuse FROM t WHERE top_score < 0.5 UNION ALL SELECT query_id, 'answered', top_score, refuse FROM t WHERE top_score >= 0.5),
+    x AS (SELECT row_number() OVER (ORDER BY query_id) AS n, e.*, text FROM e JOIN benchmark ON item_id = query_id)
+    SELECT md5(concat_ws(chr(10), '# Retrieval evaluation', '', '## Results', '', '', '| # | Query | Intent | Top score | Retrieval verdict | Agent behaviour | Correct |', '|---|---|---|---|---|---|---|',
+      (SELECT string_agg('| ' || n || ' | ' || regexp_replace(replace(text, '|', '\\|'), '\\s*\\n\\s*', ' ', 'g') || CASE WHEN refuse THEN ' *(must refuse)*' ELSE '' END || ' | item | ' || printf('%.3f', top_score) || ' | v | ' || b || ' | ' || CASE WHEN refuse = (top_score < 0.5) THEN 'yes' ELSE 'NO' END || ' |', chr(10) ORDER BY n) FROM x), '',
+      '**End to end: ' || (SELECT count(*) FILTER (WHERE refuse = (top_score < 0.5)) || '/' || count(*) FROM x) || ' behaved correctly.**', '', '## Detail', '', '',
+      (SELECT string_agg('### ' || n || '. ' || text || chr(10) || chr(10) || '- **Intent**: item' || chr(10) || '- **Retrieved chunk**: none' || chr(10) || '- **Source**: —' || chr(10) || '- **Why it matched**: w' || chr(10) || '- **Retrieval verdict**: v — r'
+        || chr(10) || CASE WHEN top_score < 0.5 THEN '- **Agent behaviour**: ' || b ELSE '- **Agent answered**: a' || chr(10) || '- **Citations**: none' END || chr(10), chr(10) ORDER BY n) FROM x), '')) AS markdown_md5""")
+def retrieval_report(spark: SparkSession, d: str) -> DataFrame:
+    t = _best(spark, d).join(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    low, none = F.col("top_score") < 0.5, F.lit(None).cast("string")
+    rows = t.select(
+        F.col("query_id").alias("at"), F.col("text").alias("query"), F.lit("item").alias("intent"), "must_refuse", "top_score", F.lit("v").alias("verdict"), F.lit("r").alias("reason"), low.alias("refused"), F.lit("retrieval").alias("gate"),
+        (F.col("must_refuse") == low).alias("right"), none.alias("chunk"), none.alias("url"), F.lit("w").alias("why"), F.lit("a").alias("answer"), F.array().cast("array<string>").alias("citations"), F.lit("").alias("note"), F.lit("").alias("snippet"),
+    )
+    return pages.markdown(pages.retrieval(rows)).select(F.md5("markdown").alias("markdown_md5"))

@@ -44,6 +44,7 @@ CUES = [
 GAP_CONFIDENCE = 0.95
 #: What a model is asked to judge. Fixed values.
 JUDGED = ("rising_frustration", "buying_signal", "payment_difficulty", "callback_needed", "topic_shift")
+#: What a model-made nudge must not recommend, by pattern, with the reason. Fixed values.
 PROHIBITED = [
     (r"\b(projected|specific|expected|estimated)\s+(return|yield|profit|growth)", "recommends quoting a projection"),
     (r"\bguarantee\w*\b", "recommends guarantee language"),
@@ -52,6 +53,7 @@ PROHIBITED = [
     (r"\b(how much|what).{0,20}(they'?ll|you'?ll|would)\s+(make|earn|get)", "recommends quoting earnings"),
     (r"\b(downplay|minimi[sz]e|avoid mentioning|skip)\b", "recommends withholding information"),
 ]
+#: What a recogniser makes of silence. Fixed values.
 SILENCE = ("you", "thank you.", "thank you", "thanks for watching!", "thanks for watching", "bye.", "bye", ".", "...", "um", "uh", "so")
 
 

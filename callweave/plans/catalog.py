@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from callweave.functions import providers, tables
 from callweave.functions import text as T
 from callweave.operators import calls, chunk, clean, extract, index, pages, reports, search, signals, topk
-from callweave.plans.staging import shared_dir, stage
+from callweave.plans.staging import listing, shared_dir, stage
 from callweave.sources import web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,12 +51,13 @@ _BM25 = f"""
     bm AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS raw FROM asked JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (doc_id), av GROUP BY ALL)"""
 
 
-_OPEN: dict[tuple[str, str], str] = {}
+_OPEN: dict[tuple, str] = {}
 
 
-def _index(spark: SparkSession, d: str) -> index.Index:
-    """The stored index of documents and their vectors, built by the first query of an application that needs it."""
-    at = (spark.sparkContext.applicationId, d)
+def stored_index(spark: SparkSession, d: str) -> index.Index:
+    """The stored index of documents and their vectors, built by the first query of an application that needs it, and
+    again when the tables' files have changed."""
+    at = (spark.sparkContext.applicationId, d, *[listing(spark, f"{d}/{t}.parquet") for t in ("documents", "embeddings")])
     if at not in _OPEN:
         path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
@@ -76,7 +77,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score, max(score) OVER (PARTITION BY query_id) >= 0.5 AS answerable FROM r WHERE rank <= 8""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = index.lexical(_asked(spark, d), _index(spark, d))
+    top = index.lexical(_asked(spark, d), stored_index(spark, d))
     answerable = F.max("score").over(Window.partitionBy("query_id")) >= 0.5
     return top.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), answerable.alias("answerable"))
 
@@ -377,7 +378,7 @@ _TOP = f"""{_BM25}, qv AS (SELECT item_id AS query_id, embedding AS q FROM bench
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid search's results for all benchmark items over all documents, with a vector or without."""
-    return index.hybrid(_asked(spark, d), _index(spark, d))
+    return index.hybrid(_asked(spark, d), stored_index(spark, d))
 
 
 @query(f"WITH {_TOP} SELECT query_id, doc_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, round(score, 4) AS score, rank FROM top")
@@ -407,7 +408,7 @@ def _first_words() -> Callable:
     a AS (SELECT query_id, retrieved, CASE WHEN NOT asked THEN 'retrieval' WHEN length(prompt) % 3 = 0 THEN 'generation' ELSE 'none' END AS gate, substr(prompt, 1, 12) AS head FROM p)
     SELECT query_id, regexp_replace(CASE WHEN gate = 'none' THEN head ELSE '' END, '^\s+|\s+$', '', 'g') AS text, gate <> 'none' AS refused, gate, CASE WHEN gate = 'none' THEN 'faq_x' ELSE '' END AS invalid, gate = 'none' AS grounded, retrieved FROM a""")
 def answered(spark: SparkSession, d: str) -> DataFrame:
-    q, at = _asked(spark, d), _index(spark, d)
+    q, at = _asked(spark, d), stored_index(spark, d)
     at = replace(at, chunks=at.chunks.withColumnRenamed("text", "content"))
     own = q.filter("query_id % 4 = 0").select("query_id", F.lit("own passage").alias("passage"))
     a = index.answer(q, _top(spark, d), at, _first_words(), "NO_ANSWER", own)
@@ -437,7 +438,7 @@ _BEST = f"""{_BM25}, s AS (SELECT query_id, doc_id, round(raw / (raw + 6), 12) A
 
 def _best(spark: SparkSession, d: str) -> DataFrame:
     """Of each benchmark item: the best score, and the languages of its results in order. A third must be refused."""
-    top = index.lexical(_asked(spark, d), _index(spark, d)).join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    top = index.lexical(_asked(spark, d), stored_index(spark, d)).join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     cats = F.transform(F.array_sort(F.collect_list(F.struct("rank", "lang"))), lambda x: x["lang"])
     return top.groupBy("query_id").agg(F.max("score").alias("top_score"), cats.alias("cats")).select("query_id", (F.col("query_id") % 2).alias("part"), (F.col("query_id") % 3 == 0).alias("must_refuse"), "top_score", "cats")
 

@@ -24,12 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting for removing an execution's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     """df written as Parquet (with the writer's options) in the shared folder and read again: loops keep short plans, and
-    a lost executor costs no more than its own tasks."""
+    a lost executor costs no more than its own tasks. What was shuffled for it isn't needed any more and goes at once; it
+    would lie about until the driver collects its garbage otherwise."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,8 +31,8 @@ BLOCK, ROUNDS, AGAIN = 64, 3, 4
 #: Sets in a part of a wide list, of which two meet in a block.
 PART = 128
 MU = 0.01
-#: An identifier of a shingle is its bucket and ID_BITS bits of its hash; the place that stands for several sets.
-ID_BITS, SEVERAL = 40, 0xFFFF
+#: The place that stands for several sets.
+SEVERAL = 0xFFFF
 REQUEST, PASS = 0, 1
 
 
@@ -103,20 +103,18 @@ def _requests(docs: DataFrame, buckets: int) -> DataFrame:
         rows = [(chunk, PASS, chunk, b"", b"", head)]
         if c.sets:
             h, at = np.concatenate(c.sets), np.repeat(np.arange(len(n)), n).astype(np.uint16)
-            bucket = ((h >> U64(ID_BITS + 4)) % U64(buckets)).astype(np.int64)
-            ids = bucket << ID_BITS | (h & U64((1 << ID_BITS) - 1)).astype(np.int64)
-            order = np.argsort(ids, kind="stable")
-            ids, at = ids[order], at[order]
+            bucket = ((h >> U64(44)) % U64(buckets)).astype(np.int32)
+            order = np.lexsort((h, bucket))
+            ids, at, bucket = h[order].view(np.int64), at[order], bucket[order]
             new = np.concatenate([[True], ids[1:] != ids[:-1]])
             alone = new & np.append(new[1:], True)
             if not alone.all():
                 rows.append((chunk, PASS, chunk, ids[~alone].tobytes(), at[~alone].tobytes(), b""))
             ids, at = ids[new], np.where(alone, at, SEVERAL)[new].astype(np.uint16)
-            edge = np.searchsorted(ids, np.arange(buckets + 1) << ID_BITS)
-            low, high = ids.astype(np.uint32), (ids >> 32 & 0xFF).astype(np.uint8)
+            edge = np.searchsorted(bucket[new], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edge)).tolist():
                 x, y = edge[b], edge[b + 1]
-                rows.append((b, REQUEST, chunk, low[x:y].tobytes() + high[x:y].tobytes(), at[x:y].tobytes(), b""))
+                rows.append((b, REQUEST, chunk, ids[x:y].tobytes(), at[x:y].tobytes(), b""))
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 256], strict=True), _MAP.types, strict=True)], schema=_MAP)
 
@@ -144,11 +142,9 @@ def _answered(requests: DataFrame) -> DataFrame:
             ask = b.column(1).to_numpy() == REQUEST
             yield b.filter(pa.array(~ask))
             for r in b.filter(pa.array(ask)).to_pylist():
-                n = len(r["places"]) // 2
-                low, high = np.frombuffer(r["ids"], np.uint32, n), np.frombuffer(r["ids"], np.uint8, n, 4 * n)
-                ids.append(r["dest"] << ID_BITS | high.astype(np.int64) << 32 | low)
+                ids.append(np.frombuffer(r["ids"], np.int64))
                 places.append(np.frombuffer(r["places"], np.uint16))
-                chunks.append(np.full(n, r["chunk"]))
+                chunks.append(np.full(len(ids[-1]), r["chunk"]))
         if not ids:
             return
         ids, places, chunks = (np.concatenate(x) for x in (ids, places, chunks))
@@ -517,8 +513,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Classes of one size that share the same shingles with others are twins: they link with the same classes, so one of
     them is searched for all (links); twins that link with no other class link with each other if what they share is
     enough. Null and empty texts have no shingles and no links; rows with one doc_id are rows of their own that count in
-    its name. Equal sets are recognised by 128 bits, shingles by 64 within a text and by their bucket and 40 bits
-    between texts."""
+    its name. Equal sets are recognised by 128 bits, shingles by 64."""
     rows = stage(signatures(docs), "signatures")
     sig = rows.filter("s is null").select("doc_id", "n", "key")
     total = sig.count()

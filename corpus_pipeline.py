@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with __row, a number of its own for every row, whatever its doc_id; staged, so that it stays."""
-    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", compression="zstd")
 
 
 def _first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:

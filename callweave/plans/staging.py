@@ -43,6 +43,15 @@ def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*staged: DataFrame) -> None:
+    """Removes tables that stage() has written, once nothing reads them any more."""
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     """(name, bytes, time of change) of a table's files: equal as long as the table is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -170,6 +170,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     sums = linked.groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     gives = found.drop("n", "links").join(sums, "unit")
     table = stage(vocabulary.select("block", "unit").join(gives, "unit"), "table").repartitionById(blocks, F.col("block"))
+    common.forget(vocabulary, units, found)  # all that is still read of them is in the table
     told = fit.select("block", "doc_id", "text").repartitionById(blocks, F.col("block")).select("block", "doc_id", pieces(F.col("text")).alias("units"))
     out = told.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(_told, _OUT)
     names = [c.split()[0] for c in _OUT.split(", ")]

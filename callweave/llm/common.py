@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.plans.staging import stage  # noqa: F401  used by the operators through this module
+from callweave.plans.staging import forget, stage  # noqa: F401  used by the operators through this module
 
 U64 = np.uint64
 #: Bytes of text hashed at once; a longer document is hashed alone.

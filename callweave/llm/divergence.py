@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,16 +27,20 @@ SENT_GROUPS = 100_000
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _blank(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), df (documents): partial sums, a row or more for each; and a row with a null
-    term for each (lang, source) that a task met. Null columns count as ''. Counts are summed in the task that reads the
-    texts, at most HELD of them at once, so that a frequent term of a large source is a row a task."""
+    """lang, source, term, n (occurrences), df (documents): partial sums, a row or more for each. Null columns count as
+    ''. Counts are summed in the task that reads the texts, at most HELD of them at once, so that a frequent term of a
+    large source is a row a task."""
     kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 
     def out(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, df) in held.items():
-            terms = [None, *(t.decode() for t in n)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(df.__getitem__, n)], pa.int64())], schema=kind)
+            for some in batched(n, 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array([t.decode() for t in some], pa.string()), pa.array(list(map(n.__getitem__, some)), pa.int64()), pa.array(list(map(df.__getitem__, some)), pa.int64())], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -57,8 +62,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from out(held)
 
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return docs.select(blank("lang"), blank("source"), blank("text")).mapInArrow(run, "lang string, source string, term string, n long, df long")
+    return docs.select(*map(_blank, ("lang", "source", "text"))).mapInArrow(run, "lang string, source string, term string, n long, df long")
 
 
 def share(n: Column, total: Column, v: Column) -> Column:
@@ -85,9 +89,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     Null text, lang and source count as ''. A group without terms still has its pairs, with value 0 if its language keeps
     no term; a language with one source has no pairs; repeated rows count each; no rows give no rows; other columns don't
     matter."""
-    spread = stage(term_counts(docs), "term-counts")
     # dealt by term, so that sums by source and by language share one shuffle
-    by_source = spread.filter("term IS NOT NULL").repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    by_source = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     vector = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("vector")
     kept = by_source.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), vector).filter(F.col("df") >= least_docs).select("lang", "term", "n", "vector")
     kept = stage(kept, "kept-terms")
@@ -97,7 +100,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
     entries = distinct.select("id", "lang", "terms", F.explode("vector").alias("e")).select("id", "lang", "terms", "e.source", "e.n")
     totals = entries.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("terms")).alias("total"), F.sum("terms").alias("has"))
     words = distinct.groupBy("lang").agg(F.sum("terms").alias("v"))
-    seen = spread.filter("term IS NULL").select("lang", "source").distinct()
+    seen = docs.select(_blank("lang"), _blank("source")).distinct()
     groups = seen.join(totals, ["lang", "source"], "left").join(words, "lang", "left").na.fill(0, ["total", "has", "v"])
     groups = stage(groups.withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.col("v")))), "groups")
     sent = (lambda d: F.broadcast(d)) if groups.count() <= SENT_GROUPS else (lambda d: d)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +117,15 @@ _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best lon
 
 
 def _told(docs: pa.Table, table: pa.Table) -> pa.Table:
-    """The rows of a block's documents (doc_id, units), from what each of its pieces gives."""
-    number = {u: k for k, u in enumerate(table.column("unit").to_pylist())}
-    groups = table.column("groups").to_pylist()
-    sums = np.stack([table.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups", "n_groups", "n_best", "count_sum")], axis=1)
-    rows, digests = [], []
-    for units in docs.column("units"):
-        at = [number[u] for u in units.as_py()]
-        rows.append(sums[at].sum(0))
-        digests.append(hashlib.sha256(";".join([groups[k] for k in at]).encode()).hexdigest())
-    names = [c.split()[0] for c in _OUT.split(", ")]
-    return pa.Table.from_arrays([docs.column("doc_id"), *map(pa.array, np.stack(rows, axis=1)), pa.array(digests)] if rows else [pa.array([], t) for t in [pa.int64()] * 7 + [pa.string()]], names=names)
+    """The rows of a block's documents (doc_id, units), from what each of its pieces gives. Pieces are looked up all at
+    once; a document has one at least."""
+    units = docs.column("units").combine_chunks()
+    at = pc.index_in(units.flatten(), value_set=table.column("unit").combine_chunks()).to_numpy()
+    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(units).to_numpy())])
+    sums = [np.add.reduceat(table.column(c).to_numpy()[at], edge[:-1]) if len(at) else np.zeros(0, np.int64) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
+    groups = table.column("groups").cast(pa.binary()).to_pylist()
+    digests = [hashlib.sha256(b";".join(map(groups.__getitem__, at[a:b].tolist()))).hexdigest() for a, b in pairwise(edge.tolist())]
+    return pa.Table.from_arrays([docs.column("doc_id"), *[pa.array(sums[k], pa.int64()) for k in (0, 1, 2, 2, 3, 4)], pa.array(digests, pa.string())], names=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, stable: bool = False) -> DataFrame:

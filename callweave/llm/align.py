@@ -16,6 +16,8 @@ from callweave.llm import common, spm, tokens
 
 #: Bytes of text whose distinct pieces are looked up together.
 BLOCK_BYTES = 32 << 20
+#: Distinct pieces that a task aligns.
+PART_UNITS = 50_000
 #: Rows that a partition numbers before the partition's own number begins.
 _PART = 33
 #: A place where a text can be cut: before a single blank between two characters that are neither blank nor odd. No
@@ -164,7 +166,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         odd = stage(fit.select("row", "doc_id", F.explode_outer(pieces(F.col("text"))).alias("unit")).join(broken, "unit", "left_semi").select("row", "doc_id").distinct(), "odd")
         fit, rest = stage(fit.join(odd, "row", "left_anti"), "fit"), rest.unionByName(odd.select("doc_id"))
 
-    found = stage(aligned(units, blocks), "aligned")
+    found = stage(aligned(units, -(-units.count() // PART_UNITS) or 1), "aligned")
     linked = found.select("unit", F.explode("links").alias("l")).select("unit", "l.a", "l.b").join(pair_counts(found), ["a", "b"])
     sums = linked.groupBy("unit").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     gives = found.drop("n", "links").join(sums, "unit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from callweave.llm import common, spm, tokens
 
 #: Bytes of text whose distinct pieces are looked up together.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text of the pieces that a block's documents are put together from at once.
+SLICE_BYTES = 1 << 20
 #: Distinct pieces that a task aligns.
 PART_UNITS = 50_000
 #: Rows that a partition numbers before the partition's own number begins.
@@ -119,15 +121,38 @@ _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best lon
 
 
 def _told(docs: pa.Table, table: pa.Table) -> pa.Table:
-    """The rows of a block's documents (doc_id, units), from what each of its pieces gives. Pieces are looked up all at
-    once; a document has one at least."""
-    units = docs.column("units").combine_chunks()
-    at = pc.index_in(units.flatten(), value_set=table.column("unit").combine_chunks()).to_numpy()
-    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(units).to_numpy())])
-    sums = [np.add.reduceat(table.column(c).to_numpy()[at], edge[:-1]) if len(at) else np.zeros(0, np.int64) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
-    groups = table.column("groups").cast(pa.binary()).to_pylist()
-    digests = [hashlib.sha256(b";".join(map(groups.__getitem__, at[a:b].tolist()))).hexdigest() for a, b in pairwise(edge.tolist())]
-    return pa.Table.from_arrays([docs.column("doc_id"), *[pa.array(sums[k], pa.int64()) for k in (0, 1, 2, 2, 3, 4)], pa.array(digests, pa.string())], names=[c.split()[0] for c in _OUT.split(", ")])
+    """The rows of a block's documents (doc_id, units), from what each of its pieces gives. A batch's pieces are looked
+    up all at once where they lie, and put together in slices of about SLICE_BYTES of their text, so that little is held
+    beside the block; a document has one piece at least, and may lie in several slices."""
+    unit, groups = table.column("unit").combine_chunks(), table.column("groups").cast(pa.binary()).combine_chunks()
+    values = [table.column(c).combine_chunks().to_numpy() for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
+    sums, digests = [[np.zeros(0, np.int64)] for _ in values], []
+    for units in docs.column("units").chunks:
+        flat = units.flatten()
+        edge = np.concatenate([[0], np.cumsum(pc.list_value_length(units).to_numpy())])
+        end = np.frombuffer(flat.buffers()[1], np.int64 if pa.types.is_large_string(flat.type) else np.int32)[flat.offset + 1 : flat.offset + len(flat) + 1] if len(flat) else np.zeros(0, np.int64)
+        at, i = pc.index_in(flat, value_set=unit), 0
+        pa.default_memory_pool().release_unused()
+        for s in sums:
+            s.append(np.zeros(len(units), np.int64))
+        while i < len(flat):
+            j = max(i + 1, int(np.searchsorted(end, int(end[i]) + SLICE_BYTES, "right")))
+            some = at.slice(i, j - i)
+            d, e = int(np.searchsorted(edge, i, "right")) - 1, int(np.searchsorted(edge, j))
+            first, own = np.maximum(edge[d:e] - i, 0), some.to_numpy()
+            for s, value in zip(sums, values, strict=True):
+                s[-1][d:e] += np.add.reduceat(value[own], first)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, j - i), pa.int32()), groups.take(some)), b";")
+            for k, text in enumerate(joined.to_pylist(), d):
+                if edge[k] < i:
+                    digest.update(b";" + text)
+                else:
+                    digest = hashlib.sha256(text)
+                if edge[k + 1] <= j:
+                    digests.append(digest.hexdigest())
+            i = j
+    got = [pa.array(np.concatenate(s), pa.int64()) for s in sums]
+    return pa.Table.from_arrays([docs.column("doc_id"), *[got[k] for k in (0, 1, 2, 2, 3, 4)], pa.array(digests, pa.string())], names=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, stable: bool = False) -> DataFrame:

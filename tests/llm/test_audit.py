@@ -5,7 +5,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -93,6 +96,46 @@ def test_align(spark, rows, monkeypatch, block):
     assert {t for n, t in got.dtypes if n not in ("doc_id", "groups_sha256")} == {"bigint"}
 
 
+def block_of(n, kinds, cuts):
+    """What meets for a block: documents of n pieces in all, cut at `cuts`, and a table of `kinds` pieces."""
+    unit = pa.array([f" word{i}" for i in range(kinds)])
+    number = np.random.default_rng(5).integers(0, kinds, n)
+    lists = pa.ListArray.from_arrays(pa.array([0, *cuts, n], pa.int32()), unit.take(pa.array(number)))
+    docs = pa.table({"doc_id": pa.array(range(len(cuts) + 1), pa.int64()), "units": lists})
+    sums = {c: pa.array(np.arange(kinds) * k) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_best", "count_sum"), 1)}
+    return docs, pa.table({"unit": unit, **sums, "groups": pa.array([f"{i}|{i}" for i in range(kinds)])}), number
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_align_documents_in_slices(monkeypatch, size):
+    """Documents come out the same however their pieces are sliced, a document over many slices and batches too."""
+    monkeypatch.setattr(align, "SLICE_BYTES", size, raising=False)
+    cuts = [1, 2, 300, 310, 311]
+    docs, table, number = block_of(400, 50, cuts)
+    for some in (docs, pa.concat_tables([docs.slice(0, 3), docs.slice(3, 0), docs.slice(3)]), docs.slice(0, 0)):
+        got = align._told(some, table).to_pydict()
+        edges = list(itertools.pairwise([0, *cuts, 400]))[: some.num_rows]
+        assert got["groups_sha256"] == [hashlib.sha256(";".join(f"{i}|{i}" for i in number[a:b]).encode()).hexdigest() for a, b in edges]
+        for k, c in ((1, "n_a"), (2, "n_b"), (3, "n_groups"), (3, "n_links"), (4, "n_best"), (5, "count_sum")):
+            assert got[c] == [k * int(number[a:b].sum()) for a, b in edges]
+
+
+def test_align_holds_little_beside_a_block():
+    """A block's documents are put together without a copy of the block and with nothing wide for each of its pieces."""
+    docs, table, _ = block_of(1_500_000, 2_000, range(1000, 1_500_000, 1000))
+    before = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        align._told(docs, table)
+        held = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+    assert held < 1.5 * docs.nbytes
+
+
 def test_align_unforeseen_texts(spark, rows, monkeypatch):
     """Texts that turn out not to be given back leave the counts, however they are told."""
     monkeypatch.setattr(align, "MARK", "\x7f\x7f")

@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ UNIGRAM, BPE = 1, 2
 _BASE = U64(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 FAR = np.int64(1) << np.int64(60)
+_FIRST = U64(64 - 20)
 
 
 def default_path() -> str:
@@ -74,15 +76,20 @@ class Codec:
         keys = np.array([self._hash(v.pieces[i]) for i in ids], U64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
+        self.maybe = np.zeros(1 << 20, bool)  # by a key's first 20 bits: has any piece such a key
+        self.maybe[keys >> _FIRST] = True
         if len(keys) > 1 and (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.longest = max((len(v.pieces[i]) for i in ids), default=1)
         score = np.array(v.scores, np.float64)
-        self.score = score
+        self.score = np.append(score, -np.inf)  # the last one is that of id -1, of no piece
+        self.worst = min((score[i] for i, ok in enumerate(v.plain) if ok), default=0.0) - 10.0
+        self.by_byte = min(v.byte) >= 0
         self.rank = np.empty(len(score), np.int64)
         self.rank[np.lexsort((np.arange(len(score)), -score))] = np.arange(len(score))
-        self.raw = [bytes([v.byte.index(i)]) if i in v.byte else (b"" if not ok else p.replace(SPACE, " ").encode()) for i, (p, ok) in enumerate(zip(v.pieces, v.plain, strict=True))]
-        self.raw[v.unknown] = " ⁇ ".encode()
+        raw = [bytes([v.byte.index(i)]) if i in v.byte else (b"" if not ok else p.replace(SPACE, " ").encode()) for i, (p, ok) in enumerate(zip(v.pieces, v.plain, strict=True))]
+        raw[v.unknown] = " ⁇ ".encode()
+        self.raw = pa.array(raw, pa.large_binary())
         self.whole = min((len(p) for i, p in enumerate(v.pieces) if v.plain[i] and SPACE in p[1:] and p.strip(SPACE)), default=0)
         self.cache: dict[str, bytes] = {}
 
@@ -101,9 +108,12 @@ class Codec:
         h = np.zeros((m, n), U64)
         for k in range(top):
             h = h[:, : n - k] * _BASE + (w[:, k:] + 1).astype(U64)
-            key = mix(h)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[:, : n - k, k] = np.where(self.keys[at] == key, self.ids[at], -1)
+            key = mix(h).ravel()
+            some = np.flatnonzero(self.maybe[key >> _FIRST])  # most substrings end here
+            at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+            is_piece = self.keys[at] == key[some]
+            word, start = np.divmod(some[is_piece], n - k)
+            out[word, start, k] = self.ids[at[is_piece]]
         return out
 
     def merges(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,9 +160,8 @@ class Codec:
         """(word, start, end, piece id or -1) of the pieces of the best path of each word, in order."""
         t = self.lattice(w)
         m, n = w.shape
-        gain = np.where(t >= 0, self.score[t], -np.inf)
-        worst = min((self.score[i] for i, ok in enumerate(self.v.plain) if ok), default=0.0) - 10.0
-        gain[:, :, 0] = np.where(t[:, :, 0] >= 0, gain[:, :, 0], worst)
+        gain = self.score[t]
+        gain[:, :, 0] = np.where(t[:, :, 0] >= 0, gain[:, :, 0], self.worst)
         best = np.full((m, n + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((m, n + 1), np.int64)
@@ -190,12 +199,15 @@ class Codec:
                 raw, at = got.astype("<u4").tobytes(), (4 * edge).tolist()
                 for k, u in enumerate(some):
                     out[u] = raw[at[k] : at[k + 1]]
-                for k in np.unique(row[got < 0]).tolist():  # words with characters that no piece has
+                odd = np.unique(row[got < 0]).tolist()  # words with characters that no piece has
+                if odd:
+                    edge, start, stop, got = edge.tolist(), start.tolist(), stop.tolist(), got.tolist()
+                for k in odd:
                     ids: list[int] = []
                     for j in range(edge[k], edge[k + 1]):
                         if got[j] >= 0:
-                            ids.append(int(got[j]))
-                        elif min(self.v.byte) >= 0:
+                            ids.append(got[j])
+                        elif self.by_byte:
                             ids += [self.v.byte[b] for b in some[k][start[j] : stop[j]].encode()]
                         elif not ids or ids[-1] != self.v.unknown or self.v.kind == BPE:
                             ids.append(self.v.unknown)
@@ -212,7 +224,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.units(t or "") for t in texts]
         new = set().union(*split) - self.cache.keys()
-        got = self.words(sorted(new))
+        got = self.words(new)
         if len(self.cache) + len(got) > CACHE_WORDS:
             known = {u: self.cache[u] for s in split for u in s if u in self.cache}
             self.cache = {}
@@ -227,8 +239,16 @@ class Codec:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, the mark put before the first word left out."""
-        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return text[1:] if self.v.prefix and text[:1] == " " else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """The text of each row's ids; the pieces of all rows are looked up at once and lie joined then."""
+        got = self.raw.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        edge = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)])
+        at = np.frombuffer(got.buffers()[1], np.int64)[edge].tolist()
+        data = memoryview(got.buffers()[2] or b"")
+        texts = [str(data[a:b], "utf-8", "replace") for a, b in pairwise(at)]
+        return [t[1:] if self.v.prefix and t[:1] == " " else t for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -249,7 +269,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, kind_of: int | No
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 ids = c.encode(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(i) for i in ids], pa.string())], schema=kind)
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(c.decode_all(ids), pa.string())], schema=kind)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -266,7 +286,7 @@ def encoding_digest(docs: DataFrame, path: str | None = None, kind_of: int | Non
             for at in range(0, whole.num_rows, 512):
                 texts = whole.column(1).slice(at, 512).to_pylist()
                 ids = c.encode(texts)
-                cols = [[len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [c.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]]
+                cols = [[len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [d == (t or "") for d, t in zip(c.decode_all(ids), texts, strict=True)]]
                 yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, 512).cast(pa.int64()), *[pa.array(x, t) for x, t in zip(cols, kind.types[1:], strict=True)]], schema=kind)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips, held-out accuracy, odd tables."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -252,6 +253,35 @@ def test_sentencepiece(spark, rows):
         assert sum(v.scores[i] for i in ids) == pytest.approx(sum(best(u) for u in code.units(s)))
 
 
+def test_sentencepiece_reads_the_vocabulary_once():
+    """Words are encoded without going through the pieces or bytes again, whatever their lengths and characters."""
+
+    class Counted(tuple):
+        read = 0
+
+        def __iter__(self):
+            Counted.read += 1
+            return super().__iter__()
+
+    v = spm.Vocabulary.load(spm.default_path(), spm.UNIGRAM)
+    plain = spm.Codec(v)
+    code = spm.Codec(dataclasses.replace(v, plain=Counted(v.plain), byte=Counted(v.byte)))
+    seen, texts = Counted.read, ["words of several lengths", "☃\x00é ☃☃ 日本語 \U0001f600"]
+    assert code.encode(texts) == plain.encode(texts)
+    assert Counted.read == seen
+
+
+def test_sentencepiece_decodes_rows_together():
+    """Rows of any ids, empty ones among them, are decoded together as their pieces say."""
+    code, r = spm.codec(spm.default_path(), spm.UNIGRAM), np.random.default_rng(3)
+    raw = code.raw.to_pylist()
+    rows = [[], *[r.integers(0, len(raw), n).tolist() for n in (1, 0, 2, 300)], [code.v.unknown], [code.v.byte[0xC3]], []]
+    joined = [b"".join(raw[i] for i in x).decode("utf-8", "replace") for x in rows]
+    ids = [np.array(x, "<u4").tobytes() for x in rows]
+    assert code.decode_all(ids) == [t.removeprefix(" ") for t in joined]
+    assert code.decode_all([]) == [] and code.decode_all([b""]) == [""]
+
+
 def test_brown(spark, rows):
     got = brown.score_documents(docs(spark, rows)).collect()
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
